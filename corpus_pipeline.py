@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.common import materialize, table
 from marlstone.llm.mixing import cut_mix
+from marlstone.llm.quality import keep_good
 from marlstone.llm.simhash import drop_near_duplicates
+from marlstone.llm.toxicity import drop_toxic
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", lambda spark, docs, sf_dir: keep_good(docs)),
+    ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
     ("simhash", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
     ("mixing", lambda spark, docs, sf_dir: cut_mix(docs)),
 ]

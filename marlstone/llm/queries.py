@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, tokens
+from . import langid, mixing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
