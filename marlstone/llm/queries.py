@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, simhash, tokens, toxicity
+from . import chat, html_text, langid, mixing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_chat_format": chat.op5_chat_format,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": langid.op9_language_id,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLES: dict[str, str] = {}

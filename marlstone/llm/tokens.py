@@ -44,8 +44,11 @@ KEPT_PRETOKENS = 400_000
 
 
 @lru_cache(maxsize=4)
-def tokenizer(name: str):
-    """The tokenizer file ``name`` of the public tokenizers, one per process, one thread."""
+def tokenizer(name: str, plain: bool = False):
+    """The tokenizer file ``name`` of the public tokenizers, one per process, one thread.
+
+    With ``plain``, strings of special tokens in a text are ordinary text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     import public_tokenizers
@@ -54,6 +57,7 @@ def tokenizer(name: str):
     own = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
     own.no_truncation()
     own.no_padding()
+    own.encode_special_tokens = plain
     return own
 
 
