@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.common import materialize, table
 from marlstone.llm.mixing import cut_mix
+from marlstone.llm.pieces import sample_pieces
 from marlstone.llm.quality import keep_good
 from marlstone.llm.simhash import drop_near_duplicates
 from marlstone.llm.toxicity import drop_toxic
@@ -17,6 +18,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
     ("simhash", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
     ("mixing", lambda spark, docs, sf_dir: cut_mix(docs)),
+    ("sentencepiece", lambda spark, docs, sf_dir: sample_pieces(docs)),
 ]
 
 #: Learned filters and iterative groups are beyond SQL; tests hold each stage against brute force.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, langid, mixing, quality, simhash, tokens, toxicity
+from . import ann, chat, html_text, langid, mixing, pieces, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_vp_trees": ann.op6_vp_trees,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": langid.op9_language_id,
     "op10_html_text": html_text.op10_html_text,
