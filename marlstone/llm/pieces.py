@@ -6,11 +6,12 @@ ways to reach it; the backward pass draws, from the end of the text, the last pi
 sum, and so on. Every segmentation is drawn with a probability in proportion to the product of its pieces'
 probabilities to the power ``alpha``.
 
-No piece holds a space sign after another character, so the lattice falls apart, exactly, before each run of
-space signs that follows a word, and at line ends and literal space signs, which only byte pieces cover. The forward
-pass of such a unit depends on its characters alone; a Python worker keeps it for units seen before. The
-backward pass walks all units of some rows at once in numpy. Its random numbers are a hash of the row's key,
-the unit's place in the text and the step: equal keys and texts give equal segmentations, wherever they run.
+Between two characters that no piece of the vocabulary has side by side the lattice falls apart, exactly: before the
+space sign that follows a word, mostly before punctuation, around line ends and other characters that only byte
+pieces cover. The forward pass of such a unit depends on its characters alone; a Python worker keeps it for units seen
+before, and takes all new units of some rows together in numpy, place by place. The backward pass walks all
+units of some rows at once. Its random numbers are a hash of the row's key, the unit's place in the text and the
+step: equal keys and texts give equal segmentations, wherever they run.
 
 The vocabulary's scores are log-probabilities in a unigram model. A BPE model has merge ranks instead; its
 pieces get probabilities by Zipf's law, 1 / (rank + 2).
@@ -26,8 +27,6 @@ Texts are read whole; a very long one is walked in slices of ``SLICE`` units.
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,9 +41,8 @@ from pyspark.sql import types as T
 from .common import table
 
 SPACE = "▁"
-_UNIT = re.compile(" *[^ \n▁]+| +|\n|▁")
-#: Units of one pass, and units (of up to LONGEST characters) that a worker keeps.
-SLICE, KEPT_UNITS, LONGEST = 1 << 17, 150_000, 48
+#: Units of one backward pass; units, and edges, that a worker keeps.
+SLICE, KEPT_UNITS, KEPT_EDGES = 1 << 17, 250_000, 5_000_000
 MODEL_FILE = "piece_bpe_32k.model"
 
 
@@ -74,7 +72,6 @@ class Vocabulary:
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.weight = {i: float(np.exp(alpha * log[i])) for i in plain}
         self.byte_weight = float(np.exp(alpha * (min(log.values()) - 1)))
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.width = max(map(len, self.ids))
         self.raw = [b""] * n
         for p, i in self.ids.items():
@@ -82,6 +79,49 @@ class Vocabulary:
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
         self.size = n
+        self._tables()
+
+    def _tables(self) -> None:
+        """The trie of the pieces as sorted keys (node, character), and where a text falls apart."""
+        letters = sorted({c for p in self.ids for c in p})
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.letters = len(letters)
+        node = {h: i for i, h in enumerate(sorted({p[:k] for p in self.ids for k in range(len(p) + 1)}))}
+        self.ends = np.full(len(node), -1, np.int64)
+        for p, i in self.ids.items():
+            self.ends[node[p]] = i
+        steps = sorted((node[h[:-1]] * self.letters + int(self.letter[ord(h[-1])]), i) for h, i in node.items() if h)
+        self.keys, self.next = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        #: Characters that are pieces by themselves; the text's space is one if the space sign is.
+        self.alone = {" " if c == SPACE else c for c in letters if c in self.ids}
+        self.shares = np.zeros(self.size)
+        self.shares[list(self.weight)] = list(self.weight.values())
+        #: Units of more characters could leave the range of a double.
+        self.longest = max(1, int(-250 / np.log10(min(self.weight.values()))))
+        # Rows and columns of the pairs: characters below U+0250, then the space sign, other letters, the rest.
+        self.kind = np.full(0x110000, 0x252, np.int16)
+        self.kind[self.letter >= 0] = 0x251
+        low = np.arange(0x250)
+        self.kind[low] = np.where(self.letter[low] >= 0, low, 0x252)
+        self.kind[ord(SPACE)] = 0x252  # in a text, a literal one
+        self.kind[ord(" ")] = 0x250
+        self.joined = np.zeros((0x253, 0x253), bool)
+        self.joined[0x251, :0x252] = self.joined[:0x252, 0x251] = True
+        at = lambda c: 0x250 if c == SPACE else int(self.kind[ord(c)])
+        for p in self.ids:
+            for x, y in zip(p, p[1:], strict=False):
+                self.joined[at(x), at(y)] = True
+
+    def units(self, text: str) -> list[str]:
+        """``text`` cut wherever no piece can cross."""
+        kind = self.kind[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        cuts = (np.flatnonzero(~self.joined[kind[:-1], kind[1:]]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+    def covers(self, unit: str) -> bool:
+        """Whether pieces cover the unit, which is else one character in bytes."""
+        return len(unit) > 1 or self.kind[ord(unit)] != 0x252
 
 
 def forward(unit: str, v: Vocabulary) -> list[list[tuple[float, int, str | int]]]:
@@ -90,7 +130,7 @@ def forward(unit: str, v: Vocabulary) -> list[list[tuple[float, int, str | int]]
     ends: list[list] = [[] for _ in range(n + 1)]
     total = [0.0] * (n + 1)
     total[0] = 1.0
-    ids, heads, weight, width = v.ids, v.heads, v.weight, v.width
+    ids, weight, width = v.ids, v.weight, v.width
     for s in range(n):
         here = total[s]
         if s and here < 1e-120:  # only ratios matter; what lies further back is done with
@@ -99,14 +139,11 @@ def forward(unit: str, v: Vocabulary) -> list[list[tuple[float, int, str | int]]
                 ends[p] = [(w * 1e120, a, x) for w, a, x in ends[p]]
             here = total[s]
         for e in range(s + 1, min(n, s + width) + 1):
-            part = unit[s:e]
-            if part not in heads:
-                break
-            if (i := ids.get(part)) is not None:
+            if (i := ids.get(unit[s:e])) is not None:
                 w = here * weight[i]
                 total[e] += w
                 ends[e].append((w, s, i))
-        if unit[s] not in ids:
+        if unit[s] not in ids:  # a letter that stands in longer pieces alone
             w = here * v.byte_weight ** len(unit[s].encode())
             total[s + 1] += w
             ends[s + 1].append((w, s, unit[s]))
@@ -126,12 +163,15 @@ class Lattices:
         self.char_ids: list[list[int]] = []
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, edges: int = 0) -> None:
+        room = max(KEPT_EDGES, 2 * edges)
         self.end: dict[str, int] = {}
-        self.first, self.upto, self.back, self.code = array("q"), array("d"), array("q"), array("q")
+        self.nodes = self.edges = 0
+        self.first = np.zeros(room, np.int32)
+        self.upto, self.back, self.code = np.zeros(room), np.zeros(room, np.int32), np.zeros(room, np.int32)
 
     def _code(self, x: int | str) -> int:
-        if isinstance(x, int):
+        if not isinstance(x, str):
             return x
         raw = x.encode()
         if len(raw) == 1:
@@ -141,27 +181,92 @@ class Lattices:
             self.char_ids.append([self.v.byte[b] for b in raw])
         return self.v.size + self.chars[x]
 
-    def add(self, unit: str) -> int:
-        """The unit's last node."""
-        base = len(self.first)
-        text = SPACE if unit == SPACE else unit.replace(" ", SPACE)
-        if unit == SPACE:
-            edges = [[(1.0, 0, SPACE)]]
-        else:
-            edges = forward(text, self.v)
-        for node in edges:
-            self.first.append(len(self.upto))
-            share = 0.0
-            for w, s, x in node:
-                share += w
-                self.upto.append(share)
-                self.back.append(base + s - 1 if s else -1)
-                self.code.append(self._code(x))
-            self.upto[-1] = 2.0  # the last edge takes what rounding leaves
-        last = len(self.first) - 1
-        if len(unit) <= LONGEST:
-            self.end[unit] = last
-        return last
+    def _put(self, firsts: np.ndarray, upto: np.ndarray, back: np.ndarray, code: np.ndarray) -> int:
+        """Append nodes (their first edges) and edges, counted from 0; the number of the first node."""
+        n, e = len(firsts), len(upto)
+        if self.edges + e > len(self.upto):
+            raise MemoryError
+        base = self.nodes
+        self.first[base : base + n] = firsts + self.edges
+        part = slice(self.edges, self.edges + e)
+        self.upto[part], self.code[part] = upto, code
+        self.back[part] = np.where(back >= 0, back + base, -1)
+        self.nodes, self.edges = base + n, self.edges + e
+        return base
+
+    def _add_one(self, unit: str) -> None:
+        """A unit by the plain forward pass."""
+        edges = forward(unit.replace(" ", SPACE), self.v) if self.v.covers(unit) else [[(1.0, 0, unit)]]
+        firsts = np.cumsum([0, *map(len, edges)])
+        flat = [x for node in edges for x in node]
+        upto = np.concatenate([np.cumsum([w for w, _, _ in node]) for node in edges])
+        upto[firsts[1:] - 1] = 2.0  # the last edge takes what rounding leaves
+        back, code = np.array([s - 1 for _, s, _ in flat]), np.array([self._code(x) for _, _, x in flat])
+        self.end[unit] = self._put(firsts[:-1], upto, back, code) + len(edges) - 1
+
+    def _add_many(self, units: list[str]) -> None:
+        """Short units whose letters are all pieces, together. A place is a node: that of the character before it."""
+        v = self.v
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        stops = np.cumsum(lens)
+        letter = v.letter[np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le"), "<u4")].astype(np.int64)
+        begin, stop = np.repeat(stops - lens, lens), np.repeat(stops, lens)
+        at = np.arange(len(letter))
+        trie = np.zeros(len(at), np.int64)
+        starts, ends, codes = [], [], []
+        for k in range(v.width):
+            key = trie * v.letters + letter[at + k]
+            i = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            on = v.keys[i] == key
+            at, trie = at[on], v.next[i[on]]
+            hit = v.ends[trie] >= 0
+            starts.append(at[hit])
+            ends.append(at[hit] + k)
+            codes.append(v.ends[trie[hit]])
+            more = at + k + 1 < stop[at]
+            at, trie = at[more], trie[more]
+            if not len(at):
+                break
+        start, end, code = map(np.concatenate, (starts, ends, codes))
+        order = np.argsort(end - begin[end], kind="stable")
+        start, end, code = start[order], end[order], code[order]
+        inner = start > begin[start]
+        weight = v.shares[code]
+        total = np.zeros(len(letter))
+        rounds = np.concatenate([[0], np.cumsum(np.bincount(end - begin[end]))])
+        for a, b in zip(rounds[:-1].tolist(), rounds[1:].tolist(), strict=True):
+            weight[a:b] *= np.where(inner[a:b], total[start[a:b] - 1], 1.0)
+            np.add.at(total, end[a:b], weight[a:b])
+        order = np.lexsort((-weight, end))
+        start, end, code, inner = start[order], end[order], code[order], inner[order]
+        run = np.cumsum(weight[order] / total[end])
+        firsts = np.searchsorted(end, np.arange(len(letter)))
+        upto = run - np.concatenate([[0.0], run])[firsts][end]
+        upto[np.append(firsts[1:], len(end)) - 1] = 2.0
+        base = self._put(firsts, upto, np.where(inner, start - 1, -1), code)
+        self.end.update(zip(units, (base + stops - 1).tolist(), strict=True))
+
+    def find(self, units: list[str]) -> np.ndarray:
+        """The last node of every unit; new ones are added."""
+        if len(self.end) > KEPT_UNITS:
+            self.clear()
+        try:
+            return self._find(units)
+        except MemoryError:  # no room beside what was kept
+            self.clear(sum(map(len, set(units))) * self.v.width)
+            return self._find(units)
+
+    def _find(self, units: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(x for x in units if x not in self.end))
+        many = []
+        for x in new:
+            if len(x) <= self.v.longest and self.v.covers(x) and self.v.alone.issuperset(x):
+                many.append(x)
+            else:
+                self._add_one(x)
+        for i in range(0, len(many), 20_000):
+            self._add_many(many[i : i + 20_000])
+        return np.fromiter(map(self.end.__getitem__, units), np.int64, len(units))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -173,12 +278,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _walk(lat: Lattices, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backward sampling from every node: the codes of all units in order, and how many each has."""
-    first, upto, back, code = (np.frombuffer(a, t) for a, t in ((lat.first, "i8"), (lat.upto, "f8"), (lat.back, "i8"), (lat.code, "i8")))
+    first, upto, back, code = lat.first, lat.upto, lat.back, lat.code
     who, at, step = np.arange(len(nodes)), nodes, 0
     taken, length = [], np.zeros(len(nodes), np.int64)
     while len(who):
         u = (_mix(keys[who] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)) * 2.0**-53
-        edge = first[at].copy()
+        edge = first[at].astype(np.int64)
         late = np.flatnonzero(u >= upto[edge])
         while len(late):
             edge[late] += 1
@@ -205,18 +310,6 @@ class Sampler:
     def key(self, row: object) -> int:
         return xxhash.xxh64_intdigest("~" if row is None else str(row), self.seed)
 
-    def _some(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.lat.end) > KEPT_UNITS or len(self.lat.upto) > 40 * KEPT_UNITS:
-            self.lat.clear()
-        end = self.lat.end
-        found = list(map(end.get, units))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    got = end.get(units[i])
-                    found[i] = self.lat.add(units[i]) if got is None else got
-        return _walk(self.lat, np.array(found, np.int64), keys)
-
     def _expand(self, codes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte sequences in place of codes for characters; parts: codes per text."""
         size = self.v.size
@@ -244,7 +337,7 @@ class Sampler:
             counts = np.array([n for _, n, _ in spans])
             place = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat([p for _, _, p in spans], counts)
             key = np.repeat(np.array([self.key(rows[i]) for i, _, _ in spans], np.uint64), counts)
-            codes, length = self._some(units, _mix(key + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+            codes, length = _walk(self.lat, self.lat.find(units), _mix(key + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
             edges = np.concatenate([[0], np.cumsum(length)])
             stops = np.cumsum(counts)
             ids, parts = self._expand(codes, edges[stops] - edges[stops - counts])
@@ -256,7 +349,7 @@ class Sampler:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            own = _UNIT.findall(" " + text)
+            own = self.v.units(" " + text)
             for a in range(0, len(own), SLICE):
                 some = own[a : a + SLICE]
                 if units and len(units) + len(some) > SLICE:
