@@ -454,7 +454,7 @@ def news_html_clean(spark, sf):
 @query
 def stream_daily_counts(spark, sf):
     source = data.table(spark, sf, "events")
-    path = f"{sf.rstrip('/')}/events.parquet"
+    path = f"{sf.rstrip('/')}/events.parque[t]"  # a pattern may name one file or a folder of them
     stream = streaming.read_stream(spark, path, source.schema).select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("created_at"))
     out, marks = shared_folder(spark, "stream"), shared_folder(spark, "marks")
     counts = streaming.daily_counts(stream)
