@@ -10,8 +10,8 @@ and the body's C_b and LC_b,
 (zeros count as one). The sum of its children's densities is a node's score, and the subtree with the
 largest score is the core of the article. The least density on the path from the body to the core is the threshold.
 Around the core the article grows: to the enclosing ``article`` or ``main`` if there is one, else upwards as long as
-what a parent adds reaches the threshold and is not mainly links; from the body itself, headings, and paragraphs and
-the like that reach the threshold.
+what a parent adds reaches the threshold and is not mainly links; headings beside it always belong, and from the body
+itself paragraphs and the like that reach the threshold.
 
 Defined results: a null or empty html, and a page without text, give an empty text of 0 characters; a text without tags
 is its own main text; unclosed, crossed and unknown tags are read as browsers read them, as far as blocks go; equal rows
@@ -64,7 +64,8 @@ ASIDE_NAMES = frozenset(
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _KEPT_WHOLE = frozenset("html body main article".split())
-_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -219,14 +220,21 @@ class _Page:
             kept = {(articles or named)[-1]}
         elif core:
             top = core
+            heads: dict[int, list[int]] = {}
+            for i in range(1, n):
+                if self.tag[i] in _HEADS and not self.away[i] and 2 * link_chars[i] <= chars[i]:
+                    heads.setdefault(self.parent[i], []).append(i)
             while (up := self.parent[top]) > 0:
-                c, lc = chars[up] - chars[top], link_chars[up] - link_chars[top]
-                if c and (density(c, tags[up] - tags[top] - 1, lc, link_tags[up] - link_tags[top]) < threshold or 2 * lc > c):
+                own = [i for i in heads.get(up, []) if i != top]  # headings are short and always belong
+                c = chars[up] - chars[top] - sum(chars[i] for i in own)
+                lc = link_chars[up] - link_chars[top] - sum(link_chars[i] for i in own)
+                t, lt = tags[up] - tags[top] - 1 - sum(tags[i] + 1 for i in own), link_tags[up] - link_tags[top]
+                if c and (density(c, t, lc, lt) < threshold or 2 * lc > c):
                     break
                 top = up
-            kept = {top}
+            kept = {top, *heads.get(self.parent[top], [])}
             if self.parent[top] == 0:
-                kept |= {i for i in range(1, n) if self.parent[i] == 0 and self.tag[i] in _PROSE and (ctd[i] >= threshold or self.tag[i][0] == "h") and 2 * link_chars[i] <= chars[i]}
+                kept |= {i for i in range(1, n) if self.parent[i] == 0 and self.tag[i] in _PROSE and ctd[i] >= threshold and 2 * link_chars[i] <= chars[i]}
         inside = [False] * n
         for i in range(n):
             inside[i] = not self.away[i] and (i in kept or (i > 0 and inside[self.parent[i]]))
