@@ -62,3 +62,10 @@ def n_words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores in front as keep it apart from ``columns``."""
+    while name in columns:
+        name = f"_{name}"
+    return name

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 
 SPACE = "▁"
 #: Units of one backward pass; units, and edges, that a worker keeps.
@@ -391,13 +391,15 @@ def sample_pieces(
     if check_col:
         schema = schema.add(check_col, T.BooleanType())
 
+    key, body = fresh("_key", docs.columns), fresh("_text", docs.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(model_file, alpha, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                texts = batch.column("_text").to_pylist()
-                ids = own.encode(texts, batch.column("_key").to_pylist())
+                texts = batch.column(body).to_pylist()
+                ids = own.encode(texts, batch.column(key).to_pylist())
                 stops = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 columns = [batch.column(f.name) for f in carried]
                 columns.append(pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(ids))))
@@ -405,7 +407,7 @@ def sample_pieces(
                     columns.append(pa.array([own.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    held = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), *[F.col(f"`{f.name}`") for f in carried])
+    held = docs.select(F.col(id_col).alias(key), F.col(text_col).alias(body), *[F.col(f"`{f.name}`") for f in carried])
     return held.mapInArrow(run, schema)
 
 

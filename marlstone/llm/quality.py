@@ -30,19 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, materialize, table, words
+from .common import BLANKS, fresh, materialize, table, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Statistic and its floor: a difference of this size counts as one standard deviation at most.
 FEATURES = {
-    "ln(1 + n_words)": 0.3,
+    "ln(1 + n_words)": 1.0,
     "ln(1 + word_chars / greatest(n_words, 1))": 0.06,
     "n_symbols / greatest(word_chars, 1)": 0.007,
     "n_dup_lines / greatest(n_lines, 1)": 0.2,
     "n_repeat_words / greatest(n_words, 1)": 0.2,
 }
-CORE, STEPS, LEAST, CUTOFF = 0.75, 4, 60, 50.0
+CORE, STEPS, LEAST, CUTOFF = 0.6, 4, 60, 50.0
 #: Median of the chi-squared distribution with as many degrees of freedom as there are features.
 CHI2_MEDIAN = 4.351
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -168,8 +168,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     and are those of the result.
     """
     q = "_quality"
-    while q in docs.columns:
-        q = f"_{q}"
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     kept = docs.columns if carry is None else carry
     held = docs.select(F.struct(*kept).alias("_row"), F.col(text_col).alias("_text"), part(lang_col).alias("_lang"), F.concat_ws("\x1f", part(lang_col), part(source_col)).alias("_full"))
@@ -197,9 +195,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
 
 def keep_good(docs: DataFrame, **columns: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    out = "_verdict"
-    while out in docs.columns:
-        out = f"_{out}"
+    out = fresh("_verdict", docs.columns)
     return judge(docs, out=out, **columns).where(F.col(out)["kept"]).select(*docs.columns)
 
 

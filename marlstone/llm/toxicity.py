@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import fresh, held_out, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
@@ -121,17 +121,17 @@ def train(
     max_features: int = 5_000,
     min_texts: int = 5,
     min_share: float = 0.02,
-    purity: float = 0.5,
+    purity: float = 0.8,
     steps: int = 300,
     rate: float = 0.05,
     l2: float = 1e-4,
-    slack: float = 0.05,
+    slack: float = 0.0,
 ) -> Model:
     """Fit the classifier.
 
     Only pieces in ``min_texts`` positive texts, and ``min_share`` of them, are kept. A piece of
     toxic texts alone is ``1 / prior`` times as common among them as among the unlabelled;
-    one must reach ``purity`` times that.
+    one must reach ``purity`` times that, and be too frequent among them for chance. Such pieces speak for toxicity or not at all: no weight is negative.
     """
     if not positive:
         return Model({}, -40.0)
@@ -151,7 +151,15 @@ def train(
     some = {}
     u_rows = [text_pieces(t, known, some) for t in unlabelled]
     gain = gains(u_rows)
-    kept = sorted((x for x in known if gain[x] >= purity / prior), key=lambda x: (-p_count[x] * np.log(gain[x]), x))[:max_features]
+    u_count = Counter(x for r in u_rows for x in r)
+
+    def sure(x: str) -> bool:
+        """Whether so many positive texts with the piece are no chance, given its share of the clean texts."""
+        clean = max(u_count[x] - prior * n_u * p_count[x] / n_p, 0.0) + 1
+        due = n_p * clean / (n_u * (1 - prior))
+        return p_count[x] > due and p_count[x] * np.log(p_count[x] / due) - (p_count[x] - due) > np.log(len(p_count)) + 2
+
+    kept = sorted((x for x in known if gain[x] >= purity / prior and sure(x)), key=lambda x: (-p_count[x] * np.log(gain[x]), x))[:max_features]
     at = {x: i for i, x in enumerate(kept)}
     k = len(kept)
     p = _Rows([sorted(at[x] for x in r if x in at) for r in p_rows], k)
@@ -171,7 +179,7 @@ def train(
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0.0), b - move[-1]
     return Model({x: float(w[i]) for x, i in at.items()}, float(b))
 
 
@@ -229,9 +237,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score below ``threshold``, all columns as they were."""
     cols = docs.columns
-    name = "_score"
-    while name in cols:
-        name = f"_{name}"
+    name = fresh("_score", cols)
     return score(docs, fit(docs, labels), out_col=name).where(F.col(name) < threshold).select(*cols)
 
 
