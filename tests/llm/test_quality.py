@@ -74,7 +74,7 @@ def test_estimates_agree_with_numpy(spark):
         x.append([np.log1p(n), np.log1p(wc / max(n, 1)), sy / max(wc, 1), d / max(r.quality.n_lines, 1), rep / max(n, 1)])
     x = np.array(x)
     floors = np.array(list(quality.FEATURES.values()))
-    centre, scatter = np.median(x, axis=0), np.diag(floors**2)
+    centre, scatter = np.quantile(x, 0.5, axis=0, method="inverted_cdf").round(4), np.diag(floors**2)
     for _ in range(quality.STEPS):
         d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
         bins = np.floor(np.log2(d2 + 1e-9) * 16)
