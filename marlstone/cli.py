@@ -1,4 +1,4 @@
-"""Command line: ``python -m marlstone.cli samples|evaluate|graph ...``."""
+"""Command line: ``python -m marlstone.cli samples|train|evaluate|graph|profile ...``."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import logging
 from pyspark.sql import functions as F
 
 from . import sinks
-from .operators import graph, samples
+from .functions.text import first_token
+from .operators import agents, graph, samples
 from .operators.metrics import binary_metrics
-from .providers import lexicon
+from .providers import hashed_score, lexicon, reflection
 from .session import session
 from .sources import files
 
@@ -31,7 +32,7 @@ def build_samples(spark, price_dir: str, post_dir: str, dataset: str = "", seq_l
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="marlstone", description=__doc__)
     sub = top.add_subparsers(dest="task", required=True)
-    for name in ("samples", "evaluate"):
+    for name in ("samples", "train", "evaluate"):
         p = sub.add_parser(name)
         p.add_argument("--price_dir")
         p.add_argument("--tweet_dir")
@@ -41,25 +42,48 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--train_rows", type=int)
         p.add_argument("--save_dir", default="results")
         p.add_argument("--base_model", default="lexicon")
-    p = sub.add_parser("graph")
-    p.add_argument("--root", required=True)
-    p.add_argument("--mapping", required=True, help="CSV with header: ticker, entity")
-    p.add_argument("--first", default="2020-01-01")
-    p.add_argument("--last", default="2022-12-31")
-    p.add_argument("--save_dir", default="results")
+        p.add_argument("--num_reflect_trials", type=int, default=2)
+        p.add_argument("--num_shots", type=int, default=4)
+    for name in ("graph", "profile"):
+        p = sub.add_parser(name)
+        p.add_argument("--root", required=True)
+        p.add_argument("--save_dir", default="results")
+        if name == "graph":
+            p.add_argument("--mapping", required=True, help="CSV with header: ticker, entity")
+            p.add_argument("--first", default="2020-01-01")
+            p.add_argument("--last", default="2022-12-31")
     return top
 
 
+def run_graph(spark, args: argparse.Namespace) -> None:
+    """Relationships of mapped companies, or the profile of the training quads."""
+    entities = graph.first_names(files.read_entities(spark, f"{args.root}/entity2id.txt"))
+    times = files.read_times(spark, f"{args.root}/time2id.txt").select("time_id", F.to_date("date_wk").alias("date_wk"))
+    relations = files.read_relations(spark, f"{args.root}/relation2id.txt")
+    if args.task == "graph":
+        quads = files.read_quads(spark, [f"{args.root}/{x}.txt" for x in ("train", "valid", "test")]).join(times, "time_id")
+        mapping = spark.read.csv(args.mapping, header=True, schema="ticker string, entity string")
+        found = graph.relationships(quads, entities, mapping, args.first, args.last, relations)
+        sinks.write_relationships(found, f"{args.save_dir}/relationships")
+        sinks.write_relationships(graph.year_histogram(found, F.col("time")), f"{args.save_dir}/years")
+        return
+    quads = files.read_quads(spark, [f"{args.root}/train.txt"]).join(times, "time_id", "left")
+    decoded = graph.decode(quads, entities, relations)
+    for name, rows in {
+        "stats": graph.dataset_stats(decoded),
+        "types": graph.type_counts(decoded),
+        "keywords": graph.keyword_entities(entities).select("id", "entity", "type_name"),
+        "companies": entities.where(F.col("type_name") == graph.COMPANY).select("id", "entity"),
+    }.items():
+        sinks.write_relationships(rows, f"{args.save_dir}/{name}")
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     log = logging.getLogger("marlstone")
     spark = session(f"marlstone-{args.task}")
-    if args.task == "graph":
-        entities = graph.first_names(files.read_entities(spark, f"{args.root}/entity2id.txt"))
-        times = files.read_times(spark, f"{args.root}/time2id.txt").select("time_id", F.to_date("date_wk").alias("date_wk"))
-        quads = files.read_quads(spark, [f"{args.root}/{x}.txt" for x in ("train", "valid", "test")]).join(times, "time_id")
-        mapping = spark.read.csv(args.mapping, header=True, schema="ticker string, entity string")
-        sinks.write_relationships(graph.relationships(quads, entities, mapping, args.first, args.last), f"{args.save_dir}/relationships")
+    if args.task in ("graph", "profile"):
+        run_graph(spark, args)
         return
     price_dir, post_dir = args.price_dir, args.tweet_dir
     if args.dataset_name and args.base_path:
@@ -68,7 +92,17 @@ def main(argv: list[str] | None = None) -> None:
     if args.task == "samples":
         sinks.write_samples_csv(rows, f"{args.save_dir}/samples")
         return
-    said = rows.where("split = 'test'").withColumn("prediction", F.substring_index(lexicon(F.col("summary")), "\n", 1))
+    numbered = rows.withColumn("sample_id", F.xxhash64("ticker", "end_date"))
+    if args.task == "train":
+        history = agents.run_trials(numbered.where("split = 'train'"), lexicon, reflection, args.num_reflect_trials)
+        sinks.write_sft(agents.sft_rows(history), f"{args.save_dir}/sft")
+        sinks.write_preferences(agents.preference_rows(history), f"{args.save_dir}/pairs")
+        sinks.write_state(agents.latest(history), f"{args.save_dir}/agents")
+        return
+    asked = agents.initial(numbered.where("split = 'test'")).withColumn("prompt", agents.agent_prompt())
+    best = agents.n_shots(asked.select("sample_id", "prompt"), lexicon, hashed_score, args.num_shots)
+    said = asked.join(best, "sample_id").withColumn("response", F.col("answer")).withColumn("prediction", first_token(F.col("answer")))
+    sinks.write_results(agents.result_rows(said), f"{args.save_dir}/answers")
     metrics = binary_metrics(said, "prediction", "target")
     sinks.write_metrics(metrics, args.save_dir, args.base_model, args.dataset_name or None)
     log.info("%s", metrics.first())

@@ -72,3 +72,27 @@ def test_streaming_windows(spark, tmp_path):
     streaming.start(streaming.daily_counts(stream), f"{tmp_path}/out", f"{tmp_path}/marks").awaitTermination()
     got = {(r.ticker, r.day.day): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(t, d): d for t in "ab" for d in range(1, 9)}  # the last days are not past the watermark
+
+
+def test_command_line(spark, tmp_path):
+    price, posts = write(tmp_path)
+    for task in ("samples", "train", "evaluate"):
+        cli.main([task, "--price_dir", price, "--tweet_dir", posts, "--save_dir", f"{tmp_path}/{task}"])
+    assert spark.read.csv(f"{tmp_path}/samples/samples", header=True, multiLine=True, escape='"').count() > 20
+    assert spark.read.json(f"{tmp_path}/train/sft").columns == ["input", "instruction", "output"]
+    got = spark.read.json(f"{tmp_path}/evaluate/lexicon").first()
+    assert got.total_samples == spark.read.csv(f"{tmp_path}/evaluate/answers", header=True, multiLine=True, escape='"').count() == 12
+
+
+def test_command_line_of_the_graph(spark, tmp_path):
+    (tmp_path / "entity2id.txt").write_text("Acme\t1\tCOMP\t0\nBolt Stock\t2\tCOMP\t0\n")
+    (tmp_path / "relation2id.txt").write_text("owns\t0\n")
+    (tmp_path / "time2id.txt").write_text("id,week\n1,2020-01-05\n")
+    for x in ("train", "valid", "test"):
+        (tmp_path / f"{x}.txt").write_text("1\t0\t2\t1\tx\n")
+    (tmp_path / "map.csv").write_text("ticker,entity\nA,Acme\nB,Bolt Stock\n")
+    cli.main(["graph", "--root", str(tmp_path), "--mapping", f"{tmp_path}/map.csv", "--save_dir", f"{tmp_path}/out"])
+    cli.main(["profile", "--root", str(tmp_path), "--save_dir", f"{tmp_path}/out"])
+    assert spark.read.csv(f"{tmp_path}/out/relationships", header=True).count() == 3
+    assert spark.read.csv(f"{tmp_path}/out/stats", header=True).first().n_entities == "2"
+    assert spark.read.csv(f"{tmp_path}/out/keywords", header=True).count() == 1
