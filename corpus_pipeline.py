@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import materialize, table
+from marlstone.llm.common import delete_written, materialize, table, written
 from marlstone.llm.mixing import cut_mix
 from marlstone.llm.pieces import sample_pieces
 from marlstone.llm.quality import keep_good
@@ -26,8 +26,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``, each written and read again.
+
+    A stage's output needs nothing that was written before it, which is then deleted.
+    """
+    docs, before = table(spark, sf_dir, "documents"), len(written)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        delete_written(spark, since=before, keep=1)
     return docs

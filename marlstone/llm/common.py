@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables that this process has written and not yet deleted, oldest first.
+written: list[str] = []
+
+
+def delete_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written since ``since`` of them were there, but for the last ``keep``.
+
+    For callers that know that no frame still reads them.
+    """
+    stop = len(written) - keep
+    for path in written[since:stop]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del written[since:stop]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -43,9 +61,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: Sequence[tuple]) -> DataFrame:
+    """Rows of the driver as a table whose size Spark knows, and by which it decides on broadcasts."""
+    values = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in columns]
+    arrays = [pa.array(v, t) for v, t in zip(values, columns.values(), strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
 def words(text: Column) -> Column:
     """Array of the words of ``text``; empty for null, empty or blank texts."""
     bare = F.trim(text, F.lit(BLANKS))

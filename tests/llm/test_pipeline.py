@@ -1,5 +1,5 @@
 import corpus_pipeline
-from marlstone.llm import pieces
+from marlstone.llm import common, pieces
 
 
 def test_stages(spark, sf):
@@ -16,4 +16,6 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    before = len(common.written)
+    out = corpus_pipeline.run(spark, sf)
+    assert len(common.written) == before + 1 and out.count() > 0
