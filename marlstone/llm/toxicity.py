@@ -45,6 +45,9 @@ def pieces(word: str) -> set[str]:
     return {marked, *[marked[i : i + 5] for i in range(len(marked) - 4)]}
 
 
+_NONE: frozenset[str] = frozenset()
+
+
 def text_words(text: str | None) -> set[str]:
     return set(LETTERS.findall((text or "").lower()))
 
@@ -56,7 +59,7 @@ def text_pieces(text: str, known: set[str] | None = None, seen: dict[str, set[st
     out: set[str] = set()
     for w in text_words(text):
         if (found := seen.get(w)) is None:
-            found = seen[w] = pieces(w) & known
+            found = seen[w] = pieces(w) & known or _NONE
         out |= found
     return out
 
@@ -136,28 +139,35 @@ def train(
     if not positive:
         return Model({}, -40.0)
     n_p, n_u = len(positive), max(1, len(unlabelled))
-    p_rows = [text_pieces(t) for t in positive]
-    p_count = Counter(x for r in p_rows for x in r)
+    # Rows of pieces are kept only once few pieces are left: all of a text's would fill the driver.
+    p_count: Counter[str] = Counter()
+    for t in positive:
+        p_count.update(text_pieces(t))
     known = {x for x, n in p_count.items() if n >= max(min(min_texts, n_p), min_share * n_p)}
 
-    def gains(rows: list[set[str]]) -> dict[str, float]:
-        count = Counter(x for r in rows for x in r)
-        return {x: (p_count[x] / n_p) / max(count[x] / max(1, len(rows)), 0.5 / n_u) for x in known}
+    def gains(count: Counter[str], texts: int) -> dict[str, float]:
+        return {x: (p_count[x] / n_p) / max(count[x] / max(1, texts), 0.5 / n_u) for x in known}
 
     # A first look at some of the unlabelled texts leaves few pieces to look for in the others.
     some: dict[str, set[str]] = {}
-    rough = gains([text_pieces(t, known, some) for t in unlabelled[:1000]])
+    first: Counter[str] = Counter()
+    for t in unlabelled[:1000]:
+        first.update(text_pieces(t, known, some))
+    rough = gains(first, len(unlabelled[:1000]))
     known = {x for x in known if rough[x] >= 0.5 * purity / prior}
+    n_pieces, p_count = len(p_count), Counter({x: p_count[x] for x in known})
     some = {}
     u_rows = [text_pieces(t, known, some) for t in unlabelled]
-    gain = gains(u_rows)
+    p_rows = [text_pieces(t, known, some) for t in positive]
+    some.clear()
     u_count = Counter(x for r in u_rows for x in r)
+    gain = gains(u_count, len(u_rows))
 
     def sure(x: str) -> bool:
         """Whether so many positive texts with the piece are no chance, given its share of the clean texts."""
         clean = max(u_count[x] - prior * n_u * p_count[x] / n_p, 0.0) + 1
         due = n_p * clean / (n_u * (1 - prior))
-        return p_count[x] > due and p_count[x] * np.log(p_count[x] / due) - (p_count[x] - due) > np.log(len(p_count)) + 2
+        return p_count[x] > due and p_count[x] * np.log(p_count[x] / due) - (p_count[x] - due) > np.log(n_pieces) + 2
 
     kept = sorted((x for x in known if gain[x] >= purity / prior and sure(x)), key=lambda x: (-p_count[x] * np.log(gain[x]), x))[:max_features]
     at = {x: i for i, x in enumerate(kept)}
