@@ -19,11 +19,12 @@ import heapq
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, n_words, table, words
+from .common import local_table, materialize, n_words, table, words
 
 #: Shards of one group; a group's quotas are dealt in one task.
 GROUP_SHARDS = 256
@@ -144,9 +145,10 @@ def mix_sources(
     quota = sainte_lague(
         [t for _, _, t in targets], round(wanted / block_words), [-(-repeat * s // block_words) for _, s, _ in targets]
     )
-    sources = spark.createDataFrame(
+    sources = local_table(
+        spark,
+        {"skey": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "shards": pa.int64()},
         [(k, int(s), float(t), int(n_shards[k])) for k, (_, s, t) in zip(keys, targets, strict=True)],
-        "skey string, source_size long, target double, shards long",
     )
     # Spark itself broadcasts this local table only if it is below its threshold.
     placed = sized.join(sources, "skey").withColumn("order", seeded(seed, F.col("doc_id")))
@@ -167,7 +169,7 @@ def mix_sources(
             (k, int(g), int(s))
             for (g, _, _), s in zip(own, sainte_lague([float(w) for _, w, _ in own], q, [int(c) for _, _, c in own]), strict=True)
         ]
-    group_quota = spark.createDataFrame(dealt, "skey string, grp long, group_quota long")
+    group_quota = local_table(spark, {"skey": pa.string(), "grp": pa.int64(), "group_quota": pa.int64()}, dealt)
     quotas = (
         shards.withColumn("cap", F.ceil(F.col("w") * repeat / block_words))
         .join(group_quota, ["skey", "grp"])
