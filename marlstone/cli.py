@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("--price_dir")
         p.add_argument("--tweet_dir")
-        p.add_argument("--dataset_name", default="", choices=["", *files.REGISTRY])
+        p.add_argument("--dataset_name", default="", help="a registered dataset, or a folder of the usual layout below --base_path")
         p.add_argument("--base_path")
         p.add_argument("--seq_len", type=int, default=5)
         p.add_argument("--train_rows", type=int)
@@ -87,6 +87,8 @@ def main(argv: list[str] | None = None) -> None:
         return
     price_dir, post_dir = args.price_dir, args.tweet_dir
     if args.dataset_name and args.base_path:
+        if args.dataset_name not in files.REGISTRY:
+            files.register(args.dataset_name)
         price_dir, post_dir = files.dataset_paths(args.dataset_name, args.base_path)
     rows = build_samples(spark, price_dir, post_dir, args.dataset_name, args.seq_len, args.train_rows)
     if args.task == "samples":

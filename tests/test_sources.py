@@ -59,9 +59,9 @@ def test_summary_store(spark, tmp_path):
 
 def test_metrics_json(spark, tmp_path):
     m = binary_metrics(spark.createDataFrame([("Positive", "Positive"), ("Negative", "Positive")], "prediction string, label string"))
-    sinks.write_metrics(m, str(tmp_path), "org/model", "SEP")
+    sinks.write_metrics(m, str(tmp_path), "org/model", "set")
     got = spark.read.json(f"{tmp_path}/org/model").first()
-    assert got.confusion_matrix.matrix == [[0, 0], [1, 1]] and got.accuracy == 0.5 and got.dataset_name == "SEP"
+    assert got.confusion_matrix.matrix == [[0, 0], [1, 1]] and got.accuracy == 0.5 and got.dataset_name == "set"
 
 
 def test_streaming_windows(spark, tmp_path):
