@@ -69,9 +69,11 @@ def year_histogram(rows: DataFrame, time: Column) -> DataFrame:
 
 def dataset_stats(decoded: DataFrame) -> DataFrame:
     """Quads, distinct entities on either side, distinct relations."""
-    rows = decoded.agg(F.count("*").alias("n_quads"), F.countDistinct("relation").alias("n_relations"))
-    entities = decoded.select(F.explode(F.array("subject", "object")).alias("e")).agg(F.countDistinct("e").alias("n_entities"))
-    return rows.crossJoin(entities)  # one row each
+    part = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    names = decoded.select(F.explode(F.array(part("e", "subject"), part("e", "object"), part("r", "relation"))).alias("x"))
+    kinds = names.groupBy("x.kind").agg(F.countDistinct("x.name").alias("d"), F.count("*").alias("n"))
+    pick = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).cast("long")
+    return kinds.agg(pick("r", "n").alias("n_quads"), pick("r", "d").alias("n_relations"), pick("e", "d").alias("n_entities"))
 
 
 def map_tickers(tickers: DataFrame, mapping: DataFrame, entities: DataFrame) -> DataFrame:
