@@ -48,10 +48,18 @@ def before_first(text: Column, mark: str) -> Column:
 def informative(summary: Column, scan_all_lines: bool = False) -> Column:
     """Whether a summary states something; null and empty ones do not.
 
-    Only the first line is looked at, unless ``scan_all_lines``. A line ends at a line feed alone.
+    Only the first line is looked at, unless ``scan_all_lines``. A line ends at a line feed alone. The
+    same texts match as for ``UNINFORMATIVE`` at the start of the text, in time linear in their length.
     """
-    start = "(?ds)\\A" if scan_all_lines else "(?d)\\A"
-    return F.coalesce(summary, F.lit("")).rlike(f"{start}(?:{UNINFORMATIVE})").__invert__() & (F.coalesce(summary, F.lit("")) != "")
+    whole = F.coalesce(summary, F.lit(""))
+    line = whole if scan_all_lines else before_first(whole, "\n")
+    lower, upper = F.locate("no", line), F.locate("No", line)
+    first = F.when(lower == 0, upper).when(upper == 0, lower).otherwise(F.least(lower, upper))
+    rest = F.substring(line, first + 2, F.length(line))  # the first "no" leaves the most text after it
+    hit = line.contains("do not contain")
+    for subject in ("information", "facts", "mention", "tweets"):
+        hit = hit | ((first > 0) & rest.contains(subject))
+    return ~hit & (whole != "")
 
 
 def direction(response: Column) -> Column:
