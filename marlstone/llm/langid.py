@@ -26,11 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, table
+from .common import held_out, local_table, table
 
 BINS = 1 << 15
 UNKNOWN = "und"
@@ -132,12 +133,17 @@ def fit(
     """Learn from texts with a language, outside the held-out fold; more than ``max_languages`` is an error."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & (F.length("text") <= max_train_chars))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    # The limit by rank is applied on each task before the shuffle.
-    ids = rows.select("lang", "id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-    picked = ids.select("lang", "id").distinct().limit(per_language * max_languages + 1).collect()
-    if len(picked) > per_language * max_languages:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    # Far more ids than are wanted go no further than their task; of the rest the first by hash are taken.
+    shares = [(r.lang, min(1.0, 4 * (per_language + 50) / r.n)) for r in counts]
+    share = local_table(docs.sparkSession, {"lang": pa.string(), "share": pa.float64()}, shares)
+    lot = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.select("lang", "id").join(share, "lang").where(lot < F.col("share"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    ids = few.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    picked = ids.select("lang", "id").distinct().collect()
     if not picked:
         return Model.train([])
     small = docs.sparkSession.createDataFrame([(r.lang, r.id) for r in picked], "lang string, id long")
