@@ -96,6 +96,11 @@ def base_statistics(docs: DataFrame, text: Column, out: str) -> DataFrame:
     )
 
 
+def _per_group(df: DataFrame, label: str) -> DataFrame:
+    """A written table of a row per group, in one file, so that its size tells Spark to broadcast it."""
+    return materialize(df.repartition(1), label)
+
+
 def _x(i: int) -> Column:
     return F.col(f"x{i}")
 
@@ -148,17 +153,17 @@ def _estimates(rows: DataFrame) -> DataFrame:
     fit = median.select(
         "grp", *[f"m{i}" for i in range(P)], *[F.lit(floors[i] if i == j else 0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i + 1)]
     )
-    fit = materialize(fit, "quality-fit")
+    fit = _per_group(fit, "quality-fit")
     for _ in range(STEPS):
         near = _binned(_distance(rows, fit))
-        core = near.join(materialize(_bin_at(near, CORE), "quality-cut"), "grp").where(F.col("bin") <= F.col("cut"))
+        core = near.join(_per_group(_bin_at(near, CORE), "quality-cut"), "grp").where(F.col("bin") <= F.col("cut"))
         sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(P)]
         sums += [F.sum(_x(i) * _x(j)).alias(f"s{j}_{i}") for i in range(P) for j in range(i + 1)]
         moments = core.groupBy("grp").agg(F.count("*").alias("n"), *sums)
-        fit = materialize(_with_factor(moments), "quality-fit")
+        fit = _per_group(_with_factor(moments), "quality-fit")
     middle = _bin_at(_binned(_distance(rows, fit)), 0.5)
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / 16) / CHI2_MEDIAN)
-    return materialize(fit.join(middle.select("grp", scale.alias("scale")), "grp"), "quality-fit")
+    return _per_group(fit.join(middle.select("grp", scale.alias("scale")), "grp"), "quality-fit")
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, out: str = "quality") -> DataFrame:
@@ -175,13 +180,13 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     measured = materialize(measured, "quality-rows")
 
     passed = F.expr(f"not {q}.base_failed")
-    counts = materialize(measured.where(passed).groupBy("_full", "_lang").agg(F.count("*").alias("n")), "quality-groups")
+    counts = _per_group(measured.where(passed).groupBy("_full", "_lang").agg(F.count("*").alias("n")), "quality-groups")
     small = F.col("n") < LEAST
     rest = counts.where(small).groupBy("_lang").agg(F.sum("n").alias("rest"))
     groups = counts.join(rest, "_lang", "left").select(
         "_full", F.when(~small, F.col("_full")).when(F.col("rest") >= LEAST, F.col("_lang")).otherwise(F.lit("")).alias("grp")
     )
-    groups = materialize(groups, "quality-groups")
+    groups = _per_group(groups, "quality-groups")
     features = [F.expr(f.replace("n_", f"{q}.n_").replace("word_chars", f"{q}.word_chars")).cast("double").alias(f"x{i}") for i, f in enumerate(FEATURES)]
     placed = measured.join(groups, "_full", "left")
     fit = _estimates(placed.where(passed).select("grp", *features))
