@@ -7,8 +7,11 @@ determinant: from coordinate medians, concentration steps keep the share ``CORE`
 the smallest Mahalanobis distances and estimate centre and scatter from these again. A text whose
 squared distance exceeds ``CUTOFF`` is rejected.
 
-The scatter gets the squares of fixed floors on its diagonal. They keep it regular where most texts of a
-group have the same value, say no symbol at all, and say which differences are too small to matter.
+The scatter gets the squares of small floors on its diagonal. They keep it regular where most texts of a
+group have the same value, say no symbol at all, and lie well below the spread of length and word length.
+The core's scatter is too small for the group, so distances are scaled until their median is that of a chi-squared
+distribution; its degrees of freedom are the statistics that vary in the core, each counted by
+the share of its variance that is not the floor's. ``CUTOFF`` is a quantile of that distribution for all five.
 A group of fewer than ``LEAST`` texts is pooled with the other small ones of its language, and if these
 are still too few, with all of the small rest.
 
@@ -34,17 +37,17 @@ from .common import BLANKS, fresh, materialize, table, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Statistic and its floor: a difference of this size counts as one standard deviation at most.
+#: Statistic and its floor, added to its variance as a square.
 FEATURES = {
-    "ln(1 + n_words)": 1.0,
-    "ln(1 + word_chars / greatest(n_words, 1))": 0.06,
-    "n_symbols / greatest(word_chars, 1)": 0.007,
-    "n_dup_lines / greatest(n_lines, 1)": 0.2,
-    "n_repeat_words / greatest(n_words, 1)": 0.2,
+    "ln(1 + n_words)": 0.2,
+    "ln(1 + word_chars / greatest(n_words, 1))": 0.02,
+    "n_symbols / greatest(word_chars, 1)": 0.004,
+    "n_dup_lines / greatest(n_lines, 1)": 0.04,
+    "n_repeat_words / greatest(n_words, 1)": 0.04,
 }
-CORE, STEPS, LEAST, CUTOFF = 0.6, 4, 60, 50.0
-#: Median of the chi-squared distribution with as many degrees of freedom as there are features.
-CHI2_MEDIAN = 4.351
+CORE, STEPS, LEAST = 0.6, 4, 60
+#: The 0.9999 quantile of the chi-squared distribution with five degrees of freedom, one for each statistic.
+CUTOFF = 25.745
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 P = len(FEATURES)
 
@@ -162,8 +165,14 @@ def _estimates(rows: DataFrame) -> DataFrame:
         moments = core.groupBy("grp").agg(F.count("*").alias("n"), *sums)
         fit = _per_group(_with_factor(moments), "quality-fit")
     middle = _bin_at(_binned(_distance(rows, fit)), 0.5)
-    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / 16) / CHI2_MEDIAN)
-    return _per_group(fit.join(middle.select("grp", scale.alias("scale")), "grp"), "quality-fit")
+    freedom = F.lit(0.0)
+    for i in range(P):
+        variance = sum((F.pow(f"l{i}_{k}", F.lit(2.0)) for k in range(i + 1)), F.lit(0.0))
+        freedom = freedom + 1 - floors[i] ** 2 / variance
+    freedom = F.greatest(F.lit(1.0), freedom)
+    median = freedom * F.pow(1 - 2 / (9 * freedom), F.lit(3.0))  # Wilson and Hilferty's approximation
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / 16) / median)
+    return _per_group(fit.join(middle, "grp").withColumn("scale", scale).drop("cut"), "quality-fit")
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, out: str = "quality") -> DataFrame:

@@ -91,3 +91,23 @@ def test_ids_play_no_part(spark):
     df = spark.createDataFrame([(i, t, "en", "a") for i, t, *_ in corpus(200, 0.1)], "doc_id long, text string, lang string, source string")
     other = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert quality.keep_good(df).count() == quality.keep_good(other).count()
+
+
+def test_outliers_in_each_statistic_go(spark):
+    rnd = random.Random(12)
+    good = [(i, r[1]) for i, r in enumerate(corpus(300, 0.0, 13))]
+    vocabulary = sorted({w for _, t in good for w in t.split()})
+    fresh = lambda n: rnd.sample(vocabulary, n)
+    again, line = fresh(45), " ".join(fresh(2))  # no window of three words lies in such a line
+    planted = {
+        "length": " ".join(rnd.choice(vocabulary) for _ in range(60_000)),
+        "word length": " ".join(a + b + c for a, b, c in zip(fresh(200), fresh(200), fresh(200), strict=True)),
+        "symbols": " ".join(w + "#" * (i % 2) for i, w in enumerate(fresh(200))),
+        "duplicate lines": "\n".join(x for w in fresh(150) for x in (line, w)),
+        "repeated words": " ".join([*fresh(110), *again, *fresh(3), *again]),
+    }
+    rows = good + [(1000 + i, t) for i, t in enumerate(planted.values())]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = quality.judge(df).collect()
+    assert not any(r.quality.base_failed for r in out)
+    assert {r.doc_id for r in out if not r.quality.kept} == {1000 + i for i in range(len(planted))}
