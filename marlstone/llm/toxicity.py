@@ -132,48 +132,54 @@ def train(
 ) -> Model:
     """Fit the classifier.
 
-    Only pieces in ``min_texts`` positive texts, and ``min_share`` of them, are kept. A piece of
-    toxic texts alone is ``1 / prior`` times as common among them as among the unlabelled;
-    one must reach ``purity`` times that, and be too frequent among them for chance. Such pieces speak for toxicity or not at all: no weight is negative.
+    Only pieces in ``min_texts`` positive texts, and ``min_share`` of them, are kept, and of these the ones
+    too frequent among them for chance, given their share of all the unlabelled. Both are counted in
+    different texts, so that copies don't weigh. One must also be ``purity`` times as much more common among
+    positive texts as the middle of these pieces is; that doesn't assume the prior. Pieces speak for toxicity or not at all: no weight is negative.
     """
     if not positive:
         return Model({}, -40.0)
     n_p, n_u = len(positive), max(1, len(unlabelled))
-    # Rows of pieces are kept only once few pieces are left: all of a text's would fill the driver.
+    # All of a text's pieces would fill the driver: counts first, rows only of the pieces that are left.
     p_count: Counter[str] = Counter()
-    for t in positive:
+    for t in set(positive):
         p_count.update(text_pieces(t))
-    known = {x for x, n in p_count.items() if n >= max(min(min_texts, n_p), min_share * n_p)}
+    n_once = len(set(positive))
+    known = {x for x, n in p_count.items() if n >= max(min(min_texts, n_once), min_share * n_once)}
+    n_pieces = len(p_count)
+    p_count = Counter({x: p_count[x] for x in known})
+    some: dict[str, set[str]] = {}
 
-    def gains(count: Counter[str], texts: int) -> dict[str, float]:
-        return {x: (p_count[x] / n_p) / max(count[x] / max(1, texts), 0.5 / n_u) for x in known}
+    def rows(texts: Iterable[str], among: set[str]) -> Iterator[set[str]]:
+        some.clear()
+        for t in texts:
+            if len(some) > KEPT_WORDS:
+                some.clear()
+            yield text_pieces(t, among, some)
 
-    # A first look at some of the unlabelled texts leaves few pieces to look for in the others.
-    some: dict[str, set[str]] = {}
-    first: Counter[str] = Counter()
-    for t in unlabelled[:1000]:
-        first.update(text_pieces(t, known, some))
-    rough = gains(first, len(unlabelled[:1000]))
-    known = {x for x in known if rough[x] >= 0.5 * purity / prior}
-    n_pieces, p_count = len(p_count), Counter({x: p_count[x] for x in known})
-    some = {}
-    u_rows = [text_pieces(t, known, some) for t in unlabelled]
-    p_rows = [text_pieces(t, known, some) for t in positive]
-    some.clear()
-    u_count = Counter(x for r in u_rows for x in r)
-    gain = gains(u_count, len(u_rows))
+    u_count: Counter[str] = Counter()
+    for found in rows(set(unlabelled), known):
+        u_count.update(found)
+    u_once = max(1, len(set(unlabelled)))
+    due = {x: n_once * max(u_count[x], 0.5) / u_once for x in known}
 
     def sure(x: str) -> bool:
-        """Whether so many positive texts with the piece are no chance, given its share of the clean texts."""
-        clean = max(u_count[x] - prior * n_u * p_count[x] / n_p, 0.0) + 1
-        due = n_p * clean / (n_u * (1 - prior))
-        return p_count[x] > due and p_count[x] * np.log(p_count[x] / due) - (p_count[x] - due) > np.log(n_pieces) + 2
-
-    kept = sorted((x for x in known if gain[x] >= purity / prior and sure(x)), key=lambda x: (-p_count[x] * np.log(gain[x]), x))[:max_features]
+        """Whether so many positive texts with the piece are no chance, given its share of the unlabelled."""
+        return p_count[x] > due[x] and p_count[x] * np.log(p_count[x] / due[x]) - (p_count[x] - due[x]) > np.log(n_pieces) + 2
+
+    known = {x for x in known if sure(x)}
+    # Half of the evidence lies in pieces that are at least so much more common among the positive texts.
+    typical, seen, half = 1.0, 0, sum(p_count[x] for x in known) / 2
+    for x in sorted(known, key=lambda x: (-p_count[x] / due[x], x)):
+        if seen >= half:
+            break
+        typical, seen = p_count[x] / due[x], seen + p_count[x]
+    pure = [x for x in known if p_count[x] / due[x] >= purity * typical]
+    kept = sorted(pure, key=lambda x: (-p_count[x] * np.log(p_count[x] / due[x]), x))[:max_features]
     at = {x: i for i, x in enumerate(kept)}
     k = len(kept)
-    p = _Rows([sorted(at[x] for x in r if x in at) for r in p_rows], k)
-    u = _Rows([sorted(at[x] for x in r if x in at) for r in u_rows], k)
+    p, u = (_Rows([sorted(at[x] for x in r) for r in rows(texts, set(kept))], k) for texts in (positive, unlabelled))
+    some.clear()
     w, b = np.zeros(k), np.log(prior / (1 - prior))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):

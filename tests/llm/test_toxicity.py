@@ -53,3 +53,13 @@ def test_edge_rows(spark, edge, none):
     assert toxicity.score(none, toxicity.fit(none, marks)).count() == 0
     assert toxicity.fit(edge, marks.where(F.lit(False))).weights == {}
     assert toxicity.drop_toxic(edge, marks.where(F.lit(False))).columns == edge.columns
+
+
+def test_pieces_stay_if_the_unlabelled_hold_more_toxic_texts_than_the_labels():
+    rows, _, truth = corpus(1800, 7)
+    toxic, clean = ([t for i, t in rows if truth[i] == y] for y in (1, 0))
+    for unlabelled in (clean[:400] + toxic[:200], toxic + clean, clean[:900] + [toxic[0]] * 250):  # more of them; at the start; one of them as copies
+        model = toxicity.train(toxic, unlabelled, 0.15)
+        scores = model.scores(toxic[1:])
+        assert (scores >= toxicity.THRESHOLD).mean() >= 0.9
+        assert (model.scores(clean) < toxicity.THRESHOLD).mean() >= 0.95
