@@ -10,13 +10,13 @@ from marlstone.llm.common import delete_written, materialize, table, written
 from marlstone.llm.mixing import cut_mix
 from marlstone.llm.pieces import sample_pieces
 from marlstone.llm.quality import keep_good
-from marlstone.llm.simhash import drop_near_duplicates
+from marlstone.llm.simhash import keep_one_of_each
 from marlstone.llm.toxicity import drop_toxic
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", lambda spark, docs, sf_dir: keep_good(docs)),
     ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
-    ("simhash", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
+    ("simhash", lambda spark, docs, sf_dir: keep_one_of_each(docs)),
     ("mixing", lambda spark, docs, sf_dir: cut_mix(docs)),
     ("sentencepiece", lambda spark, docs, sf_dir: sample_pieces(docs)),
 ]

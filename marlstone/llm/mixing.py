@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import local_table, materialize, n_words, table, words
+from .common import fresh, local_table, materialize, n_words, table, words
 
 #: Shards of one group; a group's quotas are dealt in one task.
 GROUP_SHARDS = 256
@@ -112,6 +112,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key_col: str | None = None,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     repeat: int = 2,
@@ -123,7 +124,8 @@ def mix_sources(
 
     ``doc_id, source, size, source_size, target, taken`` and, for whoever cuts the texts:
     ``full_passes`` (whole copies), ``start`` (first word's place in the shard),
-    ``blocks``, ``picked`` and ``phase`` (the shard's choice of blocks, see ``block_taken``).
+    ``blocks``, ``picked`` and ``phase`` (the shard's choice of blocks, see ``block_taken``). With ``key_col``, a
+    column of unique longs, also that as ``key``; it orders rows with equal ids and deals those with null ids to shards.
     """
     spark = docs.sparkSession
     sized = materialize(
@@ -131,6 +133,7 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             n_words(F.col(text_col)).alias("size"),
+            (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"),
         ),
         "mix-sizes",
     ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
@@ -150,8 +153,11 @@ def mix_sources(
         {"skey": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "shards": pa.int64()},
         [(k, int(s), float(t), int(n_shards[k])) for k, (_, s, t) in zip(keys, targets, strict=True)],
     )
+    order = seeded(seed, F.col("doc_id"))
+    if key_col:
+        order = F.when(F.col("doc_id").isNull(), seeded(seed, F.col("doc_id"), F.col("key"))).otherwise(order)
     # Spark itself broadcasts this local table only if it is below its threshold.
-    placed = sized.join(sources, "skey").withColumn("order", seeded(seed, F.col("doc_id")))
+    placed = sized.join(sources, "skey").withColumn("order", order)
     placed = placed.withColumn("shard", F.col("order") % F.col("shards"))
     shards = placed.groupBy("skey", "shard").agg(F.sum("size").alias("w")).withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS))
     shards = materialize(shards, "mix-shards")
@@ -180,7 +186,7 @@ def mix_sources(
     lane = Window.partitionBy("skey", "shard")
     laid = (
         placed.withColumn("w", F.sum("size").over(lane))
-        .withColumn("end", F.sum("size").over(lane.orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("end", F.sum("size").over(lane.orderBy("order", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("start", F.col("end") - F.col("size"))
         .join(quotas, ["skey", "shard"])
     )
@@ -209,6 +215,7 @@ def mix_sources(
         "blocks",
         "picked",
         "phase",
+        *(["key"] if key_col else []),
     )
 
 
@@ -233,13 +240,15 @@ def cut_mix(docs: DataFrame, *, block_words: int = 32, **settings) -> DataFrame:
 
     A document that the mix takes 1.4 times gives one whole row and one with the words of
     its picked blocks. ``n_chars``, if there, follows the text. Documents are joined to the
-    plan by ``doc_id`` (null matches null), which is taken to be unique.
+    plan by a key of the row, so null and repeated ids are documents like any others.
     """
-    plan = mix_sources(docs, block_words=block_words, **settings).select(
-        F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("size", "taken", "full_passes", "start", "blocks", "picked", "phase")]
+    key = fresh("_key", docs.columns)
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_sources(keyed, key_col=key, block_words=block_words, **settings).select(
+        F.col("key").alias(key), *[F.col(c).alias(f"_{c}") for c in ("size", "taken", "full_passes", "start", "blocks", "picked", "phase")]
     )
     cols = docs.columns
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    both = keyed.join(plan, key)
     extra = F.col("_taken") - F.col("_full_passes") * F.col("_size")
 
     def in_block(_, i):

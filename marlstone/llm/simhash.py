@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, table
+from .common import WORD, fresh, materialize, table
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -107,6 +107,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: that with the smallest ``doc_id``, nulls last.
+
+    Rows get a key of their own, so null and repeated ids are rows like any others. Unlike
+    ``drop_near_duplicates``, which goes by the ids alone, it leaves no copy.
+    """
+    key = fresh("_key", docs.columns)
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(keyed.select(key, "text"), id_col=key).select(F.col("doc_id").alias(key), "fp", F.col("component_id").alias("_group"))
+    named = found.join(keyed.select(key, F.col("doc_id").alias("_id")), key)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("fp").alias("fp"), F.col(key).alias("key")))
+    best = named.groupBy("_group").agg(first.alias("_first")).select(F.col("_first")["key"].alias(key))
+    return keyed.join(best, key, "left_semi").select(*docs.columns)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -56,3 +56,23 @@ def test_mix_meets_targets_and_repeats(spark):
     assert cut.columns == docs.columns
     n = cut.select(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))).first()[0]
     assert n == sum(r.taken for r in a)
+
+
+def test_null_and_repeated_ids_are_cut_once(spark):
+    rnd = random.Random(3)
+    ids = [None if i % 3 == 0 else i // 4 if i % 3 == 1 else i + 1000 for i in range(900)]
+    rows = [(d, " ".join(f"d{i}w{j}" for j in range(rnd.randint(0, 200))), rnd.choice("ab")) for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, taken = defaultdict(int), defaultdict(int)
+    for _, text, source in rows:
+        size[source] += len(text.split())
+    whole = {text for _, text, _ in rows}
+    seen = defaultdict(int)
+    for r in mixing.cut_mix(docs).collect():
+        taken[r.source] += len(r.text.split())
+        seen[r.text.split("w")[0]] += 1
+        assert r.text in whole or len({w.split("w")[0] for w in r.text.split()}) == 1
+    want = mixing.capped_shares(1.5 * sum(size.values()), [3, 1], [2 * size[s] for s in "ab"])
+    for s, t in zip("ab", want, strict=True):
+        assert abs(taken[s] - t) <= 0.01 * t + 64
+    assert max(seen.values()) <= 2

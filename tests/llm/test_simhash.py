@@ -77,3 +77,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in [7, *range(200, 260)]}, 4: 4, 5: 4}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, edge, none):
+    rows = [(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "x y z"), (None, "x y z"), (4, "p q r"), (4, "s t u"), (5, "p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs, docs.repartition(3)):
+        kept = sorted(tuple(r) for r in simhash.keep_one_of_each(df).collect() if r.doc_id is not None)
+        assert kept == [(3, "a b c d"), (4, "p q r"), (4, "s t u")]
+        assert simhash.keep_one_of_each(df).where("doc_id is null").collect() == [(None, "x y z")]
+    groups = set(brute_components([brute_fingerprint(r.text) for r in edge.collect()], list(range(edge.count()))))
+    kept = simhash.keep_one_of_each(edge)
+    assert kept.columns == edge.columns and kept.count() == len(groups) and simhash.keep_one_of_each(none).count() == 0
