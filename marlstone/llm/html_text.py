@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; what its own markup names as menu, header, footer, sidebar, notice, advert,
-form, comment or code is set aside. For every other node the composite text density is the number of
+A page becomes a tree; what its tags mark as menu, header, footer, sidebar or code, and what is hidden, is set aside.
+Forms, roles and the names of classes and ids (menu, notice, advert, comment ...) are evidence: they are weighed by the text that
+is not in links, and a node with most of the page's, or with its article, stays. If nothing else is left, all of them stay.
+For every other node the composite text density is the number of
 characters per tag, adjusted for links: with C characters, T tags, LC characters and LT tags in links,
 and the body's C_b and LC_b,
 
@@ -56,13 +58,16 @@ ENDS = {
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select",)),
 }
-ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu svg canvas audio video object map datalist fieldset".split())
+ASIDE_TAGS = frozenset("nav footer aside button select dialog menu svg canvas audio video object map datalist".split())
 ASIDE_NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored "
     "promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing "
     "social related recommended comment comments respond disqus breadcrumb breadcrumbs pagination pager widget login search skip copyright".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: What a header may belong to; then it holds a title.
+_TITLED = frozenset("article post entry story content page section title".split())
+_TITLE = re.compile(rf"(?<![a-z])(?:{'|'.join(sorted(_TITLED))})[-_]+header(?![a-z])", re.I)
 _KEPT_WHOLE = frozenset("html body main article".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
@@ -74,14 +79,19 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.away, self.link = ["body"], [-1], [False], [False]
+        self.title = [False]
+        self.named = [False]  # by form, role or name, to be weighed
         self.runs: list[tuple[int, str | None]] = []  # (node, text) in page order; None ends a block
         self._read(source)
+        self._weigh()
 
     def _open(self, tag: str, attributes: str, up: int) -> int:
         self.tag.append(tag)
         self.parent.append(up)
         self.away.append(self.away[up] or self._is_aside(tag, attributes, up))
         self.link.append(self.link[up] or tag == "a")
+        self.named.append(self._is_named(tag, attributes))
+        self.title.append("eader" in attributes and _TITLE.search(attributes) is not None)
         return len(self.tag) - 1
 
     def _is_aside(self, tag: str, attributes: str, up: int) -> bool:
@@ -99,19 +109,65 @@ class _Page:
             return False
         if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
             return True
+        return False
+
+    @staticmethod
+    def _is_named(tag: str, attributes: str) -> bool:
+        if tag in ("form", "fieldset"):
+            return True
+        if not attributes.strip():
+            return False
+        own = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
         if own.get("role", "").lower() in ASIDE_ROLES:
             return True
         for name in f"{own.get('class', '')} {own.get('id', '')}".lower().split():
             parts = _NAME.findall(name)
-            if not parts or parts[0] in ("has", "with", "no", "without"):
+            if not parts or {"has", "with", "no", "without"}.intersection(parts):
                 continue
-            found = ASIDE_NAMES.intersection(parts)
+            if parts[-1] == "header" and parts[0] in _TITLED:
+                continue
+            found = ASIDE_NAMES.intersection((parts[0], parts[-1]))  # inside a compound they say little
             if tag in _KEPT_WHOLE or tag == "header":
                 found &= {"comment", "comments"}
             if found:
                 return True
         return False
 
+    def _weigh(self) -> None:
+        """Set aside the named nodes, but for those that hold most of the text, or the article."""
+        if not any(self.named):
+            return
+        n = len(self.tag)
+        plain, inside = [0] * n, self.named[:]
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[self.parent[i]]
+        free = 0
+        for node, text in self.runs:
+            if text and not self.away[node] and not self.link[node]:
+                size = sum(map(len, text.split()))
+                plain[node] += size
+                free += size * (not inside[node])
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+        articles = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.named[i] and not self.away[i] and plain[i]]
+        best = max(articles, key=lambda i: (plain[i], -i), default=0)
+        above = set()  # the article's ancestors
+        up = self.parent[best]
+        while up >= 0:
+            above.add(up)
+            up = self.parent[up]
+
+        def stays(i: int) -> bool:
+            if i in above and plain[best] > free:
+                return True
+            return 2 * plain[i] > plain[0] and (not best or i in above or inside[best])
+
+        away = self.away[:]
+        for i in range(1, n):
+            away[i] = away[i] or away[self.parent[i]] or (self.named[i] and not stays(i))
+        if any(text and not away[node] and text.strip() for node, text in self.runs):
+            self.away = away
+
     def _read(self, source: str) -> None:
         stack, at, n = [0], 0, len(source)
         open_p = 0
@@ -222,7 +278,7 @@ class _Page:
             top = core
             heads: dict[int, list[int]] = {}
             for i in range(1, n):
-                if self.tag[i] in _HEADS and not self.away[i] and 2 * link_chars[i] <= chars[i]:
+                if (self.tag[i] in _HEADS or self.title[i]) and not self.away[i] and 2 * link_chars[i] <= chars[i]:
                     heads.setdefault(self.parent[i], []).append(i)
             while (up := self.parent[top]) > 0:
                 own = [i for i in heads.get(up, []) if i != top]  # headings are short and always belong

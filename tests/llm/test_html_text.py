@@ -47,3 +47,20 @@ def test_rows(spark, sf):
     assert extract(df.limit(0)).count() == 0
     pages = extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     assert all(r.text for r in pages)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='page-with-sidebar'><p>x</p>" + PARA + "</div>", f"x\n\n{TEXT}"),
+        ("<div class='layout-sidebar-right'><div class=c>" + PARA * 2 + "</div><div class=sidebar>s</div></div>", f"{TEXT}\n\n{TEXT}"),
+        ("<div class='two-col sidebar-left'><article>" + PARA + "</article></div><div class=x><p>short</p></div>", TEXT),
+        ("<div class='search-result-article'>" + PARA + "</div><div class=menu><a href=/>m</a></div>", TEXT),
+        ("<div class=wrap><div class='article-header'><h1>T</h1></div><div class=c>" + PARA * 2 + "</div></div>", f"T\n\n{TEXT}\n\n{TEXT}"),
+        ("<form id=aspnet><div class=c>" + PARA * 2 + "</div><fieldset>f</fieldset></form>", f"{TEXT}\n\n{TEXT}"),
+        ("<div role=search><p>only</p></div>", "only"),
+        ("<article>" + PARA + "</article><div class=comments>" + PARA * 5 + "</div>", TEXT),
+    ],
+)
+def test_names_are_weighed(page, want):
+    assert main_text(page) == want
