@@ -1,11 +1,8 @@
-"""SimHash fingerprints and near-duplicate groups by multi-index hashing.
-
-Two fingerprints with at most two differing bits agree, in each half of 32 bits, up to a small
-ball, and the two balls' radii add up to two at most. Every fingerprint enumerates the ball
-of radius one in each half, the other half held fixed: 1 + 32 + 32 table keys. Two
-fingerprints that link meet under one key at least: both bits in one half, and each flips one of
-them; one bit in each half, and one flips the first, the other the second; one bit, and one
-flips it. Fingerprints under one key lie in the ball of radius one around it, so that a
+"""SimHash fingerprints and near-duplicate groups by full-width neighbour enumeration.
+
+Every fingerprint enumerates the ball of radius one around itself: 1 + 64 table keys, each a whole
+fingerprint. There are no tables of segments, whose values can be busy. Two fingerprints with at most two
+differing bits meet under one key at least: of two bits each flips one; of one bit one flips it. Fingerprints under one key lie in the ball of radius one around it, so that a
 key never has more than 65 of them, whatever the corpus; neighbours in the key's sorted
 list are verified by their complete distance and linked. A list is a chain, so a crowded
 bucket gives as many links as it has members and not their square, and none is lost.
