@@ -60,7 +60,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Catalyst the true size of small tables, by which it decides on broadcasts.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
