@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import delete_written, materialize, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         edges = materialize(_star(_star(edges, True), False), "edges")
+        delete_written(edges.sparkSession, since=len(written) - 2, keep=1)  # the round before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -1,17 +1,22 @@
-"""SimHash fingerprints and near-duplicate groups by full-width neighbour enumeration.
+"""SimHash fingerprints and near-duplicate groups by multi-index hashing.
 
-Every fingerprint enumerates the ball of radius one around itself: 1 + 64 table keys, each a whole
-fingerprint. There are no tables of segments, whose values can be busy. Two fingerprints with at most two
-differing bits meet under one key at least: of two bits each flips one; of one bit one flips it. Fingerprints under one key lie in the ball of radius one around it, so that a
-key never has more than 65 of them, whatever the corpus; neighbours in the key's sorted
-list are verified by their complete distance and linked. A list is a chain, so a crowded
-bucket gives as many links as it has members and not their square, and none is lost.
+A fingerprint is cut into two segments of 32 bits, each with a table from values to fingerprints. Of two
+fingerprints with at most two differing bits, either the upper segments differ in at most one bit or the lower ones are
+equal: so the upper segment is looked up with its Hamming ball of radius one, the lower one with radius zero.
+Two upper values that differ in one bit meet when the one that has the bit clears it, so only bits that are set are
+flipped: 18 lookups a fingerprint on average. The matches are verified by their complete distance.
+
+A table entry with more than ``crowd`` fingerprints is not compared pair by pair: its fingerprints, and those
+that look it up, enumerate the ball of radius one of the other segment too, that is around the whole fingerprint. Two
+of them within two bits meet at the fingerprint between them. At most 65 lie around any, all within two bits of
+each other, and they are linked as a chain. So no entry makes the square of its size, and no link is lost.
 
 Exact copies share a fingerprint and are one node. Components come from distributed
 star contraction.
 
 Defined results: null, empty and blank texts have the fingerprint zero and link to each other
-like any others; equal rows get equal results; a null ``doc_id`` is ignored as a name of its
+like any others; a very long text is hashed whole, in slices of its shingles; equal rows get equal results; rows that share a
+``doc_id`` in different groups name each of them; a null ``doc_id`` is ignored as a name of its
 group (a group of nulls has a null name); an empty table gives an empty result. Input columns other
 than the two named ones are ignored.
 """
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh, materialize, table
+from .common import WORD, delete_written, fresh, materialize, table, written
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -69,27 +74,43 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links that join all of the distinct fingerprints ``fp`` at 2 or fewer differing bits."""
-    flips = F.expr("transform(sequence(0, 63), bit -> fp ^ shiftleft(1L, bit))")
-    keys = fps.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("key"))
-    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    return (
-        keys.withColumn("b", before)
-        .where(F.col("b").isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2))
-        .select(F.col("fp").alias("a"), "b")
-    )
+#: Longest list of fingerprints that a table entry is compared pair by pair with.
+CROWD = 64
+_UPPER, _LOWER_KEY = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L) | 4294967296L"
+_BALL = f"filter(transform(sequence(0, 31), bit -> ({_UPPER}) & ~shiftleft(1L, bit)), x -> x != {_UPPER})"
+
+
+def links(fps: DataFrame, *, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links that join all of the distinct fingerprints ``fp`` at 2 or fewer differing bits.
+
+    A key is a segment's value, for the lower segment with a mark above it.
+    """
+    own = F.expr(f"array({_UPPER}, {_LOWER_KEY})")
+    tables = fps.select("fp", F.explode(own).alias("key"))
+    asked = fps.select("fp", F.explode(F.expr(f"concat(array({_UPPER}, {_LOWER_KEY}), {_BALL})")).alias("key"))
+    flipped = (F.col("key") < 1 << 32) & (F.col("key") != F.expr(_UPPER.replace("fp", "a")))
+    crowded = materialize(tables.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
+    within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
+    entries = tables.join(crowded, "key", "left_anti").withColumnRenamed("fp", "b")
+    matched = asked.withColumnRenamed("fp", "a").join(entries, "key").where((flipped | (F.col("a") > F.col("b"))) & within("a", "b")).select("a", "b")
+
+    many = asked.join(crowded, "key", "left_semi").select("fp").distinct()
+    around = many.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), bit -> fp ^ shiftleft(1L, bit)))")).alias("key"))
+    chained = around.withColumn("b", F.lag("fp").over(Window.partitionBy("key").orderBy("fp")))
+    return matched.union(chained.where(F.col("b").isNotNull() & within("fp", "b")).select("fp", "b"))
 
 
 def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, fp, component_id``, one row per row of ``docs``."""
     marked = materialize(fingerprints(docs, **settings), "simhash")
+    since = len(written)
     # Copies meet here: one row per fingerprint and task goes into the shuffle.
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(links(fps.select("fp")))
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = materialize(named.join(least, "root").select("fp", "component_id"), "components")
+    delete_written(docs.sparkSession, since=since, keep=1)
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
