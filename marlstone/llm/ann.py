@@ -1,47 +1,69 @@
 """Nearest neighbours by vantage-point trees per shard.
 
-Candidates are dealt by a hash of their id to shards of at most about ``shard_rows`` vectors. In each shard
+Candidates are dealt to shards by space: each goes to the nearest of some sampled centres, and a centre with
+more than a shard may hold is split by a hash of the id. In each shard
 a vantage-point tree is built over the unit vectors, whose Euclidean distance orders as the cosine does. A
 subtree whose distances to its vantage point lie between lo and hi cannot hold anything nearer to
 the query than ``max(d - hi, lo - d)`` (triangle inequality); it is skipped if ``factor`` times that bound exceeds the
-distance of the k-th neighbour so far. Factor one is exact search; larger factors skip more.
+distance of the k-th neighbour so far. Whole shards are skipped alike, by the distances to their centre; before anything is
+searched, the k-th distance is at most that to the sampled vectors. Factor one is exact search; larger factors skip more.
 
-Queries go in blocks of ``block_rows``: each cell of a shard and a block is one task's work, of bounded size, and
-returns k candidates per query. What is shuffled is the vectors once per block and the queries once per shard. Scores
-are cosines of the original vectors in double precision.
+One task reads a shard's vectors, builds its tree once and then streams through the queries that need it. Vectors are
+shuffled once per block of ``block_rows`` queries, queries once per shard they can't skip, both as the numbers of the table. The sample
+(``pivots`` vectors) serves as centres and first bounds alone: every row is indexed.
 
-Equal vectors in a shard are one point of the tree; of its ids the k + 1 smallest are kept there, since no other can
-be among a query's k nearest, ties going to smaller ids. So a vector with a third of all rows makes no deep subtree.
+Scores are cosines of the original vectors, summed in order in double precision. Whatever lies within rounding of the k-th
+distance is scored and ranked by score and id, so ties, say of parallel vectors, go to the smaller id. Equal vectors in a
+shard are one point of the tree; of its ids the smallest are enough.
 
-Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows
-without id; vectors are compared with those of their own length; a query with no candidate has no row; rows
-with the query's id are the query's own; of query rows with one id the least vector is searched; a repeated candidate
-counts once; an empty table gives an empty result. Other columns are ignored.
+Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do those whose
+squares leave the range of a double, nor rows without id; vectors are compared with those of their own length; a query with no candidate
+has no row; rows with the query's id are the query's own; of query rows with one id the least vector is searched; candidate rows
+that share an id are rows of their own; an empty table gives an empty result. Other columns are ignored. Vectors of more than ``MOST_LENGTHS``
+different lengths are an error.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import local_table, materialize, table
 
 LEAF = 64
+#: Slack of distances and of their squares, far above rounding.
+NEAR, NEAR_SQUARED = 1e-6, 1e-12
+#: Queries that are searched at once, pairs that wait for their scores, pairs that are scored at once.
+TOGETHER, WAITING, SCORED = 2_048, 2_000_000, 200_000
+MOST_LENGTHS = 1_000
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
+def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision, and norms."""
+    v = np.asarray(vectors, np.float64)
+    norms = np.sqrt(_in_order(v * v)) if len(v) else np.zeros(0)
+    return v / norms[:, None], norms
 
 
 class VPTree:
-    """Vantage-point tree over the rows of ``points``."""
+    """Vantage-point tree over the rows of ``points``, which are unit vectors."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 42) -> None:
         self.points = points
-        self.nodes: list[tuple] = []  # ("leaf", rows) or ("node", vantage, near, far, (lo, hi) of near, of far)
+        self.nodes: list[tuple] = [()]  # ("leaf", rows) or ("node", vantage, near, far, (lo, hi) of near, of far)
         rng = np.random.default_rng(seed)
-        self.nodes.append(())
         todo = [(0, np.arange(len(points)))] if len(points) else []
         while todo:
             at, rows = todo.pop()
@@ -50,7 +72,7 @@ class VPTree:
                 continue
             k = int(rng.integers(len(rows)))
             vantage, rest = int(rows[k]), np.delete(rows, k)
-            d = np.sqrt(((points[rest] - points[vantage]) ** 2).sum(axis=1))
+            d = np.sqrt(self.gaps(points[vantage : vantage + 1], rest)[0])
             order = np.argsort(d, kind="stable")
             rest, d, half = rest[order], d[order], len(rest) // 2
             near, far = len(self.nodes), len(self.nodes) + 1
@@ -58,35 +80,59 @@ class VPTree:
             self.nodes[at] = ("node", vantage, near, far, (d[0], d[half - 1]), (d[half], d[-1]))
             todo += [(near, rest[:half]), (far, rest[half:])]
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[list[np.ndarray], int]:
-        """Rows of up to k nearest points of each query, and how many distances were computed."""
+    def gaps(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Squared distances."""
+        return np.maximum(2.0 - 2.0 * (queries @ self.points[rows].T), 0.0)
+
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, *, bound: np.ndarray | None = None, own: tuple[np.ndarray, np.ndarray] | None = None, take=None) -> int:
+        """Offer ``take(who, rows)`` every pair that is within rounding of a query's k nearest; the number of distances computed.
+
+        ``bound``: squared distances that the k-th are known not to exceed. ``own``: a name for each query and each point; equal ones are no pair.
+        """
         n, seen = len(queries), 0
         best = np.full((n, k), np.inf)
-        rows = np.full((n, k), -1)
+        limit = np.full(n, np.inf) if bound is None else bound.astype(np.float64)
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
 
-        def offer(who: np.ndarray, d: np.ndarray, what: np.ndarray) -> None:
-            nonlocal seen
+        def settle() -> None:
+            nonlocal held
+            if waiting:
+                who, rows, d = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                near = d <= limit[who] + NEAR_SQUARED
+                take(who[near], rows[near])
+                waiting.clear()
+                held = 0
+
+        def offer(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            nonlocal seen, held
+            d = true = self.gaps(queries[who], rows)
             seen += d.size
+            if own is not None:
+                d = np.where(own[0][who][:, None] == own[1][rows][None, :], np.inf, d)
             every = np.concatenate([best[who], d], axis=1)
-            ids = np.concatenate([rows[who], np.broadcast_to(what, d.shape)], axis=1)
-            pick = np.argpartition(every, k - 1, axis=1)[:, :k] if every.shape[1] > k else np.argsort(every, axis=1)[:, :k]
-            best[who], rows[who] = np.take_along_axis(every, pick, 1), np.take_along_axis(ids, pick, 1)
+            best[who] = np.partition(every, k - 1, axis=1)[:, :k]
+            limit[who] = np.minimum(limit[who], best[who].max(axis=1))
+            if take is not None:
+                i, j = np.nonzero(d <= limit[who][:, None] + NEAR_SQUARED)
+                waiting.append((who[i], rows[j], d[i, j]))
+                held += len(i)
+                if held > WAITING:
+                    settle()
+            return true
 
         stack = [(0, np.arange(n), np.zeros(n))] if self.nodes[0] and n else []
         while stack:
-            at, who, bound = stack.pop()
-            open_ = factor * bound <= best[who].max(axis=1) + 1e-9
-            who = who[open_]
+            at, who, lower = stack.pop()
+            who = who[factor * lower <= np.sqrt(limit[who]) + NEAR]
             if not len(who):
                 continue
             node = self.nodes[at]
             if node[0] == "leaf":
-                gap = 2.0 - 2.0 * (queries[who] @ self.points[node[1]].T)
-                offer(who, np.sqrt(np.maximum(gap, 0.0)), node[1][None, :])
+                offer(who, node[1])
                 continue
             _, vantage, near, far, in_near, in_far = node
-            d = np.sqrt(((queries[who] - self.points[vantage]) ** 2).sum(axis=1))
-            offer(who, d[:, None], np.array([[vantage]]))
+            d = np.sqrt(offer(who, np.array([vantage]))[:, 0])
             to_near = np.maximum(0.0, np.maximum(d - in_near[1], in_near[0] - d))
             to_far = np.maximum(0.0, np.maximum(d - in_far[1], in_far[0] - d))
             first = to_near <= to_far
@@ -94,35 +140,118 @@ class VPTree:
             for child, lower, part in ((far, to_far, first), (near, to_near, ~first), (near, to_near, first), (far, to_far, ~first)):
                 if part.any():
                     stack.append((child, who[part], lower[part]))
-        return [r[r >= 0] for r in rows], seen
-
-
-def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> list[tuple[int, int, float]]:
-    """(query id, vector id, cosine) of up to k nearest candidates of each query."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    flat = vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
-    _, first, point = np.unique(flat, return_index=True, return_inverse=True)
-    own: list[list[int]] = [[] for _ in first]
-    for i, p in zip(ids.tolist(), point.tolist(), strict=True):
-        if len(own[p]) <= k and (not own[p] or own[p][-1] != i):
-            own[p].append(i)
-    points = vectors[first]
-    norms, q_norms = (np.sqrt((x * x).sum(axis=1)) for x in (points, queries))
-    # One more than k, as the query itself may be found, and some for ties that rounding hides.
-    found, _ = VPTree(points / norms[:, None]).search(queries / q_norms[:, None], k + 4, factor)
-    out = []
-    for q, vector, norm, rows in zip(q_ids.tolist(), queries, q_norms, found, strict=True):
-        scores = (points[rows] * vector).sum(axis=1) / (norms[rows] * norm)
-        near = sorted((-s, i) for s, r in zip(scores.tolist(), rows, strict=True) for i in own[r] if i != q)
-        out += [(q, i, -s) for s, i in near[:k]]
-    return out
+        if take is not None:
+            settle()
+        return seen
+
+
+class Shard:
+    """A tree over vectors with ids."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
+        flat = vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
+        _, first, point = np.unique(flat, return_index=True, return_inverse=True)
+        by_point = np.argsort(point, kind="stable")  # ids ascend within a point
+        counts = np.bincount(point, minlength=len(first))
+        self.starts, self.ids = np.concatenate([[0], np.cumsum(counts)]), ids[by_point]
+        self.vectors = vectors[first]
+        self.units, self.norms = unit(self.vectors)
+        self.tree = VPTree(self.units)
+        # A point whose rows all have one id is no candidate for the query of that id.
+        least, most = self.ids[self.starts[:-1]], self.ids[self.starts[1:] - 1]
+        self.sole = [(int(a) if a == b else None) for a, b in zip(least.tolist(), most.tolist(), strict=True)]
+        self.k = k
+
+    def nearest(self, q_ids: np.ndarray, queries: np.ndarray, factor: float, bound: np.ndarray | None = None) -> tuple[list[tuple[int, int, float]], int]:
+        """(query id, vector id, cosine) of up to k nearest candidates of each query; the number of distances computed."""
+        out: list[tuple[int, int, float]] = []
+        seen = 0
+        units, norms = unit(queries)
+        names = {int(q): i for i, q in enumerate(q_ids.tolist())}
+        sole = np.array([names.get(x, -1) if x is not None else -1 for x in self.sole])
+        for a in range(0, len(q_ids), TOGETHER):
+            part = slice(a, a + TOGETHER)
+            found: list[list[tuple[float, int]]] = [[] for _ in range(len(q_ids[part]))]
+
+            def take(who: np.ndarray, rows: np.ndarray, a: int = a, found: list = found) -> None:
+                for b in range(0, len(who), SCORED):
+                    w, r = who[b : b + SCORED], rows[b : b + SCORED]
+                    dots = _in_order(np.asarray(queries[a + w], np.float64) * np.asarray(self.vectors[r], np.float64))
+                    scores = dots / (norms[a + w] * self.norms[r])
+                    for i, x, s in zip(w.tolist(), r.tolist(), scores.tolist(), strict=True):
+                        found[i].append((-s, x))
+                    for i in np.unique(w).tolist():
+                        if len(found[i]) > 4 * self.k:
+                            found[i] = self._ranked(found[i], int(q_ids[a + i]))
+
+            seen += self.tree.search(units[part], self.k, factor, bound=None if bound is None else bound[part], own=(np.arange(len(q_ids))[part], sole), take=take)
+            for q, near in zip(q_ids[part].tolist(), found, strict=True):
+                out += [(q, i, -s) for s, i in self._ids(self._ranked(near, q), q)]
+        return out, seen
+
+    def _ids(self, near: list[tuple[float, int]], q: int) -> list[tuple[float, int]]:
+        """The k first (score, id) of points, the query's own rows left out."""
+        rows = []
+        for s, x in near:
+            ids = self.ids[self.starts[x] : self.starts[x + 1]]
+            own = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
+            some = np.concatenate([ids[: min(own[0], self.k)], ids[own[1] : own[1] + self.k]])[: self.k]
+            rows += [(s, i) for i in some.tolist()]
+        return sorted(rows)[: self.k]
+
+    def _ranked(self, near: list[tuple[float, int]], q: int) -> list[tuple[float, int]]:
+        """The points that hold the k first rows."""
+        first = []
+        for s, x in near:
+            ids = self.ids[self.starts[x] : self.starts[x + 1]]
+            at = np.searchsorted(ids, q, "right") if ids[0] == q else 0
+            if at < len(ids):
+                first.append((s, int(ids[at]), x))
+        return [(s, x) for s, _, x in sorted(first)[: self.k]]
 
 
 def usable(vector: Column) -> Column:
     """True for vectors with a direction."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(good, F.lit(False)) & F.exists(vector, lambda x: x != 0)
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0)))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(good & (squares > 0) & (squares < F.lit(math.inf)), F.lit(False))
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
+
+
+def _by_length(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for size in np.unique(sizes).tolist():
+        yield size, np.flatnonzero(sizes == size)
+
+
+class Space:
+    """Sampled vectors by length: the first ``centres`` of them are centres, all give first bounds."""
+
+    def __init__(self, rows: list[tuple[int, list[float]]], centres: int) -> None:
+        self.ids, self.units = {}, {}
+        for size in {len(v) for _, v in rows}:
+            own = [(i, v) for i, v in rows if len(v) == size]
+            self.ids[size] = np.array([i for i, _ in own], np.int64)
+            self.units[size] = unit(np.array([v for _, v in own]))[0]
+        self.centres = centres
+
+    def distances(self, vectors: np.ndarray) -> np.ndarray | None:
+        """To the centres; None if there are none of that length."""
+        own = self.units.get(vectors.shape[1])
+        return None if own is None else np.sqrt(np.maximum(2.0 - 2.0 * (unit(vectors)[0] @ own[: self.centres].T), 0.0))
+
+    def bounds(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+        """Squared distances that each query's k-th neighbour does not exceed."""
+        own = self.units.get(vectors.shape[1])
+        if own is None or len(own) < k:
+            return np.full(len(ids), np.inf)
+        d = np.maximum(2.0 - 2.0 * (unit(vectors)[0] @ own.T), 0.0)
+        d[ids[:, None] == self.ids[vectors.shape[1]][None, :]] = np.inf
+        return np.partition(d, k - 1, axis=1)[:, k - 1]
 
 
 def search(
@@ -133,36 +262,104 @@ def search(
     vector_col: str = "embedding",
     k: int = 5,
     factor: float = 4.0,
-    shard_rows: int = 65_536,
-    block_rows: int = 4_096,
+    rows_per_centre: int = 4_096,
+    pivots: int = 1_024,
+    max_centres: int = 256,
+    shard_values: int = 1 << 24,
+    block_rows: int = 1 << 18,
+    seed: int = 42,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest candidates of every query."""
+    """``query_id, rank, vec_id, score``: the k nearest candidates of every query.
+
+    Shards hold about ``shard_values`` numbers at most; there is a centre for every ``rows_per_centre`` rows, up to ``max_centres``.
+    """
+    spark = candidates.sparkSession
+    kind = next((f.dataType for f in candidates.schema.fields if f.name == vector_col), None)
+    number = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
 
     def narrow(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
         return rows.where(F.col("id").isNotNull() & usable(F.col("v")))
 
     own, asked = narrow(candidates), narrow(queries).groupBy("id").agg(F.min("v").alias("v"))
-    n, n_asked = own.count(), asked.count()
-    shards = max(-(-n // shard_rows), 4 * candidates.sparkSession.sparkContext.defaultParallelism)
-    blocks = max(1, -(-n_asked // block_rows))
-    hashed = lambda m, salt: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    cells = (
-        own.select("id", "v", F.lit(False).alias("asked"), hashed(shards, 1).alias("shard"), every(blocks).alias("block"))
-        .unionByName(asked.select("id", "v", F.lit(True).alias("asked"), hashed(blocks, 2).alias("block"), every(shards).alias("shard")))
-        .withColumn("dim", F.size("v"))
+    n = own.count()
+    lot = F.xxhash64("id", F.lit(seed))
+    sample = own.select("id", "v", lot.alias("lot")).orderBy("lot", "id", "v").limit(pivots).collect()
+    space = Space([(r.id, r.v) for r in sample], max(1, min(max_centres, pivots, n // rows_per_centre)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            centre, gap = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for size, rows in _by_length(sizes):
+                d = space.distances(_matrix(batch.column("v").take(pa.array(rows)), size))
+                if d is not None:
+                    centre[rows] = d.argmin(axis=1)
+                    gap[rows] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(centre), pa.array(gap)], names=["id", "v", "size", "centre", "gap"])
+
+    vector = f"id long, v array<{number}>"
+    placed = materialize(own.mapInArrow(place, f"{vector}, size int, centre int, gap double"), "vectors")
+    stats = placed.groupBy("size", "centre").agg(F.count("*").alias("n"), F.min("gap").alias("lo"), F.max("gap").alias("hi")).limit(MOST_LENGTHS * max_centres + 1).collect()
+    if len({r["size"] for r in stats}) > MOST_LENGTHS or len(stats) > MOST_LENGTHS * max_centres:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    parts, first = {}, 0
+    for r in sorted(stats):
+        parts[r["size"], r.centre] = (first, -(-r.n * r["size"] // shard_values), r.lo, r.hi)
+        first += parts[r["size"], r.centre][1]
+    layout = local_table(
+        spark, {"size": pa.int32(), "centre": pa.int32(), "first": pa.int64(), "parts": pa.int64()}, [(s, c, f, p) for (s, c), (f, p, _, _) in parts.items()]
+    )
+    dealt = placed.join(layout, ["size", "centre"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("parts")))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            ids = batch.column("id").to_numpy()
+            bound = np.full(batch.num_rows, np.inf)
+            shards: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for size, rows in _by_length(sizes):
+                v = _matrix(batch.column("v").take(pa.array(rows)), size)
+                d, bound[rows] = space.distances(v), space.bounds(ids[rows], v, k)
+                for (s, c), (at, count, lo, hi) in parts.items():
+                    if s == size:
+                        lower = np.zeros(len(rows)) if d is None else np.maximum(0.0, np.maximum(d[:, c] - hi, lo - d[:, c]))
+                        for i in rows[factor * lower <= np.sqrt(bound[rows]) + NEAR].tolist():
+                            shards[i] += range(at, at + count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), pa.array(shards, pa.list_(pa.int64()))], names=["id", "v", "bound", "shards"])
+
+    routed = asked.mapInArrow(route, f"{vector}, bound double, shards array<long>")
+    blocks = max(1, -(-asked.count() // block_rows))
+    block = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(blocks)).cast("int")
+    cells = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"), "id", "v", F.lit(0.0).alias("bound")).unionByName(
+        routed.select(F.explode("shards").alias("shard"), block.alias("block"), F.lit(True).alias("asked"), "id", "v", "bound")
     )
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        q, c = cell[cell["asked"]], cell[~cell["asked"]]
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        found = nearest_in_shard(c["id"].to_numpy(), np.stack(c["v"]), q["id"].to_numpy(), np.stack(q["v"]), k, factor)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, shard = None, [], None  # vectors come before the queries of their cell
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "asked")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                here = (keys[0][a], keys[1][a])
+                if here != cell:
+                    cell, held, shard = here, [], None
+                ids, column = part.column("id").to_numpy(), part.column("v")
+                v = _matrix(column, len(column[0]))
+                if not keys[2][a]:
+                    held.append((ids, v))
+                    continue
+                if shard is None:
+                    if not held:
+                        continue
+                    shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), k), []
+                found, _ = shard.nearest(ids, v, factor, part.column("bound").to_numpy())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = cells.groupBy("shard", "block", "dim").applyInPandas(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    tasks = max(1, min(4 * first * blocks, 8_192))
+    found = cells.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "asked", "id").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -170,3 +367,13 @@ def search(
 def op6_vp_trees(spark, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+#: ``op6_vp_trees`` by comparing every query with every row.
+OP6_SQL = """
+  WITH usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  asked AS (SELECT vec_id AS query_id, min(v) AS q FROM usable WHERE vec_id % 50 = 0 GROUP BY ALL),
+  scored AS (SELECT query_id, vec_id, list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v))) AS score FROM asked JOIN usable ON vec_id <> query_id AND len(q) = len(v))
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""

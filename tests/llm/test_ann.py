@@ -5,27 +5,47 @@ from marlstone.llm import ann
 
 
 def brute(ids, vectors, q_id, q, k):
-    rows = {}
-    for i, v in zip(ids, vectors, strict=True):
-        if i != q_id:
-            rows[i] = max(rows.get(i, -2), float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)))
-    return sorted(((-round(s, 12), i) for i, s in rows.items()))[:k]
+    rows = [(-round(float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)), 12), i) for i, v in zip(ids, vectors, strict=True) if i != q_id]
+    return sorted(rows)[:k]
 
 
-def test_factor_one_is_exact_and_larger_ones_skip():
+def clustered(n, size=4, centres=20):
     rng = np.random.default_rng(7)
-    centres = rng.normal(size=(20, 4))
-    x = centres[rng.integers(20, size=3000)] + rng.normal(size=(3000, 4)) * 0.05
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tree = ann.VPTree(x)
-    found, seen = tree.search(x[:50], 5, 1.0)
-    want = np.argsort(-(x[:50] @ x.T), axis=1)[:, :5]
-    for f, w, q in zip(found, want, x[:50], strict=True):
-        assert np.allclose(np.sort(x[f] @ q), np.sort(x[w] @ q))
-    less, fewer = tree.search(x[:50], 5, 4.0)
+    return rng.normal(size=(centres, size))[rng.integers(centres, size=n)] + rng.normal(size=(n, size)) * 0.05
+
+
+def test_factor_one_is_exact_and_larger_ones_skip():
+    x = clustered(3000)
+    shard = ann.Shard(np.arange(3000), x, 5)
+    found, seen = shard.nearest(np.arange(50), x[:50], 1.0)
+    got = {q: [(-round(s, 12), i) for a, i, s in found if a == q] for q in range(50)}
+    assert all(got[q] == brute(range(3000), x, q, x[q], 5) for q in range(50))
+    less, fewer = shard.nearest(np.arange(50), x[:50], 4.0)
     assert fewer < seen < 50 * 3000
-    hits = sum(len(set(a) & set(b)) for a, b in zip(less, found, strict=True))
-    assert hits >= 0.5 * 250
+    assert len({r[:2] for r in less} & {r[:2] for r in found}) >= 0.5 * 250
+
+
+def test_parallel_vectors_are_ranked_by_id(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 5))
+    rows = [(1000 + i, [float(y) for y in v]) for i, v in enumerate(x)]
+    rows += [(i, [float(y) * 2.0**i for y in x[50]]) for i in range(40)]  # 40 multiples of one vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for factor in (1.0, 4.0):
+        out = ann.search(df, df.where("vec_id = 1050"), factor=factor).orderBy("rank").collect()
+        assert [r.vec_id for r in out] == [0, 1, 2, 3, 4]
+        assert [r.vec_id for r in ann.search(df, df.where("vec_id = 2"), factor=factor).orderBy("rank").collect()] == [0, 1, 3, 4, 5]
+
+
+def test_shards_blocks_and_centres_change_nothing(spark):
+    x = clustered(2000)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0")
+    out = ann.search(df, asked, factor=1.0, rows_per_centre=100, pivots=64, shard_values=400, block_rows=7).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((-round(r.score, 12), r.vec_id))
+    assert len(got) == 40 and all(sorted(got[q]) == brute(range(2000), x, q, x[q], 5) for q in got)
 
 
 def test_rows(spark):
