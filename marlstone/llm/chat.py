@@ -154,3 +154,18 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_chats(rows.unionByName(own)))
+
+
+#: ``op5_chat_format``: the template adds 6 + 1 + 8 characters a turn, and one for each character it escapes.
+OP5_SQL = r"""
+  WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS body FROM (
+      SELECT conv_id, turn, role, "text" FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+  sized AS (SELECT *, 15 + 3 * length(role) - length(replace(role, '\', '')) - length(replace(replace(role, '<', ''), chr(10), ''))
+      + 3 * length(body) - length(replace(body, '\', '')) - length(replace(body, '<', '')) AS n FROM turns)
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+    CAST(coalesce(sum(length(body)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+  FROM sized GROUP BY conv_id"""
