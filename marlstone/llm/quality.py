@@ -3,25 +3,30 @@
 Base rules look at a text alone: fewer than 50 words, or more than half of its words inside repeated
 three-word windows, fail. The texts that pass are compared with those of their language and
 source. Their statistics (see ``FEATURES``) get a robust centre and scatter by the minimum covariance
-determinant: from coordinate medians, concentration steps keep the share ``CORE`` of the group with
-the smallest Mahalanobis distances and estimate centre and scatter from these again. A text whose
-squared distance exceeds ``CUTOFF`` is rejected.
-
-The scatter gets the squares of small floors on its diagonal. They keep it regular where most texts of a
+determinant: of all subsets with the share ``CORE`` of a group, that whose scatter has the least determinant. It is sought
+from three deterministic starts: medians with quartile ranges, medians with the scatter of directions (spatial signs),
+and the plain mean and scatter. A concentration step keeps the ``CORE`` with the smallest Mahalanobis distances and
+estimates centre and scatter from these again. After ``FIRST_STEPS`` of them the start with the least determinant is
+kept, and a group takes steps as long as one lowers its determinant by more than ``SETTLED`` of itself, ``MOST_STEPS`` in all at most; groups that
+have settled take no further part. A text whose squared distance exceeds ``CUTOFF`` is rejected.
+
+A variance below the square of a statistic's floor is raised to it. Floors keep the scatter regular where most texts of a
 group have the same value, say no symbol at all, and lie well below the spread of length and word length.
 The core's scatter is too small for the group, so distances are scaled until their median is that of a chi-squared
-distribution; its degrees of freedom are the statistics that vary in the core, each counted by
-the share of its variance that is not the floor's. ``CUTOFF`` is a quantile of that distribution for all five.
-A group of fewer than ``LEAST`` texts is pooled with the other small ones of its language, and if these
-are still too few, with all of the small rest.
+distribution; its degrees of freedom are the statistics that vary in the core, one below its floor counted by
+the share that its variance has of it. ``CUTOFF`` is a quantile of that distribution for all five.
+
+A group needs some texts for an estimate: one of fewer than ``least`` texts is pooled with the other small ones of its language,
+and if these are still too few, with all of the small rest. ``pooled`` says so in each row.
 
 How it is distributed: every text is read once; its statistics, a few numbers, are written to the shared folder,
-and the steps read these alone. Distances are counted in bins per group, and moments are summed per
-group, both before the shuffle, so that a group with a third of all rows sends one row per task and
-bin. The estimates, one row per group, are tables whose size Spark knows; it broadcasts them only
-below its threshold.
+and the steps read these alone. A step is one pass: counts and moments are summed per group, start and bin of distances
+before the shuffle, so that a group with a third of all rows sends one row per task and
+bin, and the moments of the core are those of its bins. A bin is a 32nd of a doubling of the distance; the core ends with a whole bin.
+The estimates, one row per group, are tables whose size Spark knows; it broadcasts them only below its threshold. The driver sees one number a step.
 
-Defined results: null, empty and blank texts have no words, zero counts and fail; null languages and
+Defined results: null, empty and blank texts have no words, zero counts and fail; a very long text is one row like any
+other, whose windows must fit in one task; null languages and
 sources are groups of their own; ids are never used, so null or repeated ids are rows like any others; an empty
 table gives an empty result. Input columns other than the named ones are carried through or ignored, whatever
 their names.
@@ -33,11 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, fresh, materialize, table, words
+from .common import BLANKS, delete_written, fresh, materialize, table, words, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Statistic and its floor, added to its variance as a square.
+#: Statistic and its floor: the least standard deviation that a scatter has.
 FEATURES = {
     "ln(1 + n_words)": 0.2,
     "ln(1 + word_chars / greatest(n_words, 1))": 0.02,
@@ -45,9 +50,12 @@ FEATURES = {
     "n_dup_lines / greatest(n_lines, 1)": 0.04,
     "n_repeat_words / greatest(n_words, 1)": 0.04,
 }
-CORE, STEPS, LEAST = 0.6, 4, 60
+CORE, LEAST = 0.6, 60
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 20, 1e-3
 #: The 0.9999 quantile of the chi-squared distribution with five degrees of freedom, one for each statistic.
 CUTOFF = 25.745
+#: Bins of the squared distance in a doubling of it.
+BINS = 32
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 P = len(FEATURES)
 
@@ -99,84 +107,123 @@ def base_statistics(docs: DataFrame, text: Column, out: str) -> DataFrame:
     )
 
 
-def _per_group(df: DataFrame, label: str) -> DataFrame:
-    """A written table of a row per group, in one file, so that its size tells Spark to broadcast it."""
-    return materialize(df.repartition(1), label)
-
-
 def _x(i: int) -> Column:
     return F.col(f"x{i}")
 
 
-def _with_factor(moments: DataFrame) -> DataFrame:
-    """Group, centre m*, scatter factor l*_* from moments of a group; each row of the factor is its own projection."""
-    n = F.col("n")
-    cov = [[(F.col(f"s{j}_{i}") / n - F.col(f"m{i}") * F.col(f"m{j}")) for j in range(i + 1)] for i in range(P)]
-    floors = list(FEATURES.values())
-    out = moments
-    for i in range(P):
-        for j in range(i + 1):
-            rest = cov[i][j] + (floors[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i in range(P) for j in range(i + 1)])
+#: Names of the sums of a group of rows, and of a fit: centre m*, scatter factor l*_*, logarithm of its determinant, degrees of freedom.
+_SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i in range(P) for j in range(i + 1)]]
+_FIT = [*[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i in range(P) for j in range(i + 1)], "lndet", "freedom"]
+
+
+def _moments(x: list[Column]) -> list[Column]:
+    out = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]]
+    return out + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i + 1)]
+
+
+def _fit(sums: DataFrame, *keep: str, centre: str = "s{i} / n", spread: str = "") -> DataFrame:
+    """The fit of sums; ``centre`` and ``spread`` (of a scatter that is only a shape) are SQL with {i} for the statistic.
+
+    Each name is used by the next ones in one projection; Catalyst lays them out in steps.
+    """
+    floors, pairs = list(FEATURES.values()), [(i, j) for i in range(P) for j in range(i + 1)]
+    steps = [f"{centre.format(i=i)} AS m{i}" for i in range(P)] + [f"s{i} / n AS a{i}" for i in range(P)]
+    steps += [f"s{i}_{j} / n - a{i} * a{j} AS c{i}_{j}" for i, j in pairs]
+    c = "c"
+    if spread:
+        steps += [f"{spread.format(i=i)} / sqrt(greatest(c{i}_{i}, 1e-12D)) AS k{i}" for i in range(P)]
+        steps += [f"c{i}_{j} * k{i} * k{j} AS d{i}_{j}" for i, j in pairs]
+        c = "d"
+    for i, j in pairs:
+        rest = (f"greatest({c}{i}_{i}, {floors[i] ** 2!r}D)" if i == j else f"{c}{i}_{j}") + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+        steps.append(f"sqrt(greatest({rest}, 1e-12D)) AS l{i}_{i}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
+    steps.append(" + ".join(f"2 * ln(l{i}_{i})" for i in range(P)) + " AS lndet")
+    varies = " + ".join(f"least(greatest({c}{i}_{i}, 0D) / {floors[i] ** 2!r}D, 1D)" for i in range(P))
+    steps.append(f"greatest(1D, {varies}) AS freedom")
+    return sums.selectExpr(*keep, *steps).select(*keep, *_FIT)
 
 
 def _distance(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance to the fit of their group."""
-    out = rows.join(fit, "grp", how)
-    for i in range(P):  # forward substitution
-        rest = _x(i) - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}_{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}_{i}"))
-    d2 = F.lit(0.0)
-    for i in range(P):
-        d2 = d2 + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.withColumn("d2", d2).drop(*[c for c in fit.columns if c[0] in "ml"], *[f"z{i}" for i in range(P)])
-
-
-def _binned(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * 16).cast("int"))
-
-
-def _bin_at(rows: DataFrame, share: float) -> DataFrame:
-    """(grp, cut): the first bin up to which the group has ``share`` of its rows."""
-    counts = rows.groupBy("grp", "bin").agg(F.count("*").alias("n"))
-    lane = Window.partitionBy("grp")  # one row per bin, under 1,500 of them whatever the rows
-    counts = counts.withColumn("up", F.sum("n").over(lane.orderBy("bin"))).withColumn("all", F.sum("n").over(lane))
-    return counts.where(F.col("up") >= share * F.col("all")).groupBy("grp").agg(F.min("bin").alias("cut"))
-
-
-def _estimates(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant fit of every group in ``rows`` (grp, x0..), and its scale."""
-    median = rows.groupBy("grp").agg(*[F.round(F.percentile_approx(f"x{i}", 0.5, 1000), 4).alias(f"m{i}") for i in range(P)])
+    """``rows`` with d2, the squared Mahalanobis distance to each fit of their group."""
+    steps = [f"(x{i} - m{i}{''.join(f' - l{i}_{k} * z{k}' for k in range(i))}) / l{i}_{i} AS z{i}" for i in range(P)]  # forward substitution
+    steps.append(" + ".join(f"z{i} * z{i}" for i in range(P)) + " AS d2")
+    return rows.join(fit, "grp", how).selectExpr("*", *steps).drop(*_FIT, *[f"z{i}" for i in range(P)])
+
+
+def _step(rows: DataFrame, fit: DataFrame, core: float) -> DataFrame:
+    """One concentration step: ``fit`` (grp, start, ...) as it was in ``was``, with the bin of its median distance, and the next fit."""
+    bins = F.floor(F.log2(F.col("d2") + 1e-9) * BINS).cast("int").alias("bin")
+    counted = _distance(rows, fit.select("grp", "start", *_FIT)).groupBy("grp", "start", bins).agg(*_moments([_x(i) for i in range(P)]))
+    lane = Window.partitionBy("grp", "start")  # one row per bin, under 3,000 of them whatever the rows
+    counted = counted.withColumn("up", F.sum("n").over(lane.orderBy("bin"))).withColumn("all", F.sum("n").over(lane))
+    inside = F.col("up") - F.col("n") < F.col("all") * core
+    sums = [F.sum(F.when(inside, F.col(c))).alias(c) for c in _SUMS]
+    middle = F.min(F.when(2 * F.col("up") >= F.col("all"), F.col("bin"))).alias("middle")
+    new = _fit(counted.groupBy("grp", "start").agg(*sums, middle), "grp", "start", "middle")
+    was = fit.select("grp", "start", F.struct(*_FIT).alias("was"))
+    return new.join(was, ["grp", "start"])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, fit): the three starts of every group."""
+    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
+    quartiles = materialize(quartiles, "quality-fit")
     floors = list(FEATURES.values())
-    fit = median.select(
-        "grp", *[f"m{i}" for i in range(P)], *[F.lit(floors[i] if i == j else 0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i + 1)]
-    )
-    fit = _per_group(fit, "quality-fit")
-    for _ in range(STEPS):
-        near = _binned(_distance(rows, fit))
-        core = near.join(_per_group(_bin_at(near, CORE), "quality-cut"), "grp").where(F.col("bin") <= F.col("cut"))
-        sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(P)]
-        sums += [F.sum(_x(i) * _x(j)).alias(f"s{j}_{i}") for i in range(P) for j in range(i + 1)]
-        moments = core.groupBy("grp").agg(F.count("*").alias("n"), *sums)
-        fit = _per_group(_with_factor(moments), "quality-fit")
-    middle = _bin_at(_binned(_distance(rows, fit)), 0.5)
-    freedom = F.lit(0.0)
-    for i in range(P):
-        variance = sum((F.pow(f"l{i}_{k}", F.lit(2.0)) for k in range(i + 1)), F.lit(0.0))
-        freedom = freedom + 1 - floors[i] ** 2 / variance
-    freedom = F.greatest(F.lit(1.0), freedom)
+    spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i]))
+    off = [(_x(i) - F.col(f"q{i}")[1]) / spread(i) for i in range(P)]
+    held = rows.join(quartiles, "grp").select("grp", *[_x(i) for i in range(P)], *[c.alias(f"o{i}") for i, c in enumerate(off)])
+    held = held.withColumn("o", F.sqrt(sum((F.col(f"o{i}") * F.col(f"o{i}") for i in range(P)), F.lit(0.0))))
+    signs = [F.when(F.col("o") > 0, F.col(f"o{i}") / F.col("o")).otherwise(0.0) for i in range(P)]
+    sums = held.groupBy("grp").agg(F.struct(*_moments([_x(i) for i in range(P)])).alias("plain"), F.struct(*_moments(signs)).alias("signs"))
+    sums = sums.join(quartiles.select("grp", *[F.col(f"q{i}")[1].alias(f"q{i}") for i in range(P)], *[spread(i).alias(f"r{i}") for i in range(P)]), "grp")
+    # Directions without their products are the quartile start.
+    none = {"n": F.lit(1.0)} | {c: F.lit(1.0 if c[1] == c[-1] and "_" in c else 0.0) for c in _SUMS[1:]}
+    alone = sums.select("grp", F.lit(0).alias("start"), *[F.col(f"q{i}") for i in range(P)], *[F.col(f"r{i}") for i in range(P)], *[v.alias(k) for k, v in none.items()])
+    shapes = sums.select("grp", F.lit(1).alias("start"), *[F.col(f"q{i}") for i in range(P)], *[F.col(f"r{i}") for i in range(P)], *[F.col("signs")[c].cast("double").alias(c) for c in _SUMS])
+    plain = sums.select("grp", F.lit(2).alias("start"), "plain.*")
+    given = {"centre": "q{i}", "spread": "r{i}"}
+    return _fit(alone.unionByName(shapes), "grp", "start", **given).unionByName(_fit(plain, "grp", "start"))
+
+
+def estimates(rows: DataFrame, *, core: float = CORE, most_steps: int = MOST_STEPS) -> DataFrame:
+    """Minimum-covariance-determinant fit of every group in ``rows`` (grp, x0..), its lndet, start and scale."""
+    spark, since = rows.sparkSession, len(written)
+    fit, done = materialize(_starts(rows), "quality-fit"), None
+    for step in range(1, most_steps + 1):
+        new = _step(rows, fit, core)
+        if step < FIRST_STEPS:
+            fit = materialize(new.select("grp", "start", *_FIT), "quality-fit")
+        elif step == FIRST_STEPS:
+            first = F.row_number().over(Window.partitionBy("grp").orderBy("lndet", "start"))
+            fit = materialize(new.withColumn("_first", first).where("_first = 1").select("grp", "start", *_FIT), "quality-fit")
+        else:
+            settled = (F.col("lndet") > F.col("was.lndet") - SETTLED) | F.lit(step == most_steps)
+            new = materialize(new.withColumn("settled", settled), "quality-fit")
+            ended = new.where("settled").select("grp", "start", "middle", "was.*")
+            done = ended if done is None else done.unionByName(ended)
+            fit = new.where("not settled").select("grp", "start", *_FIT)
+            if fit.isEmpty():
+                break
+    done = materialize(done, "quality-fit")
+    delete_written(spark, since=since, keep=1)
+    freedom = F.col("freedom")
     median = freedom * F.pow(1 - 2 / (9 * freedom), F.lit(3.0))  # Wilson and Hilferty's approximation
-    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / 16) / median)
-    return _per_group(fit.join(middle, "grp").withColumn("scale", scale).drop("cut"), "quality-fit")
-
-
-def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, out: str = "quality") -> DataFrame:
-    """``docs`` with a struct ``out``: the base counts, base_failed, distance and kept.
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("middle") + 1) / BINS) / median)
+    return done.select("grp", "start", *_FIT, scale.alias("scale"))
+
+
+def judge(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    carry: list[str] | None = None,
+    out: str = "quality",
+    least: int = LEAST,
+    cutoff: float = CUTOFF,
+) -> DataFrame:
+    """``docs`` with a struct ``out``: the base counts, base_failed, distance, pooled and kept.
 
     The columns ``carry`` (all, if None) go to the shared folder once, with the statistics,
     and are those of the result.
@@ -184,26 +231,26 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     q = "_quality"
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     kept = docs.columns if carry is None else carry
-    held = docs.select(F.struct(*kept).alias("_row"), F.col(text_col).alias("_text"), part(lang_col).alias("_lang"), F.concat_ws("\x1f", part(lang_col), part(source_col)).alias("_full"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text_col).alias("_text"), part(lang_col).alias("_lang"), F.concat_ws("\x1f", part(lang_col), part(source_col)).alias("_full"))
     measured = base_statistics(held, F.col("_text"), q).drop("_text")
     measured = materialize(measured, "quality-rows")
 
     passed = F.expr(f"not {q}.base_failed")
-    counts = _per_group(measured.where(passed).groupBy("_full", "_lang").agg(F.count("*").alias("n")), "quality-groups")
-    small = F.col("n") < LEAST
-    rest = counts.where(small).groupBy("_lang").agg(F.sum("n").alias("rest"))
-    groups = counts.join(rest, "_lang", "left").select(
-        "_full", F.when(~small, F.col("_full")).when(F.col("rest") >= LEAST, F.col("_lang")).otherwise(F.lit("")).alias("grp")
+    counts = measured.where(passed).groupBy("_full", "_lang").agg(F.count("*").alias("n"))
+    small = F.col("n") < least
+    rest = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("_lang"))  # one row per group of the language
+    groups = counts.withColumn("rest", rest).select(
+        "_full", small.alias("pooled"), F.when(~small, F.col("_full")).when(F.col("rest") >= least, F.col("_lang")).otherwise(F.lit("")).alias("grp")
     )
-    groups = _per_group(groups, "quality-groups")
+    groups = materialize(groups, "quality-groups")
     features = [F.expr(f.replace("n_", f"{q}.n_").replace("word_chars", f"{q}.word_chars")).cast("double").alias(f"x{i}") for i, f in enumerate(FEATURES)]
     placed = measured.join(groups, "_full", "left")
-    fit = _estimates(placed.where(passed).select("grp", *features))
-    final = _distance(placed.select("_row", q, "grp", *features), fit, "left")
-    verdict = passed & F.coalesce(F.col("d2") <= CUTOFF * F.col("scale"), F.lit(False))
+    fit = estimates(placed.where(passed).select("grp", *features))
+    final = _distance(placed.select("_row", q, "grp", "pooled", *features), fit, "left")
+    verdict = passed & F.coalesce(F.col("d2") <= cutoff * F.col("scale"), F.lit(False))
     return final.select(
         *[F.col("_row")[c].alias(c) for c in kept if c != out],
-        F.struct(F.col(f"{q}.*"), (F.col("d2") / F.col("scale")).alias("distance"), verdict.alias("kept")).alias(out),
+        F.struct(F.col(f"{q}.*"), (F.col("d2") / F.col("scale")).alias("distance"), F.coalesce("pooled", F.lit(False)).alias("pooled"), verdict.alias("kept")).alias(out),
     )
 
 
@@ -217,4 +264,3 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = judge(docs, carry=["doc_id"])  # no text is written
     return found.select("doc_id", *[F.col("quality")[c].alias(c) for c in BASE], F.col("quality")["base_failed"].alias("base_failed"), F.col("quality")["kept"].alias("kept"))
-
