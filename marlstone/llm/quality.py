@@ -10,11 +10,11 @@ estimates centre and scatter from these again. After ``FIRST_STEPS`` of them the
 kept, and a group takes steps as long as one lowers its determinant by more than ``SETTLED`` of itself, ``MOST_STEPS`` in all at most; groups that
 have settled take no further part. A text whose squared distance exceeds ``CUTOFF`` is rejected.
 
-A variance below the square of a statistic's floor is raised to it. Floors keep the scatter regular where most texts of a
+Scatters are regularised: they have the squares of small floors added to their variances, in determinants too. Floors keep them regular where most texts of a
 group have the same value, say no symbol at all, and lie well below the spread of length and word length.
 The core's scatter is too small for the group, so distances are scaled until their median is that of a chi-squared
-distribution; its degrees of freedom are the statistics that vary in the core, one below its floor counted by
-the share that its variance has of it. ``CUTOFF`` is a quantile of that distribution for all five.
+distribution; its degrees of freedom are the statistics that vary in the core, each counted by
+the share of its variance that is not the floor's. ``CUTOFF`` is a quantile of that distribution for all five.
 
 A group needs some texts for an estimate: one of fewer than ``least`` texts is pooled with the other small ones of its language,
 and if these are still too few, with all of the small rest. ``pooled`` says so in each row.
@@ -42,7 +42,7 @@ from .common import BLANKS, delete_written, fresh, materialize, table, words, wr
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Statistic and its floor: the least standard deviation that a scatter has.
+#: Statistic and its floor, added to its variance as a square.
 FEATURES = {
     "ln(1 + n_words)": 0.2,
     "ln(1 + word_chars / greatest(n_words, 1))": 0.02,
@@ -56,6 +56,8 @@ FIRST_STEPS, MOST_STEPS, SETTLED = 2, 20, 1e-3
 CUTOFF = 25.745
 #: Bins of the squared distance in a doubling of it.
 BINS = 32
+#: Distances below it are in one bin.
+LEAST_D2 = 2.0**-10
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 P = len(FEATURES)
 
@@ -135,10 +137,10 @@ def _fit(sums: DataFrame, *keep: str, centre: str = "s{i} / n", spread: str = ""
         steps += [f"c{i}_{j} * k{i} * k{j} AS d{i}_{j}" for i, j in pairs]
         c = "d"
     for i, j in pairs:
-        rest = (f"greatest({c}{i}_{i}, {floors[i] ** 2!r}D)" if i == j else f"{c}{i}_{j}") + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+        rest = f"{c}{i}_{j}" + (f" + {floors[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
         steps.append(f"sqrt(greatest({rest}, 1e-12D)) AS l{i}_{i}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
     steps.append(" + ".join(f"2 * ln(l{i}_{i})" for i in range(P)) + " AS lndet")
-    varies = " + ".join(f"least(greatest({c}{i}_{i}, 0D) / {floors[i] ** 2!r}D, 1D)" for i in range(P))
+    varies = " + ".join(f"1 - {floors[i] ** 2!r}D / greatest({c}{i}_{i} + {floors[i] ** 2!r}D, {floors[i] ** 2!r}D)" for i in range(P))
     steps.append(f"greatest(1D, {varies}) AS freedom")
     return sums.selectExpr(*keep, *steps).select(*keep, *_FIT)
 
@@ -152,9 +154,9 @@ def _distance(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
 
 def _step(rows: DataFrame, fit: DataFrame, core: float) -> DataFrame:
     """One concentration step: ``fit`` (grp, start, ...) as it was in ``was``, with the bin of its median distance, and the next fit."""
-    bins = F.floor(F.log2(F.col("d2") + 1e-9) * BINS).cast("int").alias("bin")
+    bins = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(LEAST_D2))) * BINS).cast("int").alias("bin")
     counted = _distance(rows, fit.select("grp", "start", *_FIT)).groupBy("grp", "start", bins).agg(*_moments([_x(i) for i in range(P)]))
-    lane = Window.partitionBy("grp", "start")  # one row per bin, under 3,000 of them whatever the rows
+    lane = Window.partitionBy("grp", "start")  # one row per bin, about a thousand of them whatever the rows
     counted = counted.withColumn("up", F.sum("n").over(lane.orderBy("bin"))).withColumn("all", F.sum("n").over(lane))
     inside = F.col("up") - F.col("n") < F.col("all") * core
     sums = [F.sum(F.when(inside, F.col(c))).alias(c) for c in _SUMS]
@@ -194,8 +196,8 @@ def estimates(rows: DataFrame, *, core: float = CORE, most_steps: int = MOST_STE
         if step < FIRST_STEPS:
             fit = materialize(new.select("grp", "start", *_FIT), "quality-fit")
         elif step == FIRST_STEPS:
-            first = F.row_number().over(Window.partitionBy("grp").orderBy("lndet", "start"))
-            fit = materialize(new.withColumn("_first", first).where("_first = 1").select("grp", "start", *_FIT), "quality-fit")
+            best = F.min_by(F.struct("start", *_FIT), F.struct("lndet", "start")).alias("best")
+            fit = materialize(new.groupBy("grp").agg(best).select("grp", "best.*"), "quality-fit")
         else:
             settled = (F.col("lndet") > F.col("was.lndet") - SETTLED) | F.lit(step == most_steps)
             new = materialize(new.withColumn("settled", settled), "quality-fit")

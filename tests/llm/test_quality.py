@@ -1,7 +1,9 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.llm import quality
@@ -61,30 +63,47 @@ def test_outliers_go_and_clean_texts_stay(spark):
         assert [r.doc_id for r in out if r.quality.kept == r.bad] == []
 
 
-def test_estimates_agree_with_numpy(spark):
-    """The last step's fit is the mean and scatter of its core, so distances follow from numpy."""
-    import numpy as np
-
-    rows = corpus(400, 0.1, 11)
-    df = spark.createDataFrame([(i, t, "en", "a") for i, t, *_ in rows], "doc_id long, text string, lang string, source string")
-    out = sorted(quality.judge(df).collect(), key=lambda r: r.doc_id)
-    x = []
-    for r in out:
-        n, wc, sy, d, rep, _ = fields(r)
-        x.append([np.log1p(n), np.log1p(wc / max(n, 1)), sy / max(wc, 1), d / max(r.quality.n_lines, 1), rep / max(n, 1)])
-    x = np.array(x)
-    floors = np.array(list(quality.FEATURES.values()))
-    centre, scatter = np.quantile(x, 0.5, axis=0, method="inverted_cdf").round(4), np.diag(floors**2)
-    for _ in range(quality.STEPS):
-        d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-        bins = np.floor(np.log2(d2 + 1e-9) * 16)
-        core = bins <= np.sort(bins)[int(np.ceil(quality.CORE * len(x))) - 1]
-        centre = x[core].mean(axis=0)
-        scatter = np.cov(x[core].T, bias=True) + np.diag(floors**2)
-    d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-    mine = np.array([r.quality.distance for r in out])
-    ratio = d2 / mine
-    assert np.allclose(ratio, ratio[0], rtol=0.02)
+def log_determinant(x):
+    return np.linalg.slogdet(scatter(x))[1]
+
+
+def scatter(x):
+    return np.cov(x.T, bias=True) + np.diag(np.array(list(quality.FEATURES.values())) ** 2)
+
+
+def test_least_determinant_of_all_subsets(spark):
+    """Groups of 13 with five outliers: the core is that of all 1,287 subsets of 8 with the least determinant."""
+    rng = np.random.default_rng(5)
+    groups = {}
+    for g in range(4):
+        x = rng.normal(size=(13, 5)) @ rng.normal(size=(5, 5))
+        x[8:] = x[:5] * 0.1 + rng.choice([-30, 30], size=(5, 5))
+        groups[f"g{g}"] = x
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"x{i} double" for i in range(5)))
+    fits = {r.grp: r for r in quality.estimates(df, core=8 / 13).collect()}
+    for g, x in groups.items():
+        best = min(combinations(range(13), 8), key=lambda s: log_determinant(x[list(s)]))
+        core = x[list(best)]
+        assert abs(fits[g].lndet - log_determinant(core)) < 1e-6
+        assert np.allclose([fits[g][f"m{i}"] for i in range(5)], core.mean(axis=0))
+        factor = np.array([[fits[g][f"l{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose(factor @ factor.T, scatter(core))
+
+
+def test_steps_lower_determinants(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(900, 5)), rng.normal(size=(100, 5)) + 9])
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"x{i} double" for i in range(5)))
+    few, many = (quality.estimates(df, most_steps=n).first().lndet for n in (3, 20))
+    assert many <= few + 1e-9 and many < log_determinant(x[:900])
+
+
+def test_small_groups_are_pooled(spark):
+    rows = [(i, t, "en", "big" if i < 200 else f"s{i % 3}") for i, t, *_ in corpus(290, 0.0, 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for least, pooled in ((60, 90), (30, 0), (201, 290)):
+        assert sum(r.quality.pooled for r in quality.judge(df, least=least).collect()) == pooled
 
 
 def test_ids_play_no_part(spark):
