@@ -1,9 +1,9 @@
 """Token counts of whole texts with overlap resynchronisation for huge documents.
 
-A text up to ``chunk_chars`` is encoded in one go. A longer one is cut into chunks that
-overlap; each chunk is encoded by itself with offsets, and neighbours are spliced at a
-boundary that both share and that is proven stable. When no such boundary lies in the
-overlap, the overlap is doubled and tried again, in the worst case up to the end of the text.
+Every text is cut into chunks that overlap (a short one is a single chunk); each chunk is encoded by itself with offsets,
+and neighbours are spliced at a boundary that both share and that is proven stable. When no such boundary lies in the
+overlap, the overlap is doubled and tried again, in the worst case up to the end of the text. At most two chunks are held at a time,
+so memory does not follow the longest document.
 
 Why a shared boundary is proof. The byte-level pre-tokenizer scans from left to right and
 keeps no state between its matches: what follows a boundary depends on the text after it
@@ -15,9 +15,9 @@ since a match looks at most one character ahead and an added token is not longer
 same distance from the right chunk's start keeps added tokens whole. Boundaries inside a
 pre-token prove nothing and are not used.
 
-Texts of Latin letters take the same boundaries one step further: every pre-token is encoded
-once by the library and its count kept (``PretokenCounts``). Any other text goes through the
-library whole. The two give equal counts (tests compare them over every character below U+0250).
+Encoding a chunk means its pre-tokens' places and token counts. Below ``KNOWN`` the pre-tokenizer's pattern is written out, and a worker remembers
+the counts of pre-tokens, each encoded once by the library; a chunk with other characters or an added token's string is
+encoded by the library whole. The two give equal counts (tests compare them over every such character).
 
 Defined results: null and empty texts have 0 bytes, 0 tokens and are not over the limit; a null
 id stays null; equal rows give equal rows; an empty table gives an empty result. Input columns
@@ -29,8 +29,10 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CHUNK_CHARS, OVERLAP_CHARS, MARGIN = 1 << 16, 1 << 10, 32
+CHUNK_CHARS, OVERLAP_CHARS, MARGIN = 2_048, 128, 32
 #: Pre-tokens whose counts a Python worker keeps; then it starts afresh.
 KEPT_PRETOKENS = 400_000
 
@@ -61,66 +63,82 @@ def tokenizer(name: str, plain: bool = False):
     return own
 
 
-def chunk_boundaries(tok, text: str) -> tuple[list[int], list[int]]:
+@lru_cache(maxsize=4)
+def _added(tok) -> frozenset[int]:
+    return frozenset(tok.get_added_tokens_decoder())
+
+
+Boundaries = tuple[list[int], list[int]]
+
+
+def chunk_boundaries(tok, text: str) -> Boundaries:
     """(start, index of its first token) of every pre-token of ``text``; then the end."""
     enc = tok.encode(text, add_special_tokens=False)
     starts, firsts, last = [], [], None
-    special = {i for i, t in tok.get_added_tokens_decoder().items()}
+    special = _added(tok)
     # A pre-token is the first after an added token or where the word number changes.
-    for k, (ids, word, (a, _)) in enumerate(zip(enc.ids, enc.word_ids, enc.offsets, strict=True)):
-        here = ("s", k) if ids in special else ("w", word, last[2] if last and last[0] == "w" else k)
-        if ids in special or last is None or last[0] == "s" or word != last[1]:
+    for k, (i, word, (a, _)) in enumerate(zip(enc.ids, enc.word_ids, enc.offsets, strict=True)):
+        if i in special or last is None or word != last:
             starts.append(a)
             firsts.append(k)
-        last = here
+        last = None if i in special else word
     return [*starts, len(text)], [*firsts, len(enc.ids)]
 
 
-def count_by_chunks(text: str, encode: Callable[[str], tuple[list[int], list[int]]], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = MARGIN) -> int:
-    """Number of tokens of ``text`` from spliced chunks; at most two chunks are held at a time."""
-    n, total = len(text), 0
+def splice(bounds: Boundaries, start: int, taken: int, other: Boundaries, nxt: int, low: int, high: int) -> tuple[int, int] | None:
+    """(token of the left chunk, token of the right one) at their last shared boundary from ``low`` to ``high``."""
+    (left, firsts), (right, r_firsts) = bounds, other
+    for j in range(min(bisect_right(right, high - nxt), len(right) - 1) - 1, bisect_left(right, low - nxt) - 1, -1):
+        i = bisect_left(left, nxt + right[j] - start)
+        if i < len(left) - 1 and left[i] == nxt + right[j] - start and firsts[i] >= taken:
+            return firsts[i], r_firsts[j]
+    return None
+
+
+def count_by_chunks(text: str, encode: Callable[[str], Boundaries], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = MARGIN) -> tuple[int, int]:
+    """Number of tokens of ``text``, and of splices between its chunks; at most two chunks are held at a time."""
+    n, total, splices = len(text), 0, 0
     start, end = 0, min(chunk + overlap, n)  # the left chunk
-    bounds, firsts = encode(text[:end])
+    left = encode(text[:end])
     taken = 0  # tokens of the left chunk that belong to what was spliced before it
     while end < n:
         width, nxt = overlap, max(start + 1, end - overlap)
         while True:
             right_end = min(end + chunk, n)  # beyond the left chunk, however far that was widened
-            r_bounds, r_firsts = encode(text[nxt:right_end])
-            low = nxt + margin if nxt else 0
-            high = end - margin if end < n else n
-            theirs = {nxt + b: k for b, k in zip(r_bounds[:-1], r_firsts[:-1], strict=True) if low <= nxt + b <= high}
-            at = next((i for i in range(len(bounds) - 2, -1, -1) if start + bounds[i] in theirs and firsts[i] >= taken), None)
+            right = encode(text[nxt:right_end])
+            at = splice(left, start, taken, right, nxt, nxt + margin, end - margin)
             if at is not None:
-                total += firsts[at] - taken
-                taken = theirs[start + bounds[at]]
-                start, end, bounds, firsts = nxt, right_end, r_bounds, r_firsts
+                total, taken, splices = total + at[0] - taken, at[1], splices + 1
+                start, end, left = nxt, right_end, right
                 break
-            if end >= n:  # the left chunk now reaches the end and needs no partner
-                return total + firsts[-1] - taken
             width *= 2  # widen the overlap: the left chunk is encoded again, further on
             end = min(end + width, n)
-            bounds, firsts = encode(text[start:end])
-            if end >= n:
-                return total + firsts[-1] - taken
-    return total + firsts[-1] - taken
+            left = encode(text[start:end])
+            if end >= n:  # the left chunk now reaches the end and needs no partner
+                return total + left[1][-1] - taken, splices
+    return total + left[1][-1] - taken, splices
+
+
+#: Characters below it are written out in the pattern.
+KNOWN = 0x3000
 
 
-def _latin() -> tuple[str, str, str]:
-    """Letters, numbers and white space below U+0250, for a character class."""
-    at = [chr(c) for c in range(0x250)]
+def _classes() -> tuple[str, str, str, str]:
+    """Letters, numbers, white space and what is not assigned (the library may know a later Unicode) below KNOWN, for a character class."""
+    at = [chr(c) for c in range(KNOWN)]
     pick = lambda kind: "".join(re.escape(c) for c in at if unicodedata.category(c)[0] == kind)
-    return pick("L"), pick("N"), "\\t-\\r \\x85\\xa0"
+    unknown = "".join(c for c in at if unicodedata.category(c) == "Cn")
+    return pick("L"), pick("N"), "\\t-\\r \\x85" + "".join(c for c in at if unicodedata.category(c)[0] == "Z" and c != " "), unknown
 
 
-_L, _N, _S = _latin()
-#: The pre-tokenizer's published pattern, with its classes written out for Latin texts.
+_L, _N, _S, _UNKNOWN = _classes()
+#: The pre-tokenizer's published pattern, with its classes written out.
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_OTHER = re.compile("[ɐ-\U0010ffff]")
+_OTHER = re.compile(f"[{_UNKNOWN}{chr(KNOWN)}-\U0010ffff]")
 
 
-class PretokenCounts:
-    """Token counts of pre-tokens, each encoded once by the library."""
+class Encoder:
+    """Boundaries and token counts of chunks; pre-tokens are encoded once by the library and remembered."""
 
     def __init__(self, tok) -> None:
         self.tok, self.kept = tok, {}
@@ -129,38 +147,36 @@ class PretokenCounts:
     def fits(self, text: str) -> bool:
         return not _OTHER.search(text) and not any(a in text for a in self.added)
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Counts of texts that fit."""
-        parts = [PRETOKEN.findall(t) for t in texts]
+    def learn(self, parts: Iterable[str]) -> None:
+        """Remember the counts of these pre-tokens."""
         if len(self.kept) > KEPT_PRETOKENS:
             self.kept.clear()
-        new = list(set().union(*parts).difference(self.kept)) if parts else []
+        new = list(set(parts).difference(self.kept))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             self.kept.update(zip(some, map(len, self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        get = self.kept.__getitem__
-        return [sum(map(get, p)) for p in parts]
+
+    def boundaries(self, text: str) -> Boundaries:
+        if not self.fits(text):
+            return chunk_boundaries(self.tok, text)
+        parts = PRETOKEN.findall(text)
+        try:
+            counts = list(map(self.kept.__getitem__, parts))
+        except KeyError:
+            self.learn(parts)
+            counts = map(self.kept.__getitem__, parts)
+        return [0, *accumulate(map(len, parts))], [0, *accumulate(counts)]
 
 
 @lru_cache(maxsize=4)
-def _counts(name: str) -> PretokenCounts:
-    return PretokenCounts(tokenizer(name))
-
-
-def count_texts(texts: list[str], name: str, chunk_chars: int, overlap_chars: int) -> list[int]:
-    """Token counts in the order of ``texts``."""
-    tok, memo = tokenizer(name), _counts(name)
-    out = [0] * len(texts)
-    fit, whole = [], []
-    for i, t in enumerate(texts):
-        if len(t) > chunk_chars:
-            out[i] = count_by_chunks(t, lambda s: chunk_boundaries(tok, s), chunk_chars, overlap_chars)
-        elif t:
-            (fit if memo.fits(t) else whole).append(i)
-    for group, count in ((fit, memo.count), (whole, lambda ts: [len(e) for e in tok.encode_batch_fast(ts, add_special_tokens=False)])):
-        for i, n in zip(group, count([texts[i] for i in group]), strict=True):
-            out[i] = n
-    return out
+def encoder(name: str) -> Encoder:
+    return Encoder(tokenizer(name))
+
+
+def count_texts(texts: list[str], name: str, chunk_chars: int, overlap_chars: int) -> list[tuple[int, int]]:
+    """(tokens, splices) in the order of ``texts``."""
+    own = encoder(name)
+    return [count_by_chunks(t, own.boundaries, chunk_chars, overlap_chars) if t else (0, 0) for t in texts]
 
 
 def count_tokens(
@@ -173,24 +189,19 @@ def count_tokens(
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
 ) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit``, one row per row of ``docs``; no shuffle."""
+    """``doc_id, n_bytes, n_tokens, n_splices, over_limit``, one row per row of ``docs``; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for i in range(0, len(rows), 256):
                 part = rows.iloc[i : i + 256]
                 texts = [t or "" for t in part["text"]]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"],
-                        "n_bytes": [len(t.encode()) for t in texts],
-                        "n_tokens": count_texts(texts, tokenizer_file, chunk_chars, overlap_chars),
-                    }
-                )
+                n_tokens, n_splices = zip(*count_texts(texts, tokenizer_file, chunk_chars, overlap_chars), strict=True)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n_tokens, "n_splices": n_splices})
 
     kind = docs.schema[id_col].dataType.simpleString()
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_bytes long, n_tokens long"
+        run, f"doc_id {kind}, n_bytes long, n_tokens long, n_splices long"
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
