@@ -11,14 +11,17 @@ and the body's C_b and LC_b,
 
 (zeros count as one). The sum of its children's densities is a node's score, and the subtree with the
 largest score is the core of the article. The least density on the path from the body to the core is the threshold.
-Around the core the article grows: to the enclosing ``article`` or ``main`` if there is one, else upwards as long as
-what a parent adds reaches the threshold and is not mainly links; headings beside it always belong, and from the body
-itself paragraphs and the like that reach the threshold.
+Around the core the article grows upwards as long as
+what a parent adds reaches the threshold and is not mainly links; a list, table or paragraph is never more than a part of what its parent
+holds; headings beside it always belong, and from the body
+itself paragraphs and the like that reach the threshold. Names of tags set nothing but menus and the like aside; which
+subtree is the article, densities alone decide.
 
 Defined results: a null or empty html, and a page without text, give an empty text of 0 characters; a text without tags
 is its own main text; unclosed, crossed and unknown tags are read as browsers read them, as far as blocks go; equal rows
 give equal rows; null ids and urls stay null; an empty table gives an empty result. Input columns other than the
-named ones are ignored. Pages are read whole, row by row, without a shuffle.
+named ones are ignored. Pages are read whole, row by row, without a shuffle, in time linear in their length, however deep their
+tags are nested.
 """
 
 from __future__ import annotations
@@ -80,6 +83,7 @@ class _Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.away, self.link = ["body"], [-1], [False], [False]
         self.title = [False]
+        self.inner = [False]  # an article or main, or inside one
         self.named = [False]  # by form, role or name, to be weighed
         self.runs: list[tuple[int, str | None]] = []  # (node, text) in page order; None ends a block
         self._read(source)
@@ -90,6 +94,7 @@ class _Page:
         self.parent.append(up)
         self.away.append(self.away[up] or self._is_aside(tag, attributes, up))
         self.link.append(self.link[up] or tag == "a")
+        self.inner.append(self.inner[up] or tag in ("article", "main"))
         self.named.append(self._is_named(tag, attributes))
         self.title.append("eader" in attributes and _TITLE.search(attributes) is not None)
         return len(self.tag) - 1
@@ -97,10 +102,7 @@ class _Page:
     def _is_aside(self, tag: str, attributes: str, up: int) -> bool:
         if tag in ASIDE_TAGS:
             return True
-        inside = up
-        while inside > 0 and self.tag[inside] not in ("article", "main"):
-            inside = self.parent[inside]
-        if tag == "header" and inside <= 0:
+        if tag == "header" and not self.inner[up]:
             return True  # an article's own header holds its title
         if not attributes.strip():
             return False
@@ -170,11 +172,23 @@ class _Page:
 
     def _read(self, source: str) -> None:
         stack, at, n = [0], 0, len(source)
-        open_p = 0
+        places: dict[str, list[int]] = {}  # of each tag's open elements in the stack, and of all blocks: no step walks the stack
+        blocks: list[int] = []
+
+        def last(*tags: str) -> int:
+            return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
+        def push(node: int) -> None:
+            places.setdefault(self.tag[node], []).append(len(stack))
+            if self.tag[node] in BLOCK:
+                blocks.append(len(stack))
+            stack.append(node)
 
         def cut(k: int) -> None:
-            nonlocal open_p
-            open_p -= sum(self.tag[x] == "p" for x in stack[k:])
+            for node in stack[k:]:
+                places[self.tag[node]].pop()
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
             del stack[k:]
 
         while at < n:
@@ -196,8 +210,8 @@ class _Page:
             if closing:
                 if tag in BLOCK:
                     self.runs.append((stack[-1], None))
-                k = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag), 0)
-                if k and not (tag not in BLOCK and any(self.tag[x] in BLOCK for x in stack[k + 1 :])):
+                k = last(tag)
+                if k and (tag in BLOCK or not blocks or blocks[-1] <= k):
                     cut(k)
                 continue
             if tag in RAW:
@@ -206,22 +220,15 @@ class _Page:
                 continue
             if tag in BLOCK:
                 self.runs.append((stack[-1], None))
-                if open_p:
-                    names = [self.tag[x] for x in stack]
-                    k = len(names) - 1 - names[::-1].index("p")
-                    if not {"table", "button"} & set(names[k:]):
-                        cut(k)
+                k = last("p")
+                if k and last("table", "button") < k:
+                    cut(k)
             if tag in ENDS:
                 names, stops = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in stops:
+                while (k := last(*names)) > last(*stops):
+                    cut(k)
+                    if tag not in ("tr", "tbody"):
                         break
-                    if self.tag[stack[k]] in names:
-                        cut(k)
-                        if tag not in ("tr", "tbody"):
-                            break
-                        if len(stack) <= k:
-                            continue
             if tag in VOID:
                 if tag == "br":
                     self.runs.append((stack[-1], " "))
@@ -230,8 +237,7 @@ class _Page:
                 continue
             node = self._open(tag, attributes, stack[-1])
             if not attributes.rstrip().endswith("/") or tag in BLOCK or tag == "a":
-                stack.append(node)
-                open_p += tag == "p"
+                push(node)
 
     def main_text(self) -> str:
         n = len(self.tag)
@@ -269,13 +275,11 @@ class _Page:
         while path[-1] > 0:
             path.append(self.parent[path[-1]])
         threshold = min(ctd[i] for i in path)
-        named = [i for i in path if self.tag[i] in ("article", "main")]
         kept = {core}
-        if named:
-            articles = [i for i in named if self.tag[i] == "article"]
-            kept = {(articles or named)[-1]}
-        elif core:
-            top = core
+        if core:
+            top, up = core, self.parent[core]
+            if self.tag[core] in _PROSE and up > 0 and 2 * (link_chars[up] - link_chars[core]) <= chars[up] - chars[core]:
+                top = up  # one list, table or paragraph of what its parent holds
             heads: dict[int, list[int]] = {}
             for i in range(1, n):
                 if (self.tag[i] in _HEADS or self.title[i]) and not self.away[i] and 2 * link_chars[i] <= chars[i]:

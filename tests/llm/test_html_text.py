@@ -40,6 +40,24 @@ def test_broken_pages_end_soon():
     assert time.time() - began < 20
 
 
+def test_deep_nesting_takes_linear_time():
+    n = 100_000
+    for page, size in (("<div>x" * n + "</div>" * n, 3 * n - 2), ("<div><b></i></span>" * n + "x", 1), ("<li><span>" * n + "x", 1), ("<tr><td><table>" * n + "x", 1)):
+        began = time.time()
+        assert len(main_text(page)) == size
+        assert time.time() - began < 5
+
+
+def test_density_finds_articles_by_any_name(sf):
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()
+    same = sum(main_text(p) == main_text(re.sub(r"(</?)(article|main)\b", r"\1div", p)) for p in pages)
+    assert same >= 0.95 * len(pages)  # an article of a few words is hard to tell from a notice
+
+
 def test_rows(spark, sf):
     rows = [(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (2, "u", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
