@@ -2,10 +2,11 @@
 
 Every language has a smoothed distribution over hashed character trigrams. A document is taken
 as a mixture: expectation-maximisation estimates the languages' proportions from the
-likelihoods of its trigrams. The set of languages is chosen by penalised likelihood: the
-likeliest language alone is tried first; where that loses too much, starting from all, the language that contributes least is left out as long as the log-likelihood,
-less ``penalty`` times half the log of the number of trigrams per language, does not fall. The
-prediction is the largest proportion, which is also the score.
+likelihoods of its trigrams, until none moves by more than ``SETTLED``, in ``ROUNDS`` rounds at most. The set of languages is chosen by penalised likelihood,
+log-likelihood less ``penalty`` times half the log of the number of trigrams per language: from the likeliest language alone, the
+one that adds most is taken in as long as it adds more than its price; then any that adds less beside the others is left out.
+The log-likelihood is concave in the proportions, so a language adds at most its slope where it is absent; only those whose slope
+exceeds the price are tried. The prediction is the largest proportion, which is also the score.
 
 Trigram counts come from a bounded sample: at most ``per_language`` texts of each language, chosen
 by a hash of the id, outside the held-out fold, of at most ``max_train_chars`` characters.
@@ -14,7 +15,8 @@ travels in the function's closure.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every
 text if nothing was learned; ties go to the language first in code-point order; null ids are not
-held out and not learned from; an empty table gives an empty result. Input columns other than the named
+held out and not learned from; repeated ids are sampled once, by their least text of a language; very long texts are counted whole; an empty
+table gives an empty result. Input columns other than the named
 ones are ignored.
 """
 
@@ -35,6 +37,8 @@ from .common import held_out, local_table, table
 
 BINS = 1 << 15
 UNKNOWN = "und"
+#: Rounds of expectation-maximisation, and the move of a proportion that ends it.
+ROUNDS, SETTLED = 200, 1e-4
 
 
 @lru_cache(maxsize=1)
@@ -60,6 +64,16 @@ def trigrams(text: str | None) -> np.ndarray:
     return bins[b != 0]
 
 
+def settle(n: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions of the rows of ``like`` by expectation-maximisation, and their log-likelihood."""
+    theta, total = np.full(len(like), 1 / len(like)), n.sum()
+    for _ in range(ROUNDS if len(like) > 1 else 0):
+        old, theta = theta, theta * (like @ (n / (theta @ like))) / total
+        if np.abs(theta - old).max() < SETTLED:
+            break
+    return theta, float(n @ np.log(theta @ like))
+
+
 class Model:
     """Log-likelihoods of trigram bins by language, languages in code-point order."""
 
@@ -77,39 +91,39 @@ class Model:
         prob = counts / counts.sum(axis=1, keepdims=True) if languages else counts
         return cls(languages, prob.astype(np.float32), penalty)
 
-    def mixture(self, text: str | None, rounds: int = 12) -> dict[str, float]:
+    def price(self, trigram_count: float) -> float:
+        """What a language costs in log-likelihood."""
+        return self.penalty * 0.5 * float(np.log(trigram_count + 1))
+
+    def mixture(self, text: str | None) -> dict[str, float]:
         """The chosen languages and their proportions, empty if the text has no letter."""
         bins = trigrams(text)
         if not len(bins) or not self.languages:
             return {}
         count = np.bincount(bins, minlength=BINS)
         at = np.flatnonzero(count)
-        n = count[at].astype(np.float64)
-        like = self.prob[:, at].astype(np.float64)
+        n, like = count[at].astype(np.float64), self.prob[:, at].astype(np.float64)
         total = n.sum()
-        chosen = np.arange(len(self.languages))
-
-        def settle(theta: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float]:
-            own = like[rows]
-            for _ in range(rounds):
-                old, theta = theta, theta * (own @ (n / (theta @ own))) / total
-                if np.abs(theta - old).max() < 1e-4:
-                    break
-            return theta, float(n @ np.log(theta @ own))
-
-        theta, fit = settle(np.full(len(chosen), 1 / len(chosen)), chosen)
-        price = self.penalty * 0.5 * np.log(total + 1)
-        best = int(np.argmax(theta))
-        if fit - float(n @ np.log(like[best])) <= price * (len(chosen) - 1):
-            return {self.languages[best]: 1.0}
+        price = self.price(total)
+
+        alone = np.log(like) @ n
+        chosen, theta = [int(np.argmax(alone))], np.ones(1)
+        fit = float(alone[chosen[0]])
+        while len(chosen) < len(like):
+            slope = (like / (theta @ like[chosen])) @ n - total
+            slope[chosen] = -np.inf
+            best = max((settle(n, like[[*chosen, b]])[::-1] + (-int(b),) for b in np.flatnonzero(slope > price)), key=lambda x: (x[0], x[2]), default=None)
+            if best is None or best[0] - fit <= price:
+                break
+            fit, theta = best[0], best[1]
+            chosen.append(-best[2])
         while len(chosen) > 1:
-            rest = np.delete(np.arange(len(chosen)), np.lexsort((-np.arange(len(chosen)), theta))[0])
-            less = theta[rest] if theta[rest].sum() > 0 else np.ones(len(rest))
-            other, other_fit = settle(less / less.sum(), chosen[rest])
-            if fit - other_fit > price:
+            less = [settle(n, like[chosen[:k] + chosen[k + 1 :]]) for k in range(len(chosen))]
+            k = max(range(len(chosen)), key=lambda k: less[k][1])
+            if fit - less[k][1] > price:
                 break
-            chosen, theta, fit = chosen[rest], other, other_fit
-        return {self.languages[i]: float(x) for i, x in zip(chosen, theta / theta.sum(), strict=True)}
+            (theta, fit), chosen = less[k], chosen[:k] + chosen[k + 1 :]
+        return {self.languages[i]: float(x) for i, x in sorted(zip(chosen, theta / theta.sum(), strict=True))}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.mixture(text)
@@ -147,7 +161,8 @@ def fit(
     if not picked:
         return Model.train([])
     small = docs.sparkSession.createDataFrame([(r.lang, r.id) for r in picked], "lang string, id long")
-    texts = rows.join(F.broadcast(small), ["lang", "id"]).collect()  # at most max_languages * per_language ids
+    own = rows.join(F.broadcast(small), ["lang", "id"])  # at most max_languages * per_language ids
+    texts = own.groupBy("lang", "id").agg(F.min("text").alias("text")).collect()  # one text each, however often an id is there
     return Model.train(sorted((r.lang, r.text) for r in texts))
 
 

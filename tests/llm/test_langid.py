@@ -30,3 +30,31 @@ def test_edge_rows(edge, none):
     assert {r.lang_pred for r in rows if r.doc_id in (2, 3, 4)} == {langid.UNKNOWN} and all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(none, langid.fit(none)).count() == 0
     assert langid.Model.train([]).predict("word") == (langid.UNKNOWN, 0.0)
+
+
+def test_sets_agree_with_enumeration(sf):
+    """The chosen set has the best penalised likelihood of all sets of languages, up to what EM leaves."""
+    from itertools import combinations
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table(f"{sf}/documents.parquet").to_pylist() if r["text"] and r["lang"]]
+    model = langid.Model.train([(r["lang"], r["text"]) for r in rows if r["doc_id"] % 2])
+    pick = {x: next(r["text"] for r in rows if r["lang"] == x and r["doc_id"] % 2 == 0 and len(r["text"]) > 600) for x in model.languages}
+    texts = [pick[a][:m] + " " + pick[b][:n] for a in pick for b in pick for m, n in ((300, 300), (500, 60), (500, 15))]
+    texts += [" ".join(pick[x][:250] for x in model.languages), *[r["text"] for r in rows[:40]]]
+    off = 0
+    for text in texts:
+        found = model.mixture(text)
+        bins = langid.trigrams(text)
+        if not len(bins):
+            continue
+        n, every = np.unique(bins, return_counts=True)[::-1]
+        like = model.prob[:, every].astype(float)
+        score = lambda s, n=n, like=like: langid.settle(n.astype(float), like[list(s)])[1] - model.price(n.sum()) * len(s)
+        best = max(score(s) for k in range(1, len(like) + 1) for s in combinations(range(len(like)), k))
+        off += score([model.languages.index(x) for x in found]) < best - 0.5
+    assert off == 0
+    two = model.mixture(pick["en"][:300] + " " + pick["de"][:300])
+    assert set(two) == {"en", "de"} and 0.3 < two["en"] < 0.7
