@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over character pieces of words is trained in numpy from confirmed toxic
+A linear classifier over densities of character pieces of words (how many words hold one, per 200 words in longer texts, as a logarithm) is trained in numpy from confirmed toxic
 texts (P) and unlabelled ones (U) alone; a label 0 is never used as a negative. With
 the class prior pi, the risk is
 
     pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)])
 
 and where the bracket falls below zero, by more than ``slack``, its gradient is ascended
-instead, so that the model can't fit the unlabelled toxic texts as clean ones.
+instead, so that the model can't fit the unlabelled toxic texts as clean ones. The bias starts at the prior's log-odds.
 
 Training reads a bounded sample, chosen by a hash of the id: at most ``max_positive`` and
 ``max_unlabelled`` texts of at most ``max_train_chars`` characters, none from the held-out fold.
@@ -22,6 +22,7 @@ never inputs of a score. Input columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -48,20 +49,30 @@ def pieces(word: str) -> set[str]:
 _NONE: frozenset[str] = frozenset()
 
 
-def text_words(text: str | None) -> set[str]:
-    return set(LETTERS.findall((text or "").lower()))
+def text_words(text: str | None) -> list[str]:
+    return LETTERS.findall((text or "").lower())
 
 
-def text_pieces(text: str, known: set[str] | None = None, seen: dict[str, set[str]] | None = None) -> set[str]:
-    """Pieces of the text's words, those in ``known`` if given; ``seen`` remembers words."""
-    if known is None:
-        return set().union(*map(pieces, text_words(text)))
-    out: set[str] = set()
-    for w in text_words(text):
+def text_pieces(text: str) -> set[str]:
+    """Pieces of the text's words."""
+    return set().union(*map(pieces, set(text_words(text))))
+
+
+def density(n: float, words: int) -> float:
+    """The value of a piece that ``n`` of a text's words hold: the logarithm of how many of them, in texts of more than 200 words of how many in 200."""
+    return math.log2(1 + n * min(1.0, 200 / max(words, 1)))
+
+
+def features(text: str, known: set[str], seen: dict[str, frozenset[str]]) -> dict[str, float]:
+    """Values of the pieces in ``known``; ``seen`` remembers words."""
+    words = text_words(text)
+    n: Counter[str] = Counter()
+    for w, times in Counter(words).items():
         if (found := seen.get(w)) is None:
-            found = seen[w] = pieces(w) & known or _NONE
-        out |= found
-    return out
+            found = seen[w] = frozenset(pieces(w) & known) or _NONE
+        for x in found:
+            n[x] += times
+    return {x: density(k, len(words)) for x, k in n.items()}
 
 
 class Model:
@@ -79,7 +90,8 @@ class Model:
         self.__init__(*state)
 
     def margin(self, text: str | None) -> float:
-        words = text_words(text)
+        every = text_words(text)
+        words = set(every)
         if len(self._seen) > KEPT_WORDS:
             self._seen.clear()
             self._telling.clear()
@@ -88,10 +100,14 @@ class Model:
             if found := [p for p in pieces(w) if p in self.weights]:
                 self._telling[w] = found
         self._seen |= new
-        found: set[str] = set()
-        for w in words & self._telling.keys():
-            found.update(self._telling[w])
-        return self.bias + sum(self.weights[p] for p in sorted(found))
+        telling = words & self._telling.keys()
+        if not telling:
+            return self.bias
+        n: Counter[str] = Counter()
+        for w, times in Counter(w for w in every if w in telling).items():
+            for x in self._telling[w]:
+                n[x] += times
+        return self.bias + math.fsum(self.weights[x] * density(k, len(every)) for x, k in n.items())
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         return _sigmoid(np.array([self.margin(t) for t in texts], float))
@@ -102,101 +118,116 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Binary rows in compressed form."""
+    """Sparse rows: columns and values of each."""
 
-    def __init__(self, rows: list[list[int]], width: int) -> None:
-        self.at = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+    def __init__(self, rows: list[dict[int, float]], width: int) -> None:
+        self.at = np.fromiter((i for r in rows for i in r), np.int64)
+        self.value = np.fromiter((v for r in rows for v in r.values()), float)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.int64)
         self.n, self.width = len(rows), width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at], self.n)
+        return np.bincount(self.row, w[self.at] * self.value, self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, g[self.row], self.width)
+        return np.bincount(self.at, g[self.row] * self.value, self.width)
+
+
+def risk(w: np.ndarray, b: float, p: _Rows, u: _Rows, prior: float) -> tuple[float, float]:
+    """The two terms of the risk: that of the positive as positive, and the bracket before it is cut at zero."""
+    on_p, on_u = p.dot(w) + b, u.dot(w) + b
+    return prior * float(np.logaddexp(0, -on_p).mean()), float(np.logaddexp(0, on_u).mean()) - prior * float(np.logaddexp(0, on_p).mean())
+
+
+def descent(w: np.ndarray, b: float, p: _Rows, u: _Rows, prior: float, slack: float = 0.0) -> tuple[np.ndarray, float]:
+    """The direction to go down: the risk's gradient, or minus the bracket's where that is below zero."""
+    s_p, s_u = _sigmoid(p.dot(w) + b), _sigmoid(u.dot(w) + b)
+    # d softplus(g) = sigmoid(g); d softplus(-g) = sigmoid(g) - 1
+    g_u, g_p = s_u / u.n, -prior * s_p / p.n
+    if risk(w, b, p, u, prior)[1] >= -slack:
+        g_p = g_p + prior * (s_p - 1) / p.n
+    else:
+        g_u, g_p = -g_u, -g_p
+    return u.back(g_u) + p.back(g_p), float(g_u.sum() + g_p.sum())
 
 
 def train(
-    positive: list[str],
-    unlabelled: list[str],
+    positive: Iterable[str],
+    unlabelled: Iterable[str],
     prior: float,
     *,
     max_features: int = 5_000,
     min_texts: int = 5,
-    min_share: float = 0.02,
-    purity: float = 0.8,
     steps: int = 300,
     rate: float = 0.05,
-    l2: float = 1e-4,
+    l2: float = 2e-3,
     slack: float = 0.0,
 ) -> Model:
     """Fit the classifier.
 
-    Only pieces in ``min_texts`` positive texts, and ``min_share`` of them, are kept, and of these the ones
-    too frequent among them for chance, given their share of all the unlabelled. Both are counted in
-    different texts, so that copies don't weigh. One must also be ``purity`` times as much more common among
-    positive texts as the middle of these pieces is; that doesn't assume the prior. Pieces speak for toxicity or not at all: no weight is negative.
+    Its features are densities of pieces in ``min_texts`` positive texts at least that are over-represented among these with more evidence (a Poisson
+    log-likelihood ratio) than chance gives the best of all pieces; texts count once there, so that copies don't weigh. Of them the ``max_features`` with the most
+    evidence are taken. Which of them speak for toxicity, and which against it, the risk alone decides: weights start at zero and have either sign. They
+    are averaged over the second half of the steps, as ascents and descents alternate there.
+
+    If the unlabelled hold more of what the fitted model takes for toxic than ``prior`` allows, it is fitted again with that larger prior.
     """
+    positive, unlabelled = sorted(positive), sorted(unlabelled) or [""]
     if not positive:
         return Model({}, -40.0)
-    n_p, n_u = len(positive), max(1, len(unlabelled))
+    p_once, u_once = sorted(set(positive)), sorted(set(unlabelled))
     # All of a text's pieces would fill the driver: counts first, rows only of the pieces that are left.
     p_count: Counter[str] = Counter()
-    for t in set(positive):
+    for t in p_once:
         p_count.update(text_pieces(t))
-    n_once = len(set(positive))
-    known = {x for x, n in p_count.items() if n >= max(min(min_texts, n_once), min_share * n_once)}
-    n_pieces = len(p_count)
-    p_count = Counter({x: p_count[x] for x in known})
-    some: dict[str, set[str]] = {}
+    p_count = Counter({x: n for x, n in p_count.items() if n >= min(min_texts, len(p_once))})
+    chance = np.log(max(2, len(p_count)))
+    some: dict[str, frozenset[str]] = {}
 
-    def rows(texts: Iterable[str], among: set[str]) -> Iterator[set[str]]:
+    def rows(texts: Iterable[str], among: set[str]) -> Iterator[dict[str, float]]:
         some.clear()
         for t in texts:
             if len(some) > KEPT_WORDS:
                 some.clear()
-            yield text_pieces(t, among, some)
+            yield features(t, among, some)
 
     u_count: Counter[str] = Counter()
-    for found in rows(set(unlabelled), known):
-        u_count.update(found)
-    u_once = max(1, len(set(unlabelled)))
-    due = {x: n_once * max(u_count[x], 0.5) / u_once for x in known}
-
-    def sure(x: str) -> bool:
-        """Whether so many positive texts with the piece are no chance, given its share of the unlabelled."""
-        return p_count[x] > due[x] and p_count[x] * np.log(p_count[x] / due[x]) - (p_count[x] - due[x]) > np.log(n_pieces) + 2
-
-    known = {x for x in known if sure(x)}
-    # Half of the evidence lies in pieces that are at least so much more common among the positive texts.
-    typical, seen, half = 1.0, 0, sum(p_count[x] for x in known) / 2
-    for x in sorted(known, key=lambda x: (-p_count[x] / due[x], x)):
-        if seen >= half:
-            break
-        typical, seen = p_count[x] / due[x], seen + p_count[x]
-    pure = [x for x in known if p_count[x] / due[x] >= purity * typical]
-    kept = sorted(pure, key=lambda x: (-p_count[x] * np.log(p_count[x] / due[x]), x))[:max_features]
+    for found in rows(u_once, set(p_count)):
+        u_count.update(found.keys())
+    due = {x: len(p_once) * max(u_count[x], 0.5) / len(u_once) for x in p_count}
+    evidence = {x: n * np.log(n / due[x]) - (n - due[x]) for x, n in p_count.items() if n > due[x]}
+    kept = sorted((x for x, e in evidence.items() if e > chance), key=lambda x: (-evidence[x], x))[:max_features]
     at = {x: i for i, x in enumerate(kept)}
-    k = len(kept)
-    p, u = (_Rows([sorted(at[x] for x in r) for r in rows(texts, set(kept))], k) for texts in (positive, unlabelled))
+    p, u = (_Rows([{at[x]: v for x, v in sorted(r.items())} for r in rows(texts, set(kept))], len(kept)) for texts in (positive, unlabelled))
     some.clear()
-    w, b = np.zeros(k), np.log(prior / (1 - prior))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
+    w, b = minimise(p, u, prior, steps, rate, l2, slack)
+    if (more := share_alike(p.dot(w) + b, u.dot(w) + b)) > prior:
+        w, b = minimise(p, u, min(more, 0.9), steps, rate, l2, slack)
+    return Model({x: float(w[i]) for x, i in at.items()}, b)
+
+
+def share_alike(on_p: np.ndarray, on_u: np.ndarray) -> float:
+    """An upper bound of the positive share of the unlabelled: the least ratio of what exceeds a margin, over those that half of the positive exceed."""
+    on_p, on_u = np.sort(on_p), np.sort(on_u)
+    levels = on_p[: len(on_p) // 2 + 1]
+    above = lambda x: 1 - np.searchsorted(x, levels, "left") / len(x)
+    return float((above(on_u) / above(on_p)).min())
+
+
+def minimise(p: _Rows, u: _Rows, prior: float, steps: int, rate: float, l2: float, slack: float) -> tuple[np.ndarray, float]:
+    """Weights and bias, averaged over the second half of the steps of Adam."""
+    w, b, half = np.zeros(p.width), float(np.log(prior / (1 - prior))), steps // 2
+    m, v, mean = (np.zeros(p.width + 1) for _ in range(3))
     for step in range(1, steps + 1):
-        s_p, s_u = _sigmoid(p.dot(w) + b), _sigmoid(u.dot(w) + b)
-        rest = np.log1p(np.exp(np.clip(u.dot(w) + b, -40, 40))).mean() - prior * np.log1p(np.exp(np.clip(p.dot(w) + b, -40, 40))).mean()
-        # d softplus(g) = sigmoid(g); d softplus(-g) = sigmoid(g) - 1
-        on_u, on_p = s_u / n_u, -prior * s_p / n_p
-        if rest >= -slack:
-            g_u, g_p = on_u, on_p + prior * (s_p - 1) / n_p
-        else:
-            g_u, g_p = -on_u, -on_p
-        grad = np.append(u.back(g_u) + p.back(g_p) + l2 * w, g_u.sum() + g_p.sum())
+        g_w, g_b = descent(w, b, p, u, prior, slack)
+        grad = np.append(g_w + l2 * w, g_b)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = np.maximum(w - move[:-1], 0.0), b - move[-1]
-    return Model({x: float(w[i]) for x, i in at.items()}, float(b))
+        w, b = w - move[:-1], b - float(move[-1])
+        if step > half:
+            mean += np.append(w, b) / (steps - half)
+    return mean[:-1], float(mean[-1])
 
 
 def fit(
@@ -214,29 +245,31 @@ def fit(
 ) -> Model:
     """Train on a bounded sample of rows outside the held-out fold.
 
-    ``prior`` is the share of toxic texts; if None, that among the fold's labels, over all rows.
+    ``prior`` is the share of toxic texts; if None, that among the fold's labels, over all rows. The sample is drawn among ids,
+    a repeated one counting once with its least text, so at most ``max_positive + max_unlabelled`` texts come to the driver.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
     ids = ids.where(~held_out(F.col("id")))
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y"))
     marked = marked.where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     if prior is None:
         prior = marked.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
     order = F.xxhash64("id", F.lit(seed))
+    lot = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
 
     def sample(rows: DataFrame, n: int) -> list[int]:
-        return [r[0] for r in rows.select("id", order.alias("h")).orderBy("h", "id").limit(n).collect()]
+        # Far more ids than are wanted go no further than their task; a busy id is one row there.
+        few = rows.where(lot < min(1.0, 4 * (n + 50) / max(1, rows.count())))
+        return [r[0] for r in few.groupBy("id").agg(F.min(order).alias("h")).orderBy("h", "id").limit(n).collect()]
 
-    p_ids = sample(marked.where("y = 1").select("id").distinct(), max_positive)
+    p_ids = sample(marked.where("y = 1").select("id"), max_positive)
     if not p_ids:
         return train([], [], 0.5)
     u_ids = sample(ids.select("id"), max_unlabelled)
-    spark = docs.sparkSession
-    picked = spark.createDataFrame([(i, True) for i in sorted(set(p_ids))] + [(i, False) for i in sorted(set(u_ids))], "id long, p boolean")
+    picked = docs.sparkSession.createDataFrame([(i, True) for i in p_ids] + [(i, False) for i in u_ids], "id long, p boolean")
     texts = ids.where(F.length("text") <= max_train_chars).join(F.broadcast(picked), "id")  # at most both bounds' rows
-    rows = sorted((r.p, r.id, r.text) for r in texts.select("p", "id", "text").collect())
-    rows = rows[: 4 * (max_positive + max_unlabelled)]  # repeated ids can't grow the sample
-    return train([t for p, _, t in rows if p], [t for p, _, t in rows if not p], min(max(prior, 1e-4), 0.9))
+    rows = texts.groupBy("p", "id").agg(F.min("text").alias("text")).collect()
+    return train([r.text for r in rows if r.p], [r.text for r in rows if not r.p], min(max(prior, 1e-4), 0.9))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -1,6 +1,8 @@
+import os
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.llm import toxicity
@@ -63,3 +65,43 @@ def test_pieces_stay_if_the_unlabelled_hold_more_toxic_texts_than_the_labels():
         scores = model.scores(toxic[1:])
         assert (scores >= toxicity.THRESHOLD).mean() >= 0.9
         assert (model.scores(clean) < toxicity.THRESHOLD).mean() >= 0.95
+
+
+def test_risk_and_direction_agree_with_dense_numpy():
+    rng = np.random.default_rng(3)
+    x_p, x_u = (rng.random((n, 12)) * (rng.random((n, 12)) < 0.4) for n in (30, 80))
+    rows = lambda x: toxicity._Rows([{int(i): r[i] for i in np.flatnonzero(r)} for r in x], 12)
+    signs = set()
+    for scale in (0.1, 3.0):
+        for _ in range(10):
+            w, b, prior = rng.normal(size=12) * scale, float(rng.normal()), 0.6
+            g_p, g_u = x_p @ w + b, x_u @ w + b
+            first, bracket = toxicity.risk(w, b, rows(x_p), rows(x_u), prior)
+            loss = lambda g, y: np.log(1 + np.exp(-y * g)).mean()
+            assert np.isclose(first, prior * loss(g_p, 1)) and np.isclose(bracket, loss(g_u, -1) - prior * loss(g_p, -1))
+            # The risk where the bracket counts, minus the bracket where it is below zero: central differences.
+            value = lambda w, b, up=bracket >= 0: (lambda r: r[0] + r[1] if up else -r[1])(toxicity.risk(w, b, rows(x_p), rows(x_u), 0.6))
+            d_w, d_b = toxicity.descent(w, b, rows(x_p), rows(x_u), prior)
+            for i in range(12):
+                e = np.eye(12)[i] * 1e-6
+                assert np.isclose(d_w[i], (value(w + e, b) - value(w - e, b)) / 2e-6, atol=1e-6)
+            assert np.isclose(d_b, (value(w, b + 1e-6) - value(w, b - 1e-6)) / 2e-6, atol=1e-6)
+            signs.add(bracket >= 0)
+    assert signs == {True, False}
+
+
+def test_held_out_labels_of_the_documents(spark, sf):
+    """Recall and false alarms on the held-out fold of sf0.01 (399 labels, some of them noise)."""
+    folder = f"{os.path.dirname(sf)}/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = toxicity.op4_toxicity(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in out if r.toxic == 1], [r for r in out if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic) and sum(r.predicted for r in clean) <= 0.06 * len(clean)
+
+
+def test_busy_ids_do_not_fill_the_sample(spark):
+    rows, labels, truth = corpus(600)
+    busy = next(i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2 and not truth[i])
+    docs = spark.createDataFrame(rows + [(busy, f"again {k}") for k in range(4000)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_unlabelled=300)
+    assert (model.scores([t for i, t in rows if truth[i]]) >= toxicity.THRESHOLD).mean() >= 0.9
