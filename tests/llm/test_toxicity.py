@@ -69,12 +69,12 @@ def test_pieces_stay_if_the_unlabelled_hold_more_toxic_texts_than_the_labels():
 
 def test_risk_and_direction_agree_with_dense_numpy():
     rng = np.random.default_rng(3)
-    x_p, x_u = (rng.random((n, 12)) * (rng.random((n, 12)) < 0.4) for n in (30, 80))
+    x_p, x_u = (rng.random((n, 12)) * (rng.random((n, 12)) < share) for n, share in ((30, 0.7), (80, 0.2)))
     rows = lambda x: toxicity._Rows([{int(i): r[i] for i in np.flatnonzero(r)} for r in x], 12)
     signs = set()
     for scale in (0.1, 3.0):
         for _ in range(10):
-            w, b, prior = rng.normal(size=12) * scale, float(rng.normal()), 0.6
+            w, b, prior = (rng.normal(size=12) + scale) * scale, float(rng.normal()), 0.6
             g_p, g_u = x_p @ w + b, x_u @ w + b
             first, bracket = toxicity.risk(w, b, rows(x_p), rows(x_u), prior)
             loss = lambda g, y: np.log(1 + np.exp(-y * g)).mean()
@@ -91,12 +91,12 @@ def test_risk_and_direction_agree_with_dense_numpy():
 
 
 def test_held_out_labels_of_the_documents(spark, sf):
-    """Recall and false alarms on the held-out fold of sf0.01 (399 labels, some of them noise)."""
-    folder = f"{os.path.dirname(sf)}/sf0.01"
+    """Recall and false alarms on the held-out fold of sf0.1: 120 toxic and 870 other labels."""
+    folder = f"{os.path.dirname(sf)}/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     out = toxicity.op4_toxicity(spark, folder).where("held_out").join(labels, "doc_id").collect()
     toxic, clean = [r for r in out if r.toxic == 1], [r for r in out if r.toxic == 0]
-    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic) and sum(r.predicted for r in clean) <= 0.06 * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
 def test_busy_ids_do_not_fill_the_sample(spark):
