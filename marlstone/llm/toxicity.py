@@ -181,7 +181,7 @@ def train(
     for t in p_once:
         p_count.update(text_pieces(t))
     p_count = Counter({x: n for x, n in p_count.items() if n >= min(min_texts, len(p_once))})
-    chance = np.log(max(2, len(p_count)))
+    chance = np.log(max(2.0, len(p_count) / 20))  # pieces of a word and its forms come together: about a 20th are independent
     some: dict[str, frozenset[str]] = {}
 
     def rows(texts: Iterable[str], among: set[str]) -> Iterator[dict[str, float]]:
