@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 
 from pyspark.sql import functions as F
 
 from . import sinks
 from .functions.text import first_token
-from .operators import agents, graph, samples
+from .operators import agents, forecast, graph, samples
 from .operators.metrics import binary_metrics
-from .providers import hashed_score, lexicon, reflection
+from .providers import guess, hashed_score, lexicon, reflection, sketch
+from .plans.shared import checkpoint_folder
 from .session import session
 from .sources import files
 
@@ -32,7 +34,7 @@ def build_samples(spark, price_dir: str, post_dir: str, dataset: str = "", seq_l
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="marlstone", description=__doc__)
     sub = top.add_subparsers(dest="task", required=True)
-    for name in ("samples", "train", "evaluate"):
+    for name in ("samples", "train", "evaluate", "forecast"):
         p = sub.add_parser(name)
         p.add_argument("--price_dir")
         p.add_argument("--tweet_dir")
@@ -55,6 +57,20 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def logger(folder: str) -> logging.Logger:
+    """The program's log: to the console and, if the folder is a local one, to a file there."""
+    log = logging.getLogger("marlstone")
+    log.setLevel(logging.INFO)
+    if not log.handlers:
+        log.addHandler(logging.StreamHandler())
+        if "://" not in folder:
+            os.makedirs(folder, exist_ok=True)
+            log.addHandler(logging.FileHandler(os.path.join(folder, "marlstone.log")))
+        for h in log.handlers:
+            h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    return log
+
+
 def run_graph(spark, args: argparse.Namespace) -> None:
     """Relationships of mapped companies, or the profile of the training quads."""
     entities = graph.first_names(files.read_entities(spark, f"{args.root}/entity2id.txt"))
@@ -80,7 +96,7 @@ def run_graph(spark, args: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    log = logging.getLogger("marlstone")
+    log = logger(args.save_dir)
     spark = session(f"marlstone-{args.task}")
     if args.task in ("graph", "profile"):
         run_graph(spark, args)
@@ -94,6 +110,12 @@ def main(argv: list[str] | None = None) -> None:
     if args.task == "samples":
         sinks.write_samples_csv(rows, f"{args.save_dir}/samples")
         return
+    if args.task == "forecast":
+        checkpoint_folder(spark)
+        metrics = forecast.evaluate(rows.where("split = 'test'"), sketch, guess)
+        sinks.write_metrics(metrics, args.save_dir, args.base_model, args.dataset_name or None)
+        log.info("%s", metrics.first())
+        return
     numbered = rows.withColumn("sample_id", F.xxhash64("ticker", "end_date"))
     if args.task == "train":
         history = agents.run_trials(numbered.where("split = 'train'"), lexicon, reflection, args.num_reflect_trials)

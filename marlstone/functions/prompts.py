@@ -30,6 +30,7 @@ FORECAST_USER = (
     "Forecast the next day. Use the format Summary: ..., Keywords: ..., Stock Return: [number]% ([up/down])\n"
 )
 FORECAST_USER_SHOTS = FORECAST_USER.replace("Forecast the next", "Examples: {few_shot_learning_examples}\n\nForecast the next")
+SUMMARY_EXAMPLES = "Posts:\nOrders at the plant rose by a fifth, says its manager.\nLovely weather today!\n\nFacts:\n- Orders rose by a fifth."
 EXAMPLES = "Facts:\nOrders rose by a fifth.\n\nPrice Movement: Positive\nExplanation: More orders mean more sales."
 FACTS_BLOCK = "Facts:\n{summary}\n\nPrice Movement: "
 INSTRUCT = "Answer the instruction below.\n\n### Instruction:\n{instruction}\n\n### Response:\n"

@@ -122,11 +122,15 @@ def n_shots(rows: DataFrame, generate: Provider, reward: Provider, n: int = 4, k
     return best_of(scored, key, "score", "answer")
 
 
-def log_text(state: DataFrame) -> DataFrame:
-    """One log text per trial: counts, then the prompts of right and wrong agents."""
-    right = is_correct()
+def log_entries(state: DataFrame) -> DataFrame:
+    """(trial, sample_id, right, finished, entry): the log as a row per agent, for trials of any size."""
     entry = F.concat(remove_fewshot(agent_prompt()), F.lit("\nCorrect answer: "), F.col("target"))
-    marked = state.select("trial", "sample_id", right.alias("_right"), entry.alias("_entry"), "finished")
+    return state.select("trial", "sample_id", is_correct().alias("right"), "finished", entry.alias("entry"))
+
+
+def log_text(state: DataFrame) -> DataFrame:
+    """One log text per trial: counts, then the agents' entries; the text of a trial must fit in one row (else ``log_entries``)."""
+    marked = log_entries(state).select("trial", "sample_id", F.col("right").alias("_right"), F.col("entry").alias("_entry"), "finished")
     return marked.groupBy("trial").agg(
         F.concat(
             F.lit("Correct: "), F.count_if("_right").cast("string"), F.lit(", Incorrect: "), F.count_if(F.col("finished") & ~F.col("_right")).cast("string"),

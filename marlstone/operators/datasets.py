@@ -11,7 +11,8 @@ from ..functions import arrays, prompts
 
 def hash_split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
     """``fold``: val for a seeded share of the keys, else train. The same key always falls the same way."""
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
+    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     return rows.withColumn("fold", F.when(part < round(share * 10_000), "val").otherwise("train"))
 
 
@@ -42,6 +43,34 @@ def pair_tokens(rows: DataFrame, max_length: int = 0, tokenize=arrays.whitespace
     return out
 
 
+def collate_pairs(rows: DataFrame, multiple: int = 8, key: str | None = None) -> DataFrame:
+    """Batches of ``pair_tokens``: both sides padded to the batch's longest, rounded up, with attention masks.
+
+    ``key`` names the batch of a row; without it every row is one.
+    """
+    out = rows
+    for side in ("j", "k"):
+        ids = F.col(f"input_ids_{side}")
+        longest = F.size(ids) if key is None else F.max(F.size(ids)).over(Window.partitionBy(key))
+        size = arrays.round_up(longest, multiple)
+        out = out.withColumn(f"_n_{side}", size)
+        out = out.withColumn(f"attention_mask_{side}", arrays.attention(ids, F.col(f"_n_{side}"))).withColumn(f"input_ids_{side}", arrays.pad(ids, F.col(f"_n_{side}")))
+    return out.drop("_n_j", "_n_k")
+
+
+def rl_queries(rows: DataFrame, max_length: int = 512, tokenize=arrays.whitespace_ids) -> DataFrame:
+    """The dataset of reinforcement learning: query and its token ids, those of at most ``max_length`` tokens."""
+    out = rows.withColumn("query", prompts.question_answer(F.col("user_input")))
+    return out.withColumn("input_ids", tokenize(F.col("query"))).where(F.size("input_ids") < max_length)
+
+
+def response_lengths(rows: DataFrame, key: str, low: int = 32, high: int = 128, seed: int = 0) -> DataFrame:
+    """``response_length``: a seeded length from ``low`` up to, not including, ``high`` for each generation."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
+    lot = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("response_length", (lot % (high - low) + low).cast("int"))
+
+
 def fit_prompt(posts: DataFrame, limit: int, size: Column, key: list[str], order: str) -> DataFrame:
     """The posts of each key, from the first, whose running size stays within ``limit``."""
     lane = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

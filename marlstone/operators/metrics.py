@@ -47,10 +47,20 @@ def with_metrics(counts: DataFrame) -> DataFrame:
 
 
 def running_tally(rows: DataFrame, order: str, correct: Column, by: list[str]) -> DataFrame:
-    """Running counts of correct and incorrect rows in the order of ``order``, per group."""
-    lane = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """Running counts of correct and incorrect rows in the order of ``order``, per group.
+
+    A large group is dealt by ranges of the order: running counts within a range, and the totals of the ranges before it.
+    """
     flag = F.when(correct, 1).otherwise(0).cast("long")
-    return rows.withColumn("n_correct", F.sum(flag).over(lane)).withColumn("n_incorrect", F.sum(1 - flag).over(lane))
+    group = F.struct(*by)
+    ranged = rows.withColumns({"_flag": flag, "_group": group}).repartitionByRange("_group", order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    totals = ranged.groupBy("_range", "_group").agg(F.sum("_flag").alias("_c"), F.sum(1 - F.col("_flag")).alias("_i"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_c", "_i")]
+    lane = Window.partitionBy("_range", "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumn("_c", F.sum("_flag").over(lane)).withColumn("_i", F.sum(1 - F.col("_flag")).over(lane))
+    out = out.join(totals.select("_range", "_group", *sums), ["_range", "_group"])
+    return out.select(*rows.columns, (F.col("_c") + F.col("_c_before")).alias("n_correct"), (F.col("_i") + F.col("_i_before")).alias("n_incorrect"))
 
 
 def trial_summary(state: DataFrame) -> DataFrame:

@@ -300,5 +300,62 @@ ORACLES: dict[str, str] = {
     "train_subset_limit": _sql("SELECT conv_id, turn FROM qa ORDER BY conv_id, turn LIMIT 100", "qa"),
     "news_html_clean": rf"""SELECT page_id, md5(p) AS prompt_md5, length(p) AS chars FROM (SELECT page_id,
         {_filled(prompts.NEWS, ticker="url", news="regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ " + chr(92) + "n" + chr(92) + "t" + chr(92) + "r]+', ' ', 'g')")} AS p FROM pages)""",
+    "hash_split": """SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42|' || doc_id), 1, 8) AS BIGINT) % 10000 < 1000 THEN 'val' ELSE 'train' END AS fold FROM documents""",
+    "summary_store_roundtrip": _sql(
+        "SELECT ticker, day, ticker >= 'p' AS is_new, CASE WHEN ticker >= 'p' THEN md5('new ' || ticker) WHEN day(day) % 5 <> 0 THEN md5(summary) END AS summary_md5 FROM summaries", "summaries"
+    ),
+    "price_files": _sql("SELECT ticker, date, round(coalesce(pct, 0), 9) AS pct_change, cents AS volume FROM bars", "bars"),
+    "post_files": _sql(
+        """SELECT ticker, date, row_number() OVER (PARTITION BY ticker, date ORDER BY line_no) - 1 AS line_no, id, md5("text") AS text_md5 FROM posts""", "posts"
+    ),
+    "kg_files": _sql("SELECT source_file, relation_name, CAST(year(time) AS INTEGER) AS year, count(*) AS n FROM related GROUP BY ALL", "related"),
+    "sft_files": _sql("SELECT md5(prompt) AS instruction_md5, '' AS input, answer AS output FROM history WHERE trial = 0 AND prediction = target", more=_HISTORY),
+    "preference_files": _sql(
+        f"""SELECT md5({_without_notes("summary")}) AS input_md5, was AS completion_a, answer AS completion_b FROM (
+          SELECT *, lag(answer) OVER w AS was, lag(prediction = target) OVER w AS was_right FROM history WINDOW w AS (PARTITION BY sample_id ORDER BY trial))
+        WHERE prediction = target AND NOT was_right""",
+        more=_HISTORY,
+    ),
+    "result_files": _sql(
+        f"""SELECT md5({_without_shots(_SHOWN_OR_NONE)}) AS prompt_md5, answer AS Response, target AS Target
+        FROM (SELECT *, max(trial) OVER (PARTITION BY sample_id) AS last FROM history) WHERE trial = last""",
+        more=_HISTORY,
+    ),
+    "state_files": _sql(
+        """SELECT sample_id, CAST(trial AS BIGINT) AS trial, prediction, len(notes) AS n_reflections
+        FROM (SELECT *, max(trial) OVER (PARTITION BY sample_id) AS last FROM history) WHERE trial = last""",
+        more=_HISTORY,
+    ),
+    "lenient_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS week FROM orders",
+    "report_lines": """SELECT n, n || '. ' || c_name || ' #' || c_custkey AS line FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS n FROM customer)""",
+    "daily_summary_prompts": _sql(
+        f"""SELECT ticker, day, md5(p) AS prompt_md5, 'Facts: ' || length(p) AS summary FROM (SELECT ticker, day,
+          {_filled(prompts.SUMMARY, ticker="ticker", tweets="t", examples=_lit(prompts.SUMMARY_EXAMPLES))} AS p FROM (
+          SELECT ticker, date AS day, string_agg("text", chr(10) ORDER BY line_no) AS t
+          FROM (SELECT *, sum(length("text")) OVER (PARTITION BY ticker, date ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS up FROM posts) WHERE up <= 16385 GROUP BY ALL))""",
+        "posts",
+    ),
+    "forecast_metrics": _sql(
+        _METRICS.format(by="", where="", group="").replace(
+            "FROM judged",
+            rf"""FROM (SELECT target = 'Positive' AS a, length({_filled(prompts.FORECAST_USER, company_description=f"('Description: ' || md5({_filled(prompts.COMPANY, ticker='ticker')}))", summary="s")}) % 3 > 0 AS p FROM (
+              SELECT ticker, date, target, regexp_replace(string_agg(strftime(day, '%Y-%m-%d') || chr(10) || summary, chr(10) || chr(10) ORDER BY day), '\s+$', '') AS s
+              FROM slots JOIN days USING (ticker, date) JOIN summaries USING (ticker, day)
+              WHERE summary <> '' AND NOT regexp_matches(summary, {_UNINFORMATIVE}) GROUP BY ALL))""",
+        ),
+        "days", "slots", "summaries",
+    ),
+    "pair_collate": _sql(
+        r"""SELECT conv_id, turn, CAST(ceil(max(j) OVER w / 8.0) * 8 AS BIGINT) AS n_j, CAST(ceil(max(k) OVER w / 8.0) * 8 AS BIGINT) AS n_k, j AS real_j, k AS real_k FROM (
+          SELECT conv_id, turn, len(list_filter(string_split_regex('Question: ' || question || chr(10) || chr(10) || 'Answer: ' || answer, '\s+'), lambda w: w <> '')) AS j,
+          len(list_filter(string_split_regex('Question: ' || question || chr(10) || chr(10) || 'Answer: x', '\s+'), lambda w: w <> '')) AS k FROM qa) WINDOW w AS (PARTITION BY conv_id)""",
+        "qa",
+    ),
+    "rl_dataset": _sql(
+        r"""SELECT key, md5(q) AS query_md5, n, CAST('0x' || substr(md5('0|' || key), 1, 8) AS BIGINT) % 96 + 32 AS response_length FROM (
+          SELECT key, q, len(list_filter(string_split_regex(q, '\s+'), lambda w: w <> '')) AS n FROM (
+            SELECT conv_id || '-' || turn AS key, 'Question: ' || question || chr(10) || chr(10) || 'Answer: ' AS q FROM qa)) WHERE n < 64""",
+        "qa",
+    ),
     "stream_daily_counts": "SELECT event_type AS ticker, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL",
 }

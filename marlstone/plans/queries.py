@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import sinks
 from ..functions import arrays, prompts, text
-from ..operators import agents, datasets, graph, metrics, samples
+from ..operators import agents, datasets, forecast, graph, metrics, samples
 from ..providers import reflection
 from ..sinks import metrics_row
+from ..sources import files
 from ..sources import testdata as data
 from ..sources.files import last_wins
 from ..streaming import posts as streaming
@@ -197,6 +199,7 @@ def metrics_document(spark, sf):
 
 @query
 def running_tally(spark, sf):
+    checkpoint_folder(spark)
     rows = metrics.running_tally(_judged(spark, sf), "doc_id", F.col("prediction") == F.col("label"), ["lang"])
     return rows.select("doc_id", "lang", "n_correct", "n_incorrect")
 
@@ -447,6 +450,142 @@ def news_html_clean(spark, sf):
     return data.table(spark, sf, "pages").select("page_id", _md5(prompt).alias("prompt_md5"), F.length(prompt).cast("long").alias("chars"))
 
 
+# The same tables through files: written into the shared folder and read by the engine's own readers
+
+
+@query
+def summary_store_roundtrip(spark, sf):
+    """An earlier run's store (in two appends, some days without a summary), read back and merged with what is wanted."""
+    made = samples.extractive_summaries(data.posts(spark, sf))
+    stored = made.where("ticker < 'p'").select(
+        "ticker", F.date_format("day", "yyyy-MM-dd").alias("date"), F.array("summary").alias("tweet_data"), F.lit("p").alias("prompt"),
+        F.when(F.dayofmonth("day") % 5 != 0, F.col("summary")).alias("summary"), F.lit("org/m").alias("model"), F.lit("first").alias("method"), F.dayofmonth("day").alias("d"),
+    )
+    path = shared_folder(spark, "store")
+    for part in ("d % 2 = 0", "d % 2 = 1", "d % 4 = 0"):  # the last days are written twice
+        sinks.write_summaries(stored.where(part).drop("d"), path)
+    known = files.read_summaries(spark, path).where("model = 'org/m' AND method = 'first'").select("ticker", F.col("date").alias("day"), "summary")
+    out = samples.merge_summaries(made.select("ticker", "day"), known, F.concat(F.lit("new "), F.col("ticker")))
+    return out.select("ticker", "day", "is_new", _md5(F.col("summary")).alias("summary_md5"))
+
+
+@query
+def price_files(spark, sf):
+    bars = data.bars(spark, sf)
+    line = F.concat_ws("\t", F.date_format("date", "yyyy-MM-dd"), F.coalesce("pct_change", F.lit(0.0)).cast("string"), F.lit("1"), F.lit("2"), F.lit("3"), F.lit("4"), F.col("cents").cast("string"))
+    path = shared_folder(spark, "prices")
+    bars.select("ticker", line.alias("value")).unionByName(bars.select("ticker", F.lit("short").alias("value")).limit(1)).write.partitionBy("ticker").text(path)
+    return files.read_prices(spark, path).select("ticker", "date", F.round("pct_change", 9).alias("pct_change"), F.col("volume").cast("long").alias("volume"))
+
+
+@query
+def post_files(spark, sf):
+    fields = F.struct(F.col("id").cast("string").alias("id"), F.col("author_id").cast("string").alias("author_id"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"), "text")
+    rows = data.posts(spark, sf).select("ticker", "date", "line_no", F.to_json(fields).alias("j"))
+    path = shared_folder(spark, "posts")
+    day = F.expr("listagg(j, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("value")
+    rows.groupBy("ticker", "date").agg(day).repartition("ticker", "date").write.partitionBy("ticker", "date").text(path)
+    return files.read_posts(spark, path).select("ticker", "date", F.col("line_no").cast("long").alias("line_no"), F.col("id").cast("long").alias("id"), _md5(F.col("text")).alias("text_md5"))
+
+
+@query
+def kg_files(spark, sf):
+    """Dictionaries and quads as tab-separated files; short lines and unknown weeks drop out."""
+    path = shared_folder(spark, "graph")
+    lines = lambda rows, *cols: rows.select(F.concat_ws("\t", *cols).alias("value"))
+    lines(data.kg_entities(spark, sf), "entity", "id", "type_name", F.lit("0")).write.text(f"{path}/entities")
+    lines(data.kg_relations(spark), "relation", "id").write.text(f"{path}/relations")
+    quads = data.kg_quads(spark, sf)
+    quads.select(F.date_format("date_wk", "yyMMdd").alias("id"), F.date_format("date_wk", "yyyy-MM-dd").alias("week")).distinct().write.csv(f"{path}/times", header=True)
+    for name in ("F", "O"):
+        own = quads.where(F.col("source_file") == name)
+        rows = lines(own, "subj_id", "rel_id", "obj_id", F.date_format("date_wk", "yyMMdd"), F.lit("0"))
+        rows.unionByName(lines(own.limit(1), "subj_id", "rel_id", "obj_id", F.lit("none"), F.lit("0"))).unionByName(lines(own.limit(1), "subj_id", "rel_id")).write.text(f"{path}/{name}")
+    times = files.read_times(spark, f"{path}/times").select("time_id", F.to_date("date_wk").alias("date_wk"))
+    read = files.read_quads(spark, [f"{path}/F", f"{path}/O"], named_by=-2).join(times, "time_id")
+    entities = graph.first_names(files.read_entities(spark, f"{path}/entities"))
+    found = graph.relationships(read, entities, data.ticker_map(spark, sf), "1994-01-01", "1996-12-31", files.read_relations(spark, f"{path}/relations"))
+    return found.groupBy("source_file", "relation_name", F.year("time").alias("year")).agg(F.count("*").alias("n"))
+
+
+@query
+def sft_files(spark, sf):
+    path = shared_folder(spark, "sft")
+    sinks.write_sft(agents.sft_rows(_history(spark, sf)), path)
+    return files.read_sft(spark, path).select(_md5(F.col("instruction")).alias("instruction_md5"), "input", "output")
+
+
+@query
+def preference_files(spark, sf):
+    path = shared_folder(spark, "pairs")
+    sinks.write_preferences(agents.preference_rows(_history(spark, sf)), path)
+    return files.read_preferences(spark, path).select(_md5(F.col("user_input")).alias("input_md5"), "completion_a", "completion_b")
+
+
+@query
+def result_files(spark, sf):
+    path = shared_folder(spark, "results")
+    sinks.write_results(agents.result_rows(agents.latest(_history(spark, sf))), path)
+    return files.read_results(spark, path).select(_md5(F.col("Prompt")).alias("prompt_md5"), "Response", "Target")
+
+
+@query
+def state_files(spark, sf):
+    path = shared_folder(spark, "agents")
+    sinks.write_state(agents.latest(_history(spark, sf)), path)
+    return spark.read.parquet(path).select("sample_id", F.col("trial").cast("long").alias("trial"), "prediction", F.size("reflections").cast("long").alias("n_reflections"))
+
+
+@query
+def lenient_dates(spark, sf):
+    raw = F.when(F.col("o_orderkey") % 7 == 0, F.lit("no date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return data.table(spark, sf, "orders").select("o_orderkey", files.week_id(raw).alias("week"))
+
+
+@query
+def report_lines(spark, sf):
+    checkpoint_folder(spark)
+    rows = data.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return sinks.report(rows, F.concat("c_name", F.lit(" #"), F.col("c_custkey").cast("string")), "c_custkey")
+
+
+# A model in the loop
+
+
+@query
+def daily_summary_prompts(spark, sf):
+    out = samples.model_summaries(data.posts(spark, sf), lambda p: F.concat(F.lit("Facts: "), F.length(p).cast("string")))
+    return out.select("ticker", "day", _md5(F.col("prompt")).alias("prompt_md5"), "summary")
+
+
+def _length_forecast(messages: Column) -> Column:
+    up = F.when(F.length(messages[1]["content"]) % 3 > 0, "up").otherwise("down")
+    return F.concat(F.lit("Summary: x, Keywords: y, Stock Return: 2% ("), up, F.lit(")"))
+
+
+@query
+def forecast_metrics(spark, sf):
+    """The whole loop of the baseline: profiles, forecasts, directions, metrics."""
+    checkpoint_folder(spark)
+    windows = samples.sample_windows(_days(spark, sf), samples.extractive_summaries(data.posts(spark, sf)))
+    return _rounded(forecast.evaluate(windows, lambda p: F.concat(F.lit("Description: "), _md5(p)), _length_forecast))
+
+
+@query
+def pair_collate(spark, sf):
+    rows = data.qa_pairs(spark, sf).select("conv_id", "turn", F.col("question").alias("user_input"), F.col("answer").alias("completion_a"), F.lit("x").alias("completion_b"))
+    out = datasets.collate_pairs(datasets.pair_tokens(rows), key="conv_id")
+    ones = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("conv_id", "turn", F.size("input_ids_j").cast("long").alias("n_j"), F.size("input_ids_k").cast("long").alias("n_k"), ones("attention_mask_j").alias("real_j"), ones("attention_mask_k").alias("real_k"))
+
+
+@query
+def rl_dataset(spark, sf):
+    rows = data.qa_pairs(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("question").alias("user_input"))
+    out = datasets.response_lengths(datasets.rl_queries(rows, 64), "key")
+    return out.select("key", _md5(F.col("query")).alias("query_md5"), F.size("input_ids").cast("long").alias("n"), F.col("response_length").cast("long").alias("response_length"))
+
+
 # Streaming (an extension)
 
 

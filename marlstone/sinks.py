@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def write_summaries(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -65,5 +66,16 @@ def write_state(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def report(rows: DataFrame, line: Column, *order: str) -> DataFrame:
+    """(n, line): a numbered line of text per row, in an explicit order; numbers come from range partitions, not from one task."""
+    kept = rows.select(line.alias("_line"), *order)
+    sorted_ = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    sorted_ = sorted_.checkpoint()
+    sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    n = F.col("_before") + F.col("_i") - F.col("_first") + 1
+    return sorted_.join(sizes.withColumn("_before", before), "_p").select(n.alias("n"), F.concat(n.cast("string"), F.lit(". "), "_line").alias("line"))
+
+
 def write_relationships(rows: DataFrame, path: str) -> None:
     _csv(rows, path)

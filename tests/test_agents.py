@@ -61,6 +61,15 @@ def test_model_adapters(spark):
     assert sorted(r[0] for r in rows.select(providers.tokenizer(lambda: lambda t: [len(t)])(F.col("p"))).collect()) == [[0], [1], [2]]
 
 
+def test_chat_models_and_empty_prompts(spark):
+    rows = spark.createDataFrame([("a",), ("",), (None,), ("b",)], "p string")
+    counted = providers.batched(lambda: lambda ts: [f"{len(ts)}:{t}" for t in ts], skip_empty=True)
+    assert sorted(str(r[0]) for r in rows.repartition(1).select(counted(F.col("p"))).collect()) == ["2:a", "2:b", "None", "None"]
+    model = providers.chat(lambda: lambda chats: ["/".join(f"{m['role']}={m['content']}" for m in c) for c in chats])
+    got = rows.where("p = 'a'").select(model(prompts.messages(F.lit("be brief"), F.col("p")))).first()[0]
+    assert got == "system=be brief/user=a"
+
+
 def test_token_arrays(spark):
     rows = spark.createDataFrame([([1, 2, 3],), ([],), ([1] * 9,)], "ids array<int>")
     out = rows.select(arrays.pad(F.col("ids"), 5), arrays.attention(F.col("ids"), 5), arrays.mask_prompt(F.col("ids"), F.lit(2)), arrays.round_up(F.size("ids"))).collect()

@@ -48,15 +48,33 @@ def test_days_without_posts_give_empty_metrics(spark, tmp_path):
 
 def test_summary_store(spark, tmp_path):
     rows = spark.createDataFrame([("A", "2022-01-01", ["x"], "p", "s", "m", "k"), ("A", "2022-01-02", [], "p", None, "m", "k")], "ticker string, date string, tweet_data array<string>, prompt string, summary string, model string, method string")
-    rows.write.json(f"{tmp_path}/plain")
-    (tmp_path / "plain" / "bad.json").write_text("{broken")
-    got = {str(r.date): r.summary for r in files.read_summaries(spark, f"{tmp_path}/plain/bad.json").collect()}
-    assert got == {}
     sinks.write_summaries(rows, f"{tmp_path}/store")
-    assert spark.read.json(f"{tmp_path}/store").count() == 2
+    (tmp_path / "store" / "model=m" / "method=k" / "ticker=A" / "bad.json").write_text('{broken\n{"date": "no date", "summary": "x"}\n')
+    got = files.read_summaries(spark, f"{tmp_path}/store").orderBy("date").collect()
+    assert [(r.ticker, str(r.date), r.tweet_data, r.prompt, r.summary, r.model, r.method) for r in got] == [
+        ("A", "2022-01-01", ["x"], "p", "s", "m", "k"),
+        ("A", "2022-01-02", [], "p", None, "m", "k"),
+    ]
+    sinks.write_summaries(rows.where("date = '2022-01-02'").withColumn("summary", F.lit("late")), f"{tmp_path}/store")
+    known = files.read_summaries(spark, f"{tmp_path}/store").select("ticker", F.col("date").alias("day"), "summary")
+    wanted = spark.sql("SELECT 'A' AS ticker, explode(sequence(date'2022-01-01', date'2022-01-03')) AS day")
+    merged = {r.day.day: (r.summary, r.is_new) for r in samples.merge_summaries(wanted, known, F.lit("made")).collect()}
+    assert merged == {1: ("s", False), 2: ("late", False), 3: ("made", True)}
     assert files.dataset_paths("CMIN", "/b/") == ("/b/CMIN/price/preprocessed", "/b/CMIN/tweet/raw")
 
 
+def test_pairs_of_arrays_and_resume_point(spark, tmp_path):
+    pair = {"user_input": "u", "completion_a": "a", "completion_b": "b\n"}
+    (tmp_path / "array.json").write_text(json.dumps([pair, pair], indent=1))
+    assert [r.asDict() for r in files.read_preferences(spark, f"{tmp_path}/array.json", array=True).collect()] == [pair, pair]
+    for n in (2, 10, 9):
+        (tmp_path / "run" / f"checkpoint-{n}").mkdir(parents=True)
+        (tmp_path / "run" / f"checkpoint-{n}" / "trainer_state.json").write_text(json.dumps({"global_step": n, "max_steps": 20}, indent=1))
+    assert files.resume_point(spark, f"{tmp_path}/run").collect() == [("checkpoint-10", 10, 20)]
+    (tmp_path / "none").mkdir()
+    assert files.resume_point(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_metrics_json(spark, tmp_path):
     m = binary_metrics(spark.createDataFrame([("Positive", "Positive"), ("Negative", "Positive")], "prediction string, label string"))
     sinks.write_metrics(m, str(tmp_path), "org/model", "set")
@@ -76,10 +94,13 @@ def test_streaming_windows(spark, tmp_path):
 
 def test_command_line(spark, tmp_path):
     price, posts = write(tmp_path)
-    for task in ("samples", "train", "evaluate"):
+    for task in ("samples", "train", "evaluate", "forecast"):
         cli.main([task, "--price_dir", price, "--tweet_dir", posts, "--save_dir", f"{tmp_path}/{task}"])
     assert spark.read.csv(f"{tmp_path}/samples/samples", header=True, multiLine=True, escape='"').count() > 20
     assert spark.read.json(f"{tmp_path}/train/sft").columns == ["input", "instruction", "output"]
+    assert (tmp_path / "samples" / "marlstone.log").exists()
+    told = spark.read.json(f"{tmp_path}/forecast/lexicon").first()
+    assert told.total_samples == 12
     got = spark.read.json(f"{tmp_path}/evaluate/lexicon").first()
     assert got.total_samples == spark.read.csv(f"{tmp_path}/evaluate/answers", header=True, multiLine=True, escape='"').count() == 12
 
