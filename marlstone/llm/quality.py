@@ -69,14 +69,9 @@ def base_statistics(docs: DataFrame, text: Column, out: str) -> DataFrame:
     lines = F.filter(F.split(filled, "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
     # Each step is a projection of its own: an array that a lambda looks into must exist before.
     one = docs.select("*", filled.alias("_t"), words(text).alias("_w"), lines.alias("_l"))
-    two = one.withColumn(
-        "_g",
-        F.expr(
-            "if(size(_w) < 3, array(), transform(sequence(0, size(_w) - 3), "
-            "i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) as h, i as i)))"
-        ),
-    )
-    three = two.withColumn("_s", F.expr("sort_array(_g)")).drop("_g")
+    two = one.withColumn("_h", F.expr("if(size(_w) < 3, array(), transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])))"))
+    # Where all windows differ, as in most texts, there is nothing to sort.
+    three = two.withColumn("_s", F.expr("if(size(array_distinct(_h)) = size(_h), array(), sort_array(transform(_h, (h, i) -> struct(h as h, i as i))))")).drop("_h")
     four = three.withColumn(
         "_r",
         F.expr("filter(_s, (x, k) -> (k > 0 and _s[greatest(k - 1, 0)].h = x.h) or (k + 1 < size(_s) and _s[least(k + 1, size(_s) - 1)].h = x.h))"),
