@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -37,7 +38,9 @@ from .common import fresh, held_out, table
 LETTERS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
 #: Words that a Python worker remembers the features of; then it starts afresh.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
+#: Bins of the first count of pieces.
+HASHES = 1 << 22
 
 
 def pieces(word: str) -> set[str]:
@@ -120,11 +123,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class _Rows:
     """Sparse rows: columns and values of each."""
 
-    def __init__(self, rows: list[dict[int, float]], width: int) -> None:
-        self.at = np.fromiter((i for r in rows for i in r), np.int64)
-        self.value = np.fromiter((v for r in rows for v in r.values()), float)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.int64)
-        self.n, self.width = len(rows), width
+    def __init__(self, rows: Iterable[dict[int, float]], width: int) -> None:
+        at, value, sizes = array("q"), array("d"), array("q")
+        for r in rows:
+            at.extend(r)
+            value.extend(r.values())
+            sizes.append(len(r))
+        self.at, self.value, size = np.array(at, np.int64), np.array(value, float), np.array(sizes, np.int64)
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.n, self.width = len(size), width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at] * self.value, self.n)
@@ -176,11 +183,16 @@ def train(
     if not positive:
         return Model({}, -40.0)
     p_once, u_once = sorted(set(positive)), sorted(set(unlabelled))
-    # All of a text's pieces would fill the driver: counts first, rows only of the pieces that are left.
+    # All pieces of all texts would fill the driver: first counts of hashes, which are no less than a piece's own, then of the pieces that can be frequent.
+    least, bins = min(min_texts, len(p_once)), np.zeros(HASHES, np.int32)
+    for t in p_once:
+        bins[list({hash(x) % HASHES for x in text_pieces(t)})] += 1
+    often = (bins >= least).tobytes()
     p_count: Counter[str] = Counter()
     for t in p_once:
-        p_count.update(text_pieces(t))
-    p_count = Counter({x: n for x, n in p_count.items() if n >= min(min_texts, len(p_once))})
+        p_count.update(x for x in text_pieces(t) if often[hash(x) % HASHES])
+    p_count = Counter({x: n for x, n in p_count.items() if n >= least})
+    del bins, often
     chance = np.log(max(2.0, len(p_count) / 20))  # pieces of a word and its forms come together: about a 20th are independent
     some: dict[str, frozenset[str]] = {}
 
@@ -198,7 +210,7 @@ def train(
     evidence = {x: n * np.log(n / due[x]) - (n - due[x]) for x, n in p_count.items() if n > due[x]}
     kept = sorted((x for x, e in evidence.items() if e > chance), key=lambda x: (-evidence[x], x))[:max_features]
     at = {x: i for i, x in enumerate(kept)}
-    p, u = (_Rows([{at[x]: v for x, v in sorted(r.items())} for r in rows(texts, set(kept))], len(kept)) for texts in (positive, unlabelled))
+    p, u = (_Rows(({at[x]: v for x, v in sorted(r.items())} for r in rows(texts, set(kept))), len(kept)) for texts in (positive, unlabelled))
     some.clear()
     w, b = minimise(p, u, prior, steps, rate, l2, slack)
     if (more := share_alike(p.dot(w) + b, u.dot(w) + b)) > prior:
@@ -268,8 +280,10 @@ def fit(
     u_ids = sample(ids.select("id"), max_unlabelled)
     picked = docs.sparkSession.createDataFrame([(i, True) for i in p_ids] + [(i, False) for i in u_ids], "id long, p boolean")
     texts = ids.where(F.length("text") <= max_train_chars).join(F.broadcast(picked), "id")  # at most both bounds' rows
-    rows = texts.groupBy("p", "id").agg(F.min("text").alias("text")).collect()
-    return train([r.text for r in rows if r.p], [r.text for r in rows if not r.p], min(max(prior, 1e-4), 0.9))
+    chosen: dict[bool, list[str]] = {True: [], False: []}
+    for r in texts.groupBy("p", "id").agg(F.min("text").alias("text")).collect():
+        chosen[r.p].append(r.text)
+    return train(chosen[True], chosen[False], min(max(prior, 1e-4), 0.9))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
