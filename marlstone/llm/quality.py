@@ -23,7 +23,7 @@ How it is distributed: every text is read once; its statistics, a few numbers, a
 and the steps read these alone. A step is one pass: counts and moments are summed per group, start and bin of distances
 before the shuffle, so that a group with a third of all rows sends one row per task and
 bin, and the moments of the core are those of its bins. A bin is a 32nd of a doubling of the distance; the core ends with a whole bin.
-The estimates, one row per group, are tables whose size Spark knows; it broadcasts them only below its threshold. The driver sees one number a step.
+The estimates, one row per group, are broadcast if they are counted to be at most ``MOST_BROADCAST``; beyond that Spark joins them as it sees fit. The driver sees one number a step.
 
 Defined results: null, empty and blank texts have no words, zero counts and fail; a very long text is one row like any
 other, whose windows must fit in one task; null languages and
@@ -104,6 +104,15 @@ def base_statistics(docs: DataFrame, text: Column, out: str) -> DataFrame:
     )
 
 
+#: Rows of a table per group, about 400 bytes each, that are broadcast; larger ones are left to Spark.
+MOST_BROADCAST = 50_000
+
+
+def _small(written_table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is known to be small; else a busy group would deal its rows to one task."""
+    return F.broadcast(written_table) if written_table.count() <= MOST_BROADCAST else written_table
+
+
 def _x(i: int) -> Column:
     return F.col(f"x{i}")
 
@@ -150,7 +159,7 @@ def _distance(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
 def _step(rows: DataFrame, fit: DataFrame, core: float) -> DataFrame:
     """One concentration step: ``fit`` (grp, start, ...) as it was in ``was``, with the bin of its median distance, and the next fit."""
     bins = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(LEAST_D2))) * BINS).cast("int").alias("bin")
-    counted = _distance(rows, fit.select("grp", "start", *_FIT)).groupBy("grp", "start", bins).agg(*_moments([_x(i) for i in range(P)]))
+    counted = _distance(rows, _small(fit.select("grp", "start", *_FIT))).groupBy("grp", "start", bins).agg(*_moments([_x(i) for i in range(P)]))
     lane = Window.partitionBy("grp", "start")  # one row per bin, about a thousand of them whatever the rows
     counted = counted.withColumn("up", F.sum("n").over(lane.orderBy("bin"))).withColumn("all", F.sum("n").over(lane))
     inside = F.col("up") - F.col("n") < F.col("all") * core
@@ -164,7 +173,7 @@ def _step(rows: DataFrame, fit: DataFrame, core: float) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """(grp, start, fit): the three starts of every group."""
     quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
-    quartiles = materialize(quartiles, "quality-fit")
+    quartiles = _small(materialize(quartiles, "quality-fit"))
     floors = list(FEATURES.values())
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i]))
     off = [(_x(i) - F.col(f"q{i}")[1]) / spread(i) for i in range(P)]
@@ -239,10 +248,10 @@ def judge(
     groups = counts.withColumn("rest", rest).select(
         "_full", small.alias("pooled"), F.when(~small, F.col("_full")).when(F.col("rest") >= least, F.col("_lang")).otherwise(F.lit("")).alias("grp")
     )
-    groups = materialize(groups, "quality-groups")
+    groups = _small(materialize(groups, "quality-groups"))
     features = [F.expr(f.replace("n_", f"{q}.n_").replace("word_chars", f"{q}.word_chars")).cast("double").alias(f"x{i}") for i, f in enumerate(FEATURES)]
     placed = measured.join(groups, "_full", "left")
-    fit = estimates(placed.where(passed).select("grp", *features))
+    fit = _small(estimates(placed.where(passed).select("grp", *features)))
     final = _distance(placed.select("_row", q, "grp", "pooled", *features), fit, "left")
     verdict = passed & F.coalesce(F.col("d2") <= cutoff * F.col("scale"), F.lit(False))
     return final.select(
