@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html_text, langid, mixing, pieces, quality, simhash, tokens, toxicity
+from . import ann, chat, html_text, langid, mixing, pieces, quality, simhash, tokens, toxicity, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": langid.op9_language_id,
     "op10_html_text": html_text.op10_html_text,
+    "op11_prefix_trie": trie.op11_prefix_trie,
 }
 
 #: The others learn, sample or use hashes and tokenizers that SQL lacks; tests hold them against brute force.
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op6_vp_trees": ann.OP6_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
 }

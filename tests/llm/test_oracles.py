@@ -15,8 +15,8 @@ def test_query(spark, sf, name, size):
     db = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    got, want = QUERIES[name](spark, folder).toPandas(), db.execute(ORACLES[name]).df()
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    plain = lambda df: sorted(map(repr, df[columns].itertuples(index=False, name=None)))
+    got, want = QUERIES[name](spark, folder).toArrow(), db.execute(ORACLES[name]).to_arrow_table()
+    columns = sorted(got.column_names)
+    assert columns == sorted(want.column_names)
+    plain = lambda rows: sorted(repr(tuple(r[c] for c in columns)) for r in rows.to_pylist())
     assert plain(got) == plain(want)
