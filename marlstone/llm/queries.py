@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html_text, langid, mixing, periodic, pieces, quality, simhash, tokens, toxicity, trie
+from . import ann, chat, html_text, langid, mixing, packing, periodic, pieces, quality, simhash, tokens, toxicity, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_html_text": html_text.op10_html_text,
     "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_packing": packing.op12_packing,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
