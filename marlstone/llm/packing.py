@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,36 +41,48 @@ _ODD = re.compile("[" + _UNKNOWN + "".join(c for c in map(chr, range(KNOWN)) if
 _GAP = re.compile(r"[ \t-\r]")
 
 
-class Ids:
-    """Ids of texts as little-endian 32-bit numbers; pre-tokens are encoded once by the library and remembered."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from 256 on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+class Ids(dict):
+    """Ids of texts as little-endian 32-bit numbers; pre-tokens are merged once by the library's model and remembered.
+
+    When there are too many, the older half goes, but for those used since.
+    """
 
     def __init__(self, tok) -> None:
-        self.tok, self.kept = tok, {}
+        self.tok, self.old = tok, {}
+        self.merged = tok.model.tokenize
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
 
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTERS)
+            ids = array("I", [t.id for t in self.merged(letters)]).tobytes()
+        self[part] = ids
+        return ids
+
     def fits(self, text: str) -> bool:
         """Whether the written-out rules hold."""
         if any(a in text for a in self.added):
             return False
         return text.isascii() or not _ODD.search(text) and unicodedata.is_normalized("NFC", text)
 
-    def learn(self, parts: Iterable[str]) -> None:
-        if len(self.kept) > KEPT_PRETOKENS:
-            self.kept.clear()
-        new = list(set(parts).difference(self.kept))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.kept.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True))
-
     def of(self, text: str) -> bytes:
         if not self.fits(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = PRETOKEN.findall(text.lower())
-        try:
-            return b"".join(map(self.kept.__getitem__, parts))
-        except KeyError:
-            self.learn(parts)
-            return b"".join(map(self.kept.__getitem__, parts))
+        if 2 * len(self) > KEPT_PRETOKENS:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, PRETOKEN.findall(text.lower())))
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
