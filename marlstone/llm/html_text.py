@@ -10,12 +10,12 @@ and the body's C_b and LC_b,
     C / T * log(base, C / LC * T / LT),  base = ln(C / (C - LC) * LC + LC_b / C_b * C + e)
 
 (zeros count as one). The sum of its children's densities is a node's score, and the subtree with the
-largest score is the core of the article. The least density on the path from the body to the core is the threshold.
-Around the core the article grows upwards as long as
-what a parent adds reaches the threshold and is not mainly links; a list, table or paragraph is never more than a part of what its parent
-holds; headings beside it always belong, and from the body
-itself paragraphs and the like that reach the threshold. Names of tags set nothing but menus and the like aside; which
-subtree is the article, densities alone decide.
+largest score is the core of the article (the first of equals). The least density on the path from the body to the core is the threshold.
+
+Around the core, at every level up to the body, the path's siblings are looked at one by one; those that are mainly links never belong. A sibling belongs whose own
+density, or sum of densities, reaches the threshold; so do headings, parts of the same kind (a second article or section), what lies between two parts that
+belong, and below the body paragraphs, lists and the like. Where a parent holds nothing that was set aside, all it has belongs, its own text too. Names of tags set nothing but
+menus and the like aside; which subtree is the article, densities alone decide.
 
 Defined results: a null or empty html, and a page without text, give an empty text of 0 characters; a text without tags
 is its own main text; unclosed, crossed and unknown tags are read as browsers read them, as far as blocks go; equal rows
@@ -74,6 +74,7 @@ _TITLE = re.compile(rf"(?<![a-z])(?:{'|'.join(sorted(_TITLED))})[-_]+header(?![a
 _KEPT_WHOLE = frozenset("html body main article".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
+_PARTS = frozenset("article main section".split())
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -215,8 +216,8 @@ class _Page:
                     cut(k)
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(source, at)
-                at = close.end() if close else n
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+                at = source.find(">", close.end()) + 1 or n if close else n
                 continue
             if tag in BLOCK:
                 self.runs.append((stack[-1], None))
@@ -239,13 +240,46 @@ class _Page:
             if not attributes.rstrip().endswith("/") or tag in BLOCK or tag == "a":
                 push(node)
 
+    def _around(self, path: list[int], threshold: float, chars: list[int], link_chars: list[int], ctd: list[float], score: list[float], own: list[int]) -> tuple[set[int], set[int]]:
+        """(subtrees of the article, nodes whose own text belongs to it): the core and what belongs to it around its path to the body."""
+        on_path, kids, holds = set(path), {i: [] for i in path}, set()
+        for i in range(1, len(self.tag)):
+            up = self.parent[i]
+            if up in on_path:
+                if self.away[i]:
+                    holds.add(up)
+                elif chars[i] and i not in on_path:
+                    kids[up].append(i)
+        core = below = path[0]
+        kept, spoken = {core}, set()
+        for up in path[1:]:
+            page = up == 0 or up in holds  # it also has, or may have, what is no article
+            prose = [i for i in kids[up] if 2 * link_chars[i] <= chars[i]]
+            strong = {
+                i
+                for i in prose
+                if not page
+                or max(ctd[i], score[i]) >= threshold
+                or (self.tag[i] in _PARTS and self.tag[i] == self.tag[below])
+                or (self.tag[i] in _PROSE and (up > 0 or self.tag[core] in _PROSE))
+            }
+            first, last = min(strong | {below}), max(strong | {below})
+            kept |= strong
+            kept.update(i for i in prose if first < i < last or self.tag[i] in _HEADS or self.title[i])
+            if own[up] and (not page or own[up] >= threshold):
+                spoken.add(up)
+                kept.update(i for i in kids[up] if self.tag[i] not in BLOCK)
+            below = up
+        return kept, spoken
+
     def main_text(self) -> str:
         n = len(self.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        chars, tags, link_chars, link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.runs:
             if text and not self.away[node]:
                 size = sum(map(len, text.split()))
                 chars[node] += size
+                own[node] += size
                 if self.link[node]:
                     link_chars[node] += size
         for i in range(n - 1, 0, -1):  # children come after their parents
@@ -275,26 +309,7 @@ class _Page:
         while path[-1] > 0:
             path.append(self.parent[path[-1]])
         threshold = min(ctd[i] for i in path)
-        kept = {core}
-        if core:
-            top, up = core, self.parent[core]
-            if self.tag[core] in _PROSE and up > 0 and 2 * (link_chars[up] - link_chars[core]) <= chars[up] - chars[core]:
-                top = up  # one list, table or paragraph of what its parent holds
-            heads: dict[int, list[int]] = {}
-            for i in range(1, n):
-                if (self.tag[i] in _HEADS or self.title[i]) and not self.away[i] and 2 * link_chars[i] <= chars[i]:
-                    heads.setdefault(self.parent[i], []).append(i)
-            while (up := self.parent[top]) > 0:
-                own = [i for i in heads.get(up, []) if i != top]  # headings are short and always belong
-                c = chars[up] - chars[top] - sum(chars[i] for i in own)
-                lc = link_chars[up] - link_chars[top] - sum(link_chars[i] for i in own)
-                t, lt = tags[up] - tags[top] - 1 - sum(tags[i] + 1 for i in own), link_tags[up] - link_tags[top]
-                if c and (density(c, t, lc, lt) < threshold or 2 * lc > c):
-                    break
-                top = up
-            kept = {top, *heads.get(self.parent[top], [])}
-            if self.parent[top] == 0:
-                kept |= {i for i in range(1, n) if self.parent[i] == 0 and self.tag[i] in _PROSE and ctd[i] >= threshold and 2 * link_chars[i] <= chars[i]}
+        kept, spoken = self._around(path, threshold, chars, link_chars, ctd, score, own)
         inside = [False] * n
         for i in range(n):
             inside[i] = not self.away[i] and (i in kept or (i > 0 and inside[self.parent[i]]))
@@ -304,7 +319,7 @@ class _Page:
                 if joined := " ".join("".join(block).split()):
                     blocks.append(joined)
                 block = []
-            elif inside[node]:
+            elif inside[node] or node in spoken:
                 block.append(text)
         return "\n\n".join(blocks)
 
