@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,21 +206,31 @@ PIECES = "doc_id {}, start long, length long, doc_tokens long, ids binary"
 
 
 def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, start, length, doc_tokens, ids``: every document's full windows, then its rest if there is one."""
+    """``doc_id, start, length, doc_tokens, ids``: every document's full windows, then its rest if there is one.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Ids are little-endian numbers of 32 bits, in rests of 16 bits if all ids fit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = ids_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for rows in batches:
-            for i in range(0, len(rows), 256):
-                out = []
-                for doc_id, text in zip(rows["doc_id"].iloc[i : i + 256], rows["text"].iloc[i : i + 256], strict=True):
-                    ids = b"".join([*map(own.of, slices(text or "")), end])
+        rest = "<u2" if max(own.tok.get_vocab_size(), end_id) < 1 << 16 else "<u4"
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                at, out = [], []
+                for k, text in enumerate(part.column("text")):
+                    ids = b"".join([*map(own.of, slices(text.as_py() or "")), end])
                     n = len(ids) // 4
-                    out += [(doc_id, a, min(capacity, n - a), n, ids[4 * a : 4 * (a + capacity)]) for a in range(0, n, capacity)]
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "ids"]).astype({"doc_id": rows["doc_id"].dtype})
+                    for a in range(0, n - n % capacity, capacity):
+                        out.append((a, capacity, n, ids[4 * a : 4 * (a + capacity)]))
+                    if n % capacity:
+                        out.append((n - n % capacity, n % capacity, n, np.frombuffer(ids, "<u4")[n - n % capacity :].astype(rest).tobytes()))
+                    at += [k] * (len(out) - len(at))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), *columns], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES.format(kind))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES.format(kind))
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, slack: int = SLACK, group_tokens: int = GROUP_TOKENS, **cut) -> DataFrame:
@@ -235,13 +246,14 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, slack: int = SL
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at", ignore_index=True)
-        starts, ids = rows["start"].tolist(), rows["ids"].tolist()
+        starts, lengths, ids = rows["start"].tolist(), rows["length"].tolist(), rows["ids"].tolist()
         at, out = [], []
-        for s, parts in enumerate(pack(rows["length"].tolist(), capacity, slack)):
+        for s, parts in enumerate(pack(lengths, capacity, slack)):
             offset = 0
             for k, a, b in parts:
                 at.append(k)
-                out.append((starts[k] + a, b - a, ids[k][4 * a : 4 * b], int(rows["grp"].iloc[0]) << 33 | s << 1, offset))
+                own = np.frombuffer(ids[k], "<u2" if len(ids[k]) == 2 * lengths[k] else "<u4")[a:b].astype("<u4").tobytes()
+                out.append((starts[k] + a, b - a, own, int(rows["grp"].iloc[0]) << 33 | s << 1, offset))
                 offset += b - a
         packed = pd.DataFrame(out, columns=["start", "length", "ids", "sequence_id", "offset"])
         return packed.assign(**{c: rows[c].iloc[at].array for c in ("doc_id", "doc_tokens")})
