@@ -6,7 +6,8 @@ a vantage-point tree is built over the unit vectors, whose Euclidean distance or
 subtree whose distances to its vantage point lie between lo and hi cannot hold anything nearer to
 the query than ``max(d - hi, lo - d)`` (triangle inequality); it is skipped if ``factor`` times that bound exceeds the
 distance of the k-th neighbour so far. Whole shards are skipped alike, by the distances to their centre; before anything is
-searched, the k-th distance is at most that to the sampled vectors. Factor one is exact search; larger factors skip more.
+searched, the k-th distance is at most that to the sampled vectors. Factor one is exact search; larger factors skip more, and may skip the sampled
+vectors too: a query that ends up with fewer than k of the candidates there are is searched again, with factor one.
 
 One task reads a shard's vectors, builds its tree once and then streams through the queries that need it. Vectors are
 shuffled once per block of ``block_rows`` queries, queries once per shard they can't skip, both as the numbers of the table. The sample
@@ -43,6 +44,8 @@ NEAR, NEAR_SQUARED = 1e-6, 1e-12
 #: Queries that are searched at once, pairs that wait for their scores, pairs that are scored at once.
 TOGETHER, WAITING, SCORED = 2_048, 2_000_000, 200_000
 MOST_LENGTHS = 1_000
+#: Rows that a centre has at least.
+LEAST_SHARD = 512
 
 
 def _in_order(x: np.ndarray) -> np.ndarray:
@@ -261,7 +264,7 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 5,
-    factor: float = 4.0,
+    factor: float = 2.0,
     rows_per_centre: int = 4_096,
     pivots: int = 1_024,
     max_centres: int = 256,
@@ -271,7 +274,8 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest candidates of every query.
 
-    Shards hold about ``shard_values`` numbers at most; there is a centre for every ``rows_per_centre`` rows, up to ``max_centres``.
+    Shards hold about ``shard_values`` numbers at most; there is a centre for every ``rows_per_centre`` rows, up to ``max_centres``, and of smaller
+    tables as many as cores, each with ``LEAST_SHARD`` rows. At factor two, recall was 0.93 or more on all data that was tried (tests, README).
     """
     spark = candidates.sparkSession
     kind = next((f.dataType for f in candidates.schema.fields if f.name == vector_col), None)
@@ -285,7 +289,8 @@ def search(
     n = own.count()
     lot = F.xxhash64("id", F.lit(seed))
     sample = own.select("id", "v", lot.alias("lot")).orderBy("lot", "id", "v").limit(pivots).collect()
-    space = Space([(r.id, r.v) for r in sample], max(1, min(max_centres, pivots, n // rows_per_centre)))
+    wanted = max(n // rows_per_centre, min(spark.sparkContext.defaultParallelism, n // LEAST_SHARD))
+    space = Space([(r.id, r.v) for r in sample], max(1, min(max_centres, pivots, wanted)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,56 +317,77 @@ def search(
     )
     dealt = placed.join(layout, ["size", "centre"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("parts")))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
-            ids = batch.column("id").to_numpy()
-            bound = np.full(batch.num_rows, np.inf)
-            shards: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for size, rows in _by_length(sizes):
-                v = _matrix(batch.column("v").take(pa.array(rows)), size)
-                d, bound[rows] = space.distances(v), space.bounds(ids[rows], v, k)
-                for (s, c), (at, count, lo, hi) in parts.items():
-                    if s == size:
-                        lower = np.zeros(len(rows)) if d is None else np.maximum(0.0, np.maximum(d[:, c] - hi, lo - d[:, c]))
-                        for i in rows[factor * lower <= np.sqrt(bound[rows]) + NEAR].tolist():
-                            shards[i] += range(at, at + count)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), pa.array(shards, pa.list_(pa.int64()))], names=["id", "v", "bound", "shards"])
-
-    routed = asked.mapInArrow(route, f"{vector}, bound double, shards array<long>")
-    blocks = max(1, -(-asked.count() // block_rows))
-    block = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(blocks)).cast("int")
-    cells = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"), "id", "v", F.lit(0.0).alias("bound")).unionByName(
-        routed.select(F.explode("shards").alias("shard"), block.alias("block"), F.lit(True).alias("asked"), "id", "v", "bound")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, shard = None, [], None  # vectors come before the queries of their cell
-        for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "asked")]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                here = (keys[0][a], keys[1][a])
-                if here != cell:
-                    cell, held, shard = here, [], None
-                ids, column = part.column("id").to_numpy(), part.column("v")
-                v = _matrix(column, len(column[0]))
-                if not keys[2][a]:
-                    held.append((ids, v))
-                    continue
-                if shard is None:
-                    if not held:
+    def route(factor: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+                ids = batch.column("id").to_numpy()
+                bound = np.full(batch.num_rows, np.inf)
+                shards: list[list[int]] = [[] for _ in range(batch.num_rows)]
+                for size, rows in _by_length(sizes):
+                    v = _matrix(batch.column("v").take(pa.array(rows)), size)
+                    d, bound[rows] = space.distances(v), space.bounds(ids[rows], v, k)
+                    for (s, c), (at, count, lo, hi) in parts.items():
+                        if s == size:
+                            lower = np.zeros(len(rows)) if d is None else np.maximum(0.0, np.maximum(d[:, c] - hi, lo - d[:, c]))
+                            for i in rows[factor * lower <= np.sqrt(bound[rows]) + NEAR].tolist():
+                                shards[i] += range(at, at + count)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), pa.array(shards, pa.list_(pa.int64()))], names=["id", "v", "bound", "shards"])
+
+        return run
+
+    def answer(factor: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell, held, shard = None, [], None  # vectors come before the queries of their cell
+            for batch in batches:
+                keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "asked")]
+                cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    part = batch.slice(a, b - a)
+                    here = (keys[0][a], keys[1][a])
+                    if here != cell:
+                        cell, held, shard = here, [], None
+                    ids, column = part.column("id").to_numpy(), part.column("v")
+                    v = _matrix(column, len(column[0]))
+                    if not keys[2][a]:
+                        held.append((ids, v))
                         continue
-                    shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), k), []
-                found, _ = shard.nearest(ids, v, factor, part.column("bound").to_numpy())
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    tasks = max(1, min(4 * first * blocks, 8_192))
-    found = cells.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "asked", "id").mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    if shard is None:
+                        if not held:
+                            continue
+                        shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), k), []
+                    found, _ = shard.nearest(ids, v, factor, part.column("bound").to_numpy())
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    def found(asked: DataFrame, n_asked: int, factor: float) -> DataFrame:
+        blocks = max(1, -(-n_asked // block_rows))
+        block = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(blocks)).cast("int")
+        routed = asked.mapInArrow(route(factor), f"{vector}, bound double, shards array<long>")
+        cells = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"), "id", "v", F.lit(0.0).alias("bound")).unionByName(
+            routed.select(F.explode("shards").alias("shard"), block.alias("block"), F.lit(True).alias("asked"), "id", "v", "bound")
+        )
+        tasks = max(1, min(4 * first * blocks, 8_192))
+        rows = cells.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "asked", "id").mapInArrow(answer(factor), "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    n_asked = asked.count()
+    if factor <= 1:
+        return found(asked, n_asked, factor)
+    near = materialize(found(asked, n_asked, factor), "near")
+    held = near.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("held"))
+    own_rows = own.join(asked.select("id"), "id").groupBy("id", F.size("v").alias("size")).agg(F.count("*").alias("own"))
+    there = local_table(spark, {"size": pa.int32(), "rows": pa.int64()}, [(size, sum(r.n for r in stats if r["size"] == size)) for size in sorted({r["size"] for r in stats})])
+    may = F.least(F.lit(k), F.coalesce("rows", F.lit(0)) - F.coalesce("own", F.lit(0)))
+    sized = asked.withColumn("size", F.size("v")).join(there, "size", "left").join(own_rows, ["id", "size"], "left").join(held, "id", "left")
+    short = materialize(sized.where(F.coalesce("held", F.lit(0)) < may).select("id", "v"), "short")
+    n_short = short.count()
+    if not n_short:
+        return near
+    return near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, n_short, 1.0))
 
 
 def op6_vp_trees(spark, sf_dir: str) -> DataFrame:
