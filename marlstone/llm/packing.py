@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .tokens import _L, _N, _S, _UNKNOWN, KEPT_PRETOKENS, KNOWN, tokenizer
+from .tokens import _L, _N, _S, _UNKNOWN, KNOWN, tokenizer
 
-CAPACITY, SLACK, GROUP_TOKENS = 4096, 16, 1 << 20
+CAPACITY, SLACK, GROUP_TOKENS = 4096, 16, 1 << 19
+#: Pre-tokens whose ids a Python worker keeps.
+KEPT_PRETOKENS = 200_000
 #: Characters of a text that are encoded at once, up to the next white space.
 SLICE_CHARS = 1 << 18
 #: The pre-tokenizer's published pattern, with its classes written out; it follows lower-casing.
