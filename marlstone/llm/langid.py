@@ -23,7 +23,7 @@ ones are ignored.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -83,11 +83,16 @@ class Model:
     @classmethod
     def train(cls, rows: list[tuple[str, str]], smoothing: float = 0.1, penalty: float = 3.0) -> Model:
         """From (language, text) rows."""
-        languages = sorted({x for x, _ in rows})
+        return cls.from_counts([(x, int(b), int(n)) for x, text in rows for b, n in zip(*np.unique(trigrams(text), return_counts=True), strict=True)], {x for x, _ in rows}, smoothing, penalty)
+
+    @classmethod
+    def from_counts(cls, counted: Iterable[tuple[str, int, int]], languages: Iterable[str], smoothing: float = 0.1, penalty: float = 3.0) -> Model:
+        """From (language, trigram bin, count); counts of one bin are added."""
+        languages = sorted(languages)
         counts = np.full((len(languages), BINS), smoothing)
         at = {x: i for i, x in enumerate(languages)}
-        for language, text in rows:
-            counts[at[language]] += np.bincount(trigrams(text), minlength=BINS)
+        for language, b, n in counted:
+            counts[at[language], b] += n
         prob = counts / counts.sum(axis=1, keepdims=True) if languages else counts
         return cls(languages, prob.astype(np.float32), penalty)
 
@@ -162,8 +167,22 @@ def fit(
         return Model.train([])
     small = docs.sparkSession.createDataFrame([(r.lang, r.id) for r in picked], "lang string, id long")
     own = rows.join(F.broadcast(small), ["lang", "id"])  # at most max_languages * per_language ids
-    texts = own.groupBy("lang", "id").agg(F.min("text").alias("text")).collect()  # one text each, however often an id is there
-    return Model.train(sorted((r.lang, r.text) for r in texts))
+    texts = own.groupBy("lang", "id").agg(F.min("text").alias("text"))  # one text each, however often an id is there
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for language, text in zip(batch["lang"], batch["text"], strict=True):
+                if language not in sums:
+                    sums[language] = np.zeros(BINS, np.int64)
+                sums[language] += np.bincount(trigrams(text), minlength=BINS)
+        for language, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": language, "bin": at, "n": n[at]})
+
+    # A task adds up its texts; at most languages x BINS numbers come to the driver.
+    counted = texts.mapInPandas(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    return Model.from_counts(zip(counted["lang"], counted["bin"].tolist(), counted["n"].tolist(), strict=True), {r.lang for r in picked})
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,22 +114,10 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest ``doc_id``.
-
-    Rows with a null id are kept: they can't be told apart. Of rows with equal ids that
-    stand for a group, all are kept.
-    """
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest ``doc_id``, nulls last.
 
-    Rows get a key of their own, so null and repeated ids are rows like any others. Unlike
-    ``drop_near_duplicates``, which goes by the ids alone, it leaves no copy.
+    Rows get a key of their own, so null and repeated ids are rows like any others.
     """
     key = fresh("_key", docs.columns)
     keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")

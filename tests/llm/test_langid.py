@@ -58,3 +58,15 @@ def test_sets_agree_with_enumeration(sf):
     assert off == 0
     two = model.mixture(pick["en"][:300] + " " + pick["de"][:300])
     assert set(two) == {"en", "de"} and 0.3 < two["en"] < 0.7
+
+
+def test_counts_of_tasks_are_those_of_the_texts(spark, sf):
+    """The model that executors count is the one of the same texts at once; equal shares go to the first language."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = sorted((r.lang, r.text) for r in docs.collect() if r.lang and r.text and len(r.text) <= 20_000 and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    model, want = langid.fit(docs.repartition(7)), langid.Model.train(learned)
+    assert model.languages == want.languages and np.allclose(model.prob, want.prob, rtol=1e-6)
+    tie = langid.Model(["aa", "bb"], np.full((2, langid.BINS), 1 / langid.BINS, np.float32))
+    assert tie.predict("any words") == ("aa", 1.0)

@@ -48,7 +48,10 @@ def test_mix_meets_targets_and_repeats(spark):
         taken[r.source] += r.taken
         size[r.source] += r["size"]
         target[r.source] = r.target
-        assert r.source_size == sum(0 for _ in ()) + r.source_size
+    words = defaultdict(int)
+    for _, text, _, source, _ in rows:
+        words[source] += len(text.split())
+    assert all(r.source_size == words[r.source] for r in a) and size == words
     want = mixing.capped_shares(1.5 * sum(size.values()), [3, 1, 2], [2 * size[s] for s in ("a", "b", None)])
     for s, t in zip(("a", "b", None), want, strict=True):
         assert abs(target[s] - t) < 1e-6 and abs(taken[s] - t) <= 0.01 * t + 64
