@@ -22,13 +22,15 @@ PREDICT = (
 PREDICT_REFLECT = PREDICT.replace("Facts:\n", "{reflections}\n\nFacts:\n")
 REFLECTION_HEADER = f"{FAILURE_MARK} These notes say what went wrong; use them.\n"
 REFLECT = "You judged {ticker} wrongly. Say briefly why and how to do better.\n\nPrevious trial:\n{scratchpad}\n\nReflection:"
-COMPANY = "Describe the company behind {ticker} in keywords. Use the format Description: ..., Positive Factors: ..., Negative factors: ...\n"
+COMPANY = "Describe the company behind {ticker} in keywords. Say in one line what it does, then what helps its price and what hurts it.\n"
 SIMILAR = "Name the 3 stocks most similar to {ticker}."
 FORECAST_SYSTEM = "Forecast the next day's return of a stock from its company profile and recent news.\n"
 FORECAST_USER = (
-    "Company Profile: {company_description}\n\nRecent News Summary:\n{summary}\n\n"
+    "About the company: {company_description}\n\nWhat was said lately:\n{summary}\n\n"
     "Forecast the next day. Use the format Summary: ..., Keywords: ..., Stock Return: [number]% ([up/down])\n"
 )
+#: An earlier sample and how it turned out.
+EXAMPLE = "News:\n{summary}\nOutcome: {target}"
 FORECAST_USER_SHOTS = FORECAST_USER.replace("Forecast the next", "Examples: {few_shot_learning_examples}\n\nForecast the next")
 SUMMARY_EXAMPLES = "Posts:\nOrders at the plant rose by a fifth, says its manager.\nLovely weather today!\n\nFacts:\n- Orders rose by a fifth."
 EXAMPLES = "Facts:\nOrders rose by a fifth.\n\nPrice Movement: Positive\nExplanation: More orders mean more sales."

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import prompts
 from ..functions.text import ANSWER_MARK, after_last, fill, prediction, remove_fewshot, remove_reflections, same
+from ..store import Store
 
 #: A provider turns a DataFrame with the prompt (and all of the state's columns) into a column of answers.
 Provider = Callable[[Column], Column]
@@ -59,12 +60,35 @@ def is_correct() -> Column:
     return same(F.col("prediction"), F.col("target"))
 
 
-def run_trials(samples: DataFrame, predictor: Provider, reflector: Provider, reflect_trials: int = 2) -> DataFrame:
-    """All states: a row per sample and trial, first trial for all, later ones for those still wrong."""
-    state = predict(initial(samples), predictor, 0).checkpoint()
+def _mark(samples: DataFrame) -> str:
+    """What the samples hold, in any order."""
+    n, mix = samples.agg(F.count("*"), F.sum(F.xxhash64("sample_id", "ticker", "summary", "target").cast("decimal(38,0)"))).first()
+    return f"{n}:{mix}"
+
+
+def run_trials(samples: DataFrame, predictor: Provider, reflector: Provider, reflect_trials: int = 2, store: Store | None = None) -> DataFrame:
+    """All states: a row per sample and trial, first trial for all, later ones for those still wrong.
+
+    With ``store``, every trial's state is a table ``trial-<n>`` there. A run that was cut off goes on after the last complete trial when it is started
+    again, with more trials too, and asks no model about a complete one. Stored trials of other samples are an error.
+    """
+    mark = _mark(samples) if store else ""
+
+    def settled(trial: int, make: Callable[[], DataFrame]) -> DataFrame:
+        if store is None:
+            return make().checkpoint()
+        facts = store.facts(f"trial-{trial}")
+        if facts is None:
+            return store.put(make(), f"trial-{trial}", samples=mark)
+        if facts["samples"] != mark:
+            raise ValueError(f"{store.path} holds trials of other samples")
+        return store.get(f"trial-{trial}")
+
+    state = settled(0, lambda: predict(initial(samples), predictor, 0))
     history = state
     for trial in range(1, reflect_trials + 1):
-        state = predict(reflect(state.where(F.col("finished") & ~is_correct()), reflector), predictor, trial).checkpoint()
+        wrong = state.where(F.col("finished") & ~is_correct())
+        state = settled(trial, lambda wrong=wrong, trial=trial: predict(reflect(wrong, reflector), predictor, trial))
         history = history.unionByName(state)
     return history
 

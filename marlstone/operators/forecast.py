@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..functions.text import direction, fill
+from .asof import as_of
 from .metrics import binary_metrics
 
 Provider = Callable[[Column], Column]
@@ -20,12 +21,27 @@ def profiles(tickers: DataFrame, provider: Provider) -> DataFrame:
     return asked.select("ticker", provider(F.col("_p")).alias("profile"))
 
 
-def forecasts(samples: DataFrame, described: DataFrame, provider: Provider) -> DataFrame:
-    """``samples`` (ticker, summary, target, ...) with messages, response and prediction.
+def with_examples(samples: DataFrame, at: str = "end_date") -> DataFrame:
+    """``samples`` with ``example``: the news and the outcome of the ticker's last sample before, whose outcome was known by then; null for the first."""
+    shown = fill(prompts.EXAMPLE, {"summary": F.col("summary"), "target": F.col("target")})
+    return as_of(samples, samples.select("ticker", at, shown.alias("example")), "ticker", at, "example")
+
+
+def user_message(with_example: Column | None = None) -> Column:
+    """The user's message of a forecast; with an example that is not null, the one that shows it."""
+    values = {"company_description": F.coalesce("profile", F.lit("")), "summary": F.col("summary")}
+    plain = fill(prompts.FORECAST_USER, values)
+    if with_example is None:
+        return plain
+    return F.when(with_example.isNull(), plain).otherwise(fill(prompts.FORECAST_USER_SHOTS, values | {"few_shot_learning_examples": with_example}))
+
+
+def forecasts(samples: DataFrame, described: DataFrame, provider: Provider, example: str | None = None) -> DataFrame:
+    """``samples`` (ticker, summary, target, ...) with messages, response and prediction; ``example`` names a column of ``with_examples``.
 
     A sample without a summary is skipped; a null answer counts as Unknown.
     """
-    user = fill(prompts.FORECAST_USER, {"company_description": F.coalesce("profile", F.lit("")), "summary": F.col("summary")})
+    user = user_message(None if example is None else F.col(example))
     asked = samples.where(F.trim("summary") != "").join(described, "ticker", "left").withColumn("messages", prompts.messages(F.lit(prompts.FORECAST_SYSTEM), user))
     return asked.withColumn("response", provider(F.col("messages"))).withColumn("prediction", direction(F.coalesce("response", F.lit(""))))
 

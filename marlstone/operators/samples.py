@@ -65,10 +65,10 @@ def extractive_summaries(posts: DataFrame, first: int = 3) -> DataFrame:
     return head.groupBy("ticker", F.col("date").alias("day")).agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("summary"))
 
 
-def model_summaries(posts: DataFrame, provider: Callable[[Column], Column], template: str = prompts.SUMMARY, examples: str = prompts.SUMMARY_EXAMPLES, limit: int | None = 16_385) -> DataFrame:
+def model_summaries(posts: DataFrame, provider: Callable[[Column], Column], template: str = prompts.SUMMARY, examples: str = prompts.SUMMARY_EXAMPLES, limit: int | None = None) -> DataFrame:
     """(ticker, day, prompt, summary): a model's summary of each day's posts, in line order.
 
-    ``limit``: posts beyond so many characters of a day are not shown. A day whose prompt shows no text is not asked about and has no summary.
+    ``limit``: posts beyond so many characters of a day are not shown (none: whole days are). A day whose prompt shows no text is not asked about and has no summary.
     """
     lane = Window.partitionBy("ticker", "date").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     shown = posts if limit is None else posts.withColumn("_up", F.sum(F.length("text")).over(lane)).where(F.col("_up") <= limit)

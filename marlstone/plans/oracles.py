@@ -332,7 +332,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT ticker, day, md5(p) AS prompt_md5, 'Facts: ' || length(p) AS summary FROM (SELECT ticker, day,
           {_filled(prompts.SUMMARY, ticker="ticker", tweets="t", examples=_lit(prompts.SUMMARY_EXAMPLES))} AS p FROM (
           SELECT ticker, date AS day, string_agg("text", chr(10) ORDER BY line_no) AS t
-          FROM (SELECT *, sum(length("text")) OVER (PARTITION BY ticker, date ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS up FROM posts) WHERE up <= 16385 GROUP BY ALL))""",
+          FROM posts GROUP BY ALL))""",
         "posts",
     ),
     "forecast_metrics": _sql(

@@ -8,8 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans.oracles import ORACLES
-from marlstone.plans.queries import QUERIES
+from marlstone.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
