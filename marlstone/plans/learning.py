@@ -158,13 +158,15 @@ _BUDGET = 20_000
     n AS (SELECT *, row_number() OVER (PARTITION BY padded ORDER BY chars, doc_id) - 1 AS i FROM p),
     c AS (SELECT padded, coalesce(sum(CAST(ceil(count(*) / floor({_BUDGET} / padded)) AS BIGINT)) OVER (ORDER BY padded ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
       FROM p WHERE padded IS NOT NULL GROUP BY padded)
-    SELECT doc_id, padded, CAST(first + i // CAST(floor({_BUDGET} / padded) AS BIGINT) AS BIGINT) AS batch_id, CAST(CASE WHEN padded IS NOT NULL THEN i % CAST(floor({_BUDGET} / padded) AS BIGINT) END AS BIGINT) AS place
+    SELECT doc_id, coalesce(padded, -1) AS padded, CAST(coalesce(first + i // CAST(floor({_BUDGET} / padded) AS BIGINT), -1) AS BIGINT) AS batch_id,
+      CAST(coalesce(CASE WHEN padded IS NOT NULL THEN i % CAST(floor({_BUDGET} / padded) AS BIGINT) END, -1) AS BIGINT) AS place
     FROM n LEFT JOIN c USING (padded)"""
 )
 def batch_plan(spark, sf):
+    """Documents in batches of 20,000 characters, padding included; those longer than that have no batch (-1)."""
     checkpoint_folder(spark)
     rows = data.table(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    return batches.batch_plan(rows, "chars", "doc_id", _BUDGET).select("doc_id", "padded", "batch_id", "place")
+    return batches.batch_plan(rows, "chars", "doc_id", _BUDGET).select("doc_id", *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("padded", "batch_id", "place")))
 
 
 @query(
