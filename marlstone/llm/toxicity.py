@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over densities of character pieces of words (how many words hold one, per 200 words in longer texts, as a logarithm) is trained in numpy from confirmed toxic
+A linear classifier over densities of character pieces of words (how many words hold one, in so many words of longer texts, as a logarithm) is trained in numpy from confirmed toxic
 texts (P) and unlabelled ones (U) alone; a label 0 is never used as a negative. With
 the class prior pi, the risk is
 
@@ -26,27 +26,41 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, table
+from .common import delete_written, fresh, held_out, materialize, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
 #: Words that a Python worker remembers the features of; then it starts afresh.
 KEPT_WORDS = 100_000
-#: Bins of the first count of pieces.
-HASHES = 1 << 22
 
 
-def pieces(word: str) -> set[str]:
-    """The word between marks, and its runs of 5 characters, marks included."""
+@dataclass(frozen=True)
+class Settings:
+    """What ``cross_validate`` chooses by labels of the learned fold alone."""
+
+    #: Characters of a piece.
+    size: int = 5
+    #: Words in which pieces are counted: longer texts are scaled to as many.
+    window: int = 200
+    #: Of so many pieces one is independent evidence: pieces of a word and its forms come together.
+    alike: int = 20
+
+
+DEFAULT = Settings()
+
+
+def pieces(word: str, size: int = 5) -> set[str]:
+    """The word between marks, and its runs of ``size`` characters, marks included."""
     marked = f"^{word}$"
-    return {marked, *[marked[i : i + 5] for i in range(len(marked) - 4)]}
+    return {marked, *[marked[i : i + size] for i in range(len(marked) - size + 1)]}
 
 
 _NONE: frozenset[str] = frozenset()
@@ -56,38 +70,40 @@ def text_words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def text_pieces(text: str) -> set[str]:
+def text_pieces(text: str, size: int = 5) -> set[str]:
     """Pieces of the text's words."""
-    return set().union(*map(pieces, set(text_words(text))))
+    return set().union(*(pieces(w, size) for w in set(text_words(text))))
 
 
-def density(n: float, words: int) -> float:
-    """The value of a piece that ``n`` of a text's words hold: the logarithm of how many of them, in texts of more than 200 words of how many in 200."""
-    return math.log2(1 + n * min(1.0, 200 / max(words, 1)))
+def density(n: float, words: int, window: int = 200) -> float:
+    """The value of a piece that ``n`` of a text's words hold: the logarithm of how many of them, in texts of more words than ``window`` of how many in as many."""
+    return math.log2(1 + n * min(1.0, window / max(words, 1)))
 
 
-def features(text: str, known: set[str], seen: dict[str, frozenset[str]]) -> dict[str, float]:
+def features(text: str, known: Collection[str], seen: dict[str, frozenset[str]], settings: Settings = DEFAULT) -> dict[str, float]:
     """Values of the pieces in ``known``; ``seen`` remembers words."""
     words = text_words(text)
     n: Counter[str] = Counter()
+    if len(seen) > KEPT_WORDS:
+        seen.clear()
     for w, times in Counter(words).items():
         if (found := seen.get(w)) is None:
-            found = seen[w] = frozenset(pieces(w) & known) or _NONE
+            found = seen[w] = frozenset(x for x in pieces(w, settings.size) if x in known) or _NONE
         for x in found:
             n[x] += times
-    return {x: density(k, len(words)) for x, k in n.items()}
+    return {x: density(k, len(words), settings.window) for x, k in n.items()}
 
 
 class Model:
     """Weights of pieces and a bias."""
 
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, settings: Settings = DEFAULT) -> None:
+        self.weights, self.bias, self.settings = weights, bias, settings
         self._seen: set[str] = set()
         self._telling: dict[str, list[str]] = {}
 
     def __getstate__(self):
-        return (self.weights, self.bias)
+        return (self.weights, self.bias, self.settings)
 
     def __setstate__(self, state) -> None:
         self.__init__(*state)
@@ -100,7 +116,7 @@ class Model:
             self._telling.clear()
         new = words - self._seen
         for w in new:
-            if found := [p for p in pieces(w) if p in self.weights]:
+            if found := [p for p in pieces(w, self.settings.size) if p in self.weights]:
                 self._telling[w] = found
         self._seen |= new
         telling = words & self._telling.keys()
@@ -110,7 +126,7 @@ class Model:
         for w, times in Counter(w for w in every if w in telling).items():
             for x in self._telling[w]:
                 n[x] += times
-        return self.bias + math.fsum(self.weights[x] * density(k, len(every)) for x, k in n.items())
+        return self.bias + math.fsum(self.weights[x] * density(k, len(every), self.settings.window) for x, k in n.items())
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         return _sigmoid(np.array([self.margin(t) for t in texts], float))
@@ -158,64 +174,53 @@ def descent(w: np.ndarray, b: float, p: _Rows, u: _Rows, prior: float, slack: fl
     return u.back(g_u) + p.back(g_p), float(g_u.sum() + g_p.sum())
 
 
-def train(
-    positive: Iterable[str],
-    unlabelled: Iterable[str],
-    prior: float,
-    *,
-    max_features: int = 5_000,
-    min_texts: int = 5,
-    steps: int = 300,
-    rate: float = 0.05,
-    l2: float = 2e-3,
-    slack: float = 0.0,
-) -> Model:
-    """Fit the classifier.
+def telling(p_count: Mapping[str, int], u_count: Mapping[str, int], n_p: int, n_u: int, max_features: int = 5_000, alike: int = DEFAULT.alike) -> list[str]:
+    """The pieces that are features, those with the most evidence first.
 
-    Its features are densities of pieces in ``min_texts`` positive texts at least that are over-represented among these with more evidence (a Poisson
-    log-likelihood ratio) than chance gives the best of all pieces; texts count once there, so that copies don't weigh. Of them the ``max_features`` with the most
-    evidence are taken. Which of them speak for toxicity, and which against it, the risk alone decides: weights start at zero and have either sign. They
-    are averaged over the second half of the steps, as ascents and descents alternate there.
-
-    If the unlabelled hold more of what the fitted model takes for toxic than ``prior`` allows, it is fitted again with that larger prior.
+    ``p_count`` and ``u_count``: how many of ``n_p`` different positive and ``n_u`` unlabelled texts hold a piece. A piece must be over-represented among the
+    positive with more evidence (a Poisson log-likelihood ratio) than chance gives the best of all pieces.
     """
-    positive, unlabelled = sorted(positive), sorted(unlabelled) or [""]
-    if not positive:
-        return Model({}, -40.0)
-    p_once, u_once = sorted(set(positive)), sorted(set(unlabelled))
-    # All pieces of all texts would fill the driver: first counts of hashes, which are no less than a piece's own, then of the pieces that can be frequent.
-    least, bins = min(min_texts, len(p_once)), np.zeros(HASHES, np.int32)
-    for t in p_once:
-        bins[list({hash(x) % HASHES for x in text_pieces(t)})] += 1
-    often = (bins >= least).tobytes()
-    p_count: Counter[str] = Counter()
-    for t in p_once:
-        p_count.update(x for x in text_pieces(t) if often[hash(x) % HASHES])
-    p_count = Counter({x: n for x, n in p_count.items() if n >= least})
-    del bins, often
-    chance = np.log(max(2.0, len(p_count) / 20))  # pieces of a word and its forms come together: about a 20th are independent
-    some: dict[str, frozenset[str]] = {}
-
-    def rows(texts: Iterable[str], among: set[str]) -> Iterator[dict[str, float]]:
-        some.clear()
-        for t in texts:
-            if len(some) > KEPT_WORDS:
-                some.clear()
-            yield features(t, among, some)
-
-    u_count: Counter[str] = Counter()
-    for found in rows(u_once, set(p_count)):
-        u_count.update(found.keys())
-    due = {x: len(p_once) * max(u_count[x], 0.5) / len(u_once) for x in p_count}
+    chance = np.log(max(2.0, len(p_count) / alike))
+    due = {x: n_p * max(u_count.get(x, 0), 0.5) / max(n_u, 1) for x in p_count}
     evidence = {x: n * np.log(n / due[x]) - (n - due[x]) for x, n in p_count.items() if n > due[x]}
-    kept = sorted((x for x, e in evidence.items() if e > chance), key=lambda x: (-evidence[x], x))[:max_features]
-    at = {x: i for i, x in enumerate(kept)}
-    p, u = (_Rows(({at[x]: v for x, v in sorted(r.items())} for r in rows(texts, set(kept))), len(kept)) for texts in (positive, unlabelled))
-    some.clear()
+    return sorted((x for x, e in evidence.items() if e > chance), key=lambda x: (-evidence[x], x))[:max_features]
+
+
+def settle(kept: list[str], p: _Rows, u: _Rows, prior: float, *, steps: int = 300, rate: float = 0.05, l2: float = 2e-3, slack: float = 0.0, settings: Settings = DEFAULT) -> Model:
+    """The model over the features ``kept``.
+
+    Which of them speak for toxicity, and which against it, the risk alone decides: weights start at zero and have either sign. They
+    are averaged over the second half of the steps, as ascents and descents alternate there. If the unlabelled hold more of what the fitted model takes for
+    toxic than ``prior`` allows, it is fitted again with that larger prior.
+    """
     w, b = minimise(p, u, prior, steps, rate, l2, slack)
     if (more := share_alike(p.dot(w) + b, u.dot(w) + b)) > prior:
         w, b = minimise(p, u, min(more, 0.9), steps, rate, l2, slack)
-    return Model({x: float(w[i]) for x, i in at.items()}, b)
+    return Model({x: float(w[i]) for i, x in enumerate(kept)}, b, settings)
+
+
+def train(positive: Iterable[str], unlabelled: Iterable[str], prior: float, *, max_features: int = 5_000, min_texts: int = 5, settings: Settings = DEFAULT, **descent) -> Model:
+    """Fit the classifier to texts at hand; ``fit`` does the same over tables.
+
+    Its features are densities of pieces in ``min_texts`` positive texts at least that are ``telling``; texts count once there, so that copies don't weigh.
+    """
+    positive, unlabelled = sorted(positive), sorted(unlabelled) or [""]
+    if not positive:
+        return Model({}, -40.0, settings)
+    p_once, u_once = set(positive), set(unlabelled)
+    p_count = Counter(x for t in p_once for x in text_pieces(t, settings.size))
+    p_count = {x: n for x, n in p_count.items() if n >= min(min_texts, len(p_once))}
+    seen: dict[str, frozenset[str]] = {}
+    u_count = Counter(x for t in u_once for x in features(t, p_count, seen, settings))
+    kept = telling(p_count, u_count, len(p_once), len(u_once), max_features, settings.alike)
+    at, seen = {x: i for i, x in enumerate(kept)}, {}
+    p, u = (_Rows(sorted_rows({at[x]: v for x, v in features(t, at, seen, settings).items()} for t in texts), len(kept)) for texts in (positive, unlabelled))
+    return settle(kept, p, u, prior, settings=settings, **descent)
+
+
+def sorted_rows(rows: Iterable[dict[int, float]]) -> list[dict[int, float]]:
+    """Sparse rows in an order of their own, so that sums don't depend on where they come from."""
+    return [dict(r) for r in sorted(sorted(r.items()) for r in rows)]
 
 
 def share_alike(on_p: np.ndarray, on_u: np.ndarray) -> float:
@@ -253,12 +258,16 @@ def fit(
     max_positive: int = 2_000,
     max_unlabelled: int = 6_000,
     max_train_chars: int = 50_000,
+    max_features: int = 5_000,
+    min_texts: int = 5,
+    settings: Settings = DEFAULT,
     seed: int = 42,
 ) -> Model:
     """Train on a bounded sample of rows outside the held-out fold.
 
     ``prior`` is the share of toxic texts; if None, that among the fold's labels, over all rows. The sample is drawn among ids,
-    a repeated one counting once with its least text, so at most ``max_positive + max_unlabelled`` texts come to the driver.
+    a repeated one counting once with its least text. Executors read the texts: a task adds up how many hold a piece, and then gives the
+    values of the features that were chosen; counts of the positive texts' frequent pieces and at most ``max_positive + max_unlabelled`` sparse rows come to the driver.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
     ids = ids.where(~held_out(F.col("id")))
@@ -274,16 +283,71 @@ def fit(
         few = rows.where(lot < min(1.0, 4 * (n + 50) / max(1, rows.count())))
         return [r[0] for r in few.groupBy("id").agg(F.min(order).alias("h")).orderBy("h", "id").limit(n).collect()]
 
+    spark = docs.sparkSession
     p_ids = sample(marked.where("y = 1").select("id"), max_positive)
     if not p_ids:
-        return train([], [], 0.5)
-    u_ids = sample(ids.select("id"), max_unlabelled)
-    picked = docs.sparkSession.createDataFrame([(i, True) for i in p_ids] + [(i, False) for i in u_ids], "id long, p boolean")
-    texts = ids.where(F.length("text") <= max_train_chars).join(F.broadcast(picked), "id")  # at most both bounds' rows
-    chosen: dict[bool, list[str]] = {True: [], False: []}
-    for r in texts.groupBy("p", "id").agg(F.min("text").alias("text")).collect():
-        chosen[r.p].append(r.text)
-    return train(chosen[True], chosen[False], min(max(prior, 1e-4), 0.9))
+        return Model({}, -40.0, settings)
+    picked = spark.createDataFrame([(i, True) for i in p_ids] + [(i, False) for i in sample(ids.select("id"), max_unlabelled)], "id long, p boolean")
+    texts = ids.where(F.length("text") <= max_train_chars).join(F.broadcast(picked), "id").groupBy("p", "id").agg(F.min("text").alias("text"))  # at most both bounds' rows
+    since = len(written)
+    texts = materialize(texts.repartition(4 * spark.sparkContext.defaultParallelism, "p", "id"), "toxic-sample")
+    once = materialize(texts.groupBy("p", "text").agg(F.lit(True).alias("once")).select("p", "text").repartition(4 * spark.sparkContext.defaultParallelism), "toxic-texts")
+    sizes = {r.p: r["count"] for r in once.groupBy("p").count().collect()}
+    if not sizes.get(True):
+        delete_written(spark, since=since)
+        return Model({}, -40.0, settings)
+
+    def counts(rows: DataFrame, known: Collection[str] | None, least: int) -> dict[str, int]:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n: Counter[str] = Counter()
+            seen: dict[str, frozenset[str]] = {}
+            for batch in batches:
+                for t in batch["text"]:
+                    n.update(text_pieces(t, settings.size) if known is None else features(t, known, seen, settings).keys())
+            yield pd.DataFrame({"piece": list(n), "n": list(n.values())}).astype({"piece": object, "n": "int64"})
+
+        summed = rows.mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+        return dict(zip(summed["piece"], summed["n"].tolist(), strict=True))
+
+    p_count = counts(once.where("p").select("text"), None, min(min_texts, sizes[True]))
+    u_count = counts(once.where("NOT p").select("text"), frozenset(p_count), 1)
+    kept = telling(p_count, u_count, sizes[True], max(sizes.get(False, 0), 1), max_features, settings.alike)
+    at = {x: i for i, x in enumerate(kept)}
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, frozenset[str]] = {}
+        for batch in batches:
+            found = [sorted((at[x], v) for x, v in features(t, at, seen, settings).items()) for t in batch["text"]]
+            yield pd.DataFrame({"p": batch["p"], "at": [[i for i, _ in r] for r in found], "value": [[v for _, v in r] for r in found]})
+
+    sparse: dict[bool, list[dict[int, float]]] = {True: [], False: []}
+    for r in texts.select("p", "text").mapInPandas(rows_of, "p boolean, at array<int>, value array<double>").toLocalIterator():
+        sparse[r.p].append(dict(zip(r["at"], r["value"], strict=True)))
+    delete_written(spark, since=since)
+    p, u = (_Rows(sorted_rows(sparse[x] or [{}]), len(kept)) for x in (True, False))
+    return settle(kept, p, u, min(max(prior, 1e-4), 0.9), settings=settings)
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, choices: Iterable[Settings], *, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> list[tuple[Settings, float, float]]:
+    """(settings, share of toxic labels caught, share of other labels flagged), by labels outside the held-out fold.
+
+    Each part of the learned fold is scored by a model that saw none of its labels and texts; the held-out fold is not looked at.
+    """
+    part = F.floor(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) / 4) % folds
+    learned = lambda df: df.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col).cast("long"))).withColumn("_part", part)
+    d, y = learned(docs.select(id_col, text_col)), learned(labels.select(id_col, label_col))
+    out = []
+    for settings in choices:
+        n = Counter()
+        for k in range(folds):
+            model = fit(d.where(F.col("_part") != k), y.where(F.col("_part") != k), id_col=id_col, text_col=text_col, label_col=label_col, settings=settings, **options)
+            asked = d.where(F.col("_part") == k).join(y.where(F.col("_part") == k).select(id_col, label_col), id_col)
+            flagged = (F.col("_score") >= THRESHOLD).cast("int")
+            for r in score(asked.select(text_col, label_col), model, text_col=text_col, out_col="_score").groupBy(label_col).agg(F.count("*").alias("n"), F.sum(flagged).alias("f")).collect():
+                n[r[label_col], "n"] += r.n
+                n[r[label_col], "f"] += r.f
+        out.append((settings, n[1, "f"] / max(1, n[1, "n"]), n[0, "f"] / max(1, n[0, "n"])))
+    return out
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
