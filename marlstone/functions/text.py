@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +104,14 @@ def remove_reflections(prompt: Column, keep_colon: bool = False) -> Column:
     """The prompt without reflections. The colon after "Facts" is lost unless ``keep_colon``."""
     glue = "\n\nFacts:\n" if keep_colon else "\n\nFacts"
     return F.concat(strip(before_first(prompt, FAILURE_MARK)), F.lit(glue), strip(after_last(prompt, FACTS_MARK)))
+
+
+def python_list(texts: Column) -> Column:
+    """An array of strings as Python writes a list of them: quotes, escapes and all; null elements are None."""
+
+    def write(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in lists:
+            yield pd.Series([None if x is None else repr(list(x)) for x in series], dtype=object)
+
+    write.__annotations__ = {"lists": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(write, "string")(texts)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,47 +27,92 @@ def _in_order(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, axis=1)[:, -1]
 
 
-def _best(k: int):
-    def best(cell: pd.DataFrame) -> pd.DataFrame:
-        asks, others = cell[cell["_asks"]], cell[~cell["_asks"]]
-        out: list[tuple[int, int, float]] = []
-        for size in set(asks["_size"]) & set(others["_size"]):
-            a, b = asks[asks["_size"] == size], others[others["_size"] == size]
-            x, y = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["_v"].to_numpy()).astype(float)
-            nx, ny = np.sqrt(_in_order(x * x)), np.sqrt(_in_order(y * y))
-            a_ids, b_ids = a["_id"].to_numpy(), b["_id"].to_numpy()
-            for i in range(0, len(x), ROWS_AT_ONCE):
-                part = slice(i, i + ROWS_AT_ONCE)
-                s = (x[part] / nx[part, None]) @ (y / ny[:, None]).T
-                s[a_ids[part][:, None] == b_ids[None, :]] = -np.inf
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -1.0 - NEAR)
-                p, q = np.nonzero((s >= least[:, None] - NEAR) & (s > -np.inf))
-                exact = _in_order(x[i + p] * y[q]) / (nx[i + p] * ny[q])
-                order = np.lexsort((b_ids[q], -exact, p))
-                p, q, exact = p[order], q[order], exact[order]
-                first = np.searchsorted(p, p)  # where its row begins
-                keep = np.arange(len(p)) - first < k
-                out += zip(a_ids[i + p[keep]].tolist(), b_ids[q[keep]].tolist(), exact[keep].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["id", "other", "score"])
-
-    return best
-
-
-def cosine_top(vectors: DataFrame, k: int = 3, *, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4_096) -> DataFrame:
+class _Cell:
+    """A block of asking rows; candidates stream by, and each row keeps its k best."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, vectors.astype(float), k
+        self.norms = np.sqrt(_in_order(self.x * self.x))
+        self.units = self.x / self.norms[:, None]
+        self.limit = np.full(len(ids), -np.inf)  # the k-th score so far
+        self.who, self.other, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        y = vectors.astype(float)
+        norms = np.sqrt(_in_order(y * y))
+        units = np.ascontiguousarray((y / norms[:, None]).T)
+        found = [(self.who, self.other, self.score)]
+        for i in range(0, len(self.ids), ROWS_AT_ONCE):
+            part = slice(i, i + ROWS_AT_ONCE)
+            s = self.units[part] @ units
+            s[self.ids[part][:, None] == ids[None, :]] = -np.inf
+            least = self.limit[part]
+            if s.shape[1] >= self.k and np.isinf(least).any():
+                least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])
+            p, q = np.nonzero(s >= np.maximum(least - NEAR, -2.0)[:, None])
+            exact = _in_order(self.x[i + p] * y[q]) / (self.norms[i + p] * norms[q]) if len(p) else np.empty(0)
+            found.append((i + p, ids[q], exact))
+        who, other, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((other, -score, who))
+        who, other, score = who[order], other[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        keep = rank < self.k
+        self.limit[who[rank == self.k - 1]] = score[rank == self.k - 1]
+        self.who, self.other, self.score = who[keep], other[keep], score[keep]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.who]), pa.array(self.other), pa.array(self.score)], names=["id", "other", "score"])
+
+
+def _search(k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, cell = None, [], None  # of a cell the asking rows come first
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_size", "_i", "_j", "_asked")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if b == a:
+                    continue
+                here = tuple(keys[a, :3].tolist())
+                if here != key:
+                    if cell is not None:
+                        yield cell.batch()
+                    key, held, cell = here, [], None
+                part = batch.slice(a, b - a)
+                ids, vectors = part.column("_id").to_numpy(), part.column("_v").flatten().to_numpy().reshape(b - a, here[0])
+                if not keys[a, 3]:
+                    held.append((ids, vectors))
+                    continue
+                if cell is None:
+                    if not held:
+                        continue
+                    cell = _Cell(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+                    held = []
+                cell.offer(ids, vectors)
+        if cell is not None:
+            yield cell.batch()
+
+    return search
+
+
+def cosine_top(vectors: DataFrame, k: int = 3, *, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4_096, lanes: int = 8) -> DataFrame:
     """``id, rank, other, score``: of every row the ``k`` others with the largest cosine, ties to the smaller id.
 
-    Rows are dealt to B blocks of about ``block_rows``, and each of the B x B cells multiplies two blocks and hands on its own k best of every row alone; a
-    vector is shuffled 2 B times. Vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors of another length are not compared, nor are
-    rows with the same id. Rows that share an id share its k places.
+    Asking rows are dealt to blocks of about ``block_rows``, candidates to ``lanes``; a cell holds one block and lets one lane's candidates stream by, keeping
+    k of each row. A candidate is shuffled once per block, an asking row once per lane, and lanes x k rows of each are merged. Exact search compares all with
+    all: for vectors beyond some millions use an index. Vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors of another length
+    are not compared, nor are rows with the same id. Rows that share an id share its k places.
     """
     good = vectors.where(F.col(id_col).isNotNull() & _directed(F.col(vector_col)))
     good = good.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.monotonically_increasing_id().alias("_at")).checkpoint()
     blocks = max(1, -(-good.count() // block_rows))
     block = F.pmod(F.xxhash64("_at"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    lane = F.pmod(F.xxhash64("_at", F.lit(1)), F.lit(lanes)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("_v").alias("_size")
-    asks = good.select(block.alias("_i"), every.alias("_j"), F.lit(True).alias("_asks"), "_id", "_v", size)
-    others = good.select(every.alias("_i"), block.alias("_j"), F.lit(False).alias("_asks"), "_id", "_v", size)
-    found = asks.unionByName(others).groupBy("_i", "_j").applyInPandas(_best(k), "id long, other long, score double")
-    lane = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return found.withColumn("rank", F.row_number().over(lane)).where(F.col("rank") <= k).select("id", "rank", "other", "score")
+    asks = good.select(size, block.alias("_i"), every(lanes).alias("_j"), F.lit(0).alias("_asked"), "_id", "_v")
+    others = good.select(size, every(blocks).alias("_i"), lane.alias("_j"), F.lit(1).alias("_asked"), "_id", "_v")
+    cells = asks.unionByName(others).repartition(max(lanes, min(4 * blocks * lanes, 8_192)), "_size", "_i", "_j")
+    found = cells.sortWithinPartitions("_size", "_i", "_j", "_asked").mapInArrow(_search(k), "id long, other long, score double")
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "other", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import learning, oracles, queries
+from . import layouts, learning, oracles, queries
 
-QUERIES = {**queries.QUERIES, **learning.QUERIES}
-ORACLES = {**oracles.ORACLES, **learning.ORACLES}
+QUERIES = {**queries.QUERIES, **learning.QUERIES, **layouts.QUERIES}
+ORACLES = {**oracles.ORACLES, **learning.ORACLES, **layouts.ORACLES}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,5 +80,54 @@ def report(rows: DataFrame, line: Column, *order: str) -> DataFrame:
     return sorted_.join(sizes.withColumn("_before", before), "_p").select(n.alias("n"), F.concat(n.cast("string"), F.lit(". "), "_line").alias("line"))
 
 
+def name_files(spark: SparkSession, folder: str, name: Callable[[dict[str, str]], str]) -> int:
+    """Rename the part files below partition folders ``key=value`` to what ``name`` makes of their keys, relative to ``folder``; the number of files.
+
+    For layouts that other programs read, one file per key: rows must have been written with one part file in each folder. The driver renames; no data moves.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    found, moved = fs.listFiles(root, True), 0
+    parts = []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("part-"):
+            parts.append(path)
+    for path in parts:
+        keys, up = {}, path.getParent()
+        while "=" in up.getName():
+            key, _, value = up.getName().partition("=")
+            keys[key] = unquote(value)
+            up = up.getParent()
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name(keys)}")
+        if fs.exists(target):
+            raise ValueError(f"two files for {target}")
+        fs.mkdirs(target.getParent())
+        fs.rename(path, target)
+        moved += 1
+    for status in fs.listStatus(root):
+        if "=" in status.getPath().getName():
+            fs.delete(status.getPath(), True)
+    return moved
+
+
+def write_price_files(rows: DataFrame, path: str) -> int:
+    """A file ``<ticker>.txt`` per ticker, as ``files.read_prices`` reads them: day, change and further figures between tabs. One task writes a ticker."""
+    number = [F.coalesce(F.col(c).cast("string"), F.lit("0")) if c in rows.columns else F.lit("0") for c in ("pct_change", "c2", "c3", "c4", "c5", "volume")]
+    lines = rows.select("ticker", "date", F.concat_ws("\t", F.date_format("date", "yyyy-MM-dd"), *number).alias("value"))
+    lines.repartition("ticker").sortWithinPartitions("ticker", "date").select("ticker", "value").write.partitionBy("ticker").text(path)
+    return name_files(rows.sparkSession, path, lambda k: f"{k['ticker']}.txt")
+
+
+def write_post_files(rows: DataFrame, path: str) -> int:
+    """A file ``<ticker>/<day>`` of JSON lines per ticker and day, in line order."""
+    fields = F.struct(*(F.col(c).cast("string").alias(c) for c in ("id", "author_id")), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"), "text")
+    lines = rows.select("ticker", F.date_format("date", "yyyy-MM-dd").alias("day"), "line_no", F.to_json(fields).alias("value"))
+    placed = lines.repartition("ticker", "day").sortWithinPartitions("ticker", "day", "line_no")
+    placed.select("ticker", "day", "value").write.partitionBy("ticker", "day").text(path)
+    return name_files(rows.sparkSession, path, lambda k: f"{k['ticker']}/{k['day']}")
+
+
 def write_relationships(rows: DataFrame, path: str) -> None:
     _csv(rows, path)

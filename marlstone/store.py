@@ -56,6 +56,10 @@ class Store:
         lines = self._versions(name)
         return dict(lines[-1].facts or {}) if lines else None
 
+    def all_facts(self, name: str) -> list[dict[str, str]]:
+        """The facts of all versions, oldest first."""
+        return [dict(r.facts or {}) for r in self._versions(name)]
+
     def versions(self, name: str) -> list[int]:
         return [r.version for r in self._versions(name)]
 
