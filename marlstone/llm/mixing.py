@@ -252,13 +252,9 @@ def cut_mix(docs: DataFrame, *, block_words: int = 32, **settings) -> DataFrame:
     columns of any name are carried.
     """
     cols = docs.columns
-    keyed = materialize(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *[F.col(c).alias(f"_{c}") for c in ("doc_id", "text", "source")]).withColumn(
-            "key", F.monotonically_increasing_id()
-        ),
-        "mix-rows",
-    )
-    plan = mix_sources(keyed, key_col="key", id_col="_doc_id", text_col="_text", source_col="_source", block_words=block_words, **settings)
+    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.monotonically_increasing_id().alias("key")), "mix-rows")
+    named = keyed.select("key", *[F.col("row")[c].alias(f"_{c}") for c in ("doc_id", "text", "source")])  # the scan reads these fields alone
+    plan = mix_sources(named, key_col="key", id_col="_doc_id", text_col="_text", source_col="_source", block_words=block_words, **settings)
     both = keyed.select("key", "row").join(plan.select("key", "size", "taken", "full_passes", "start", "blocks", "picked", "phase"), "key")
     extra = F.col("taken") - F.col("full_passes") * F.col("size")
 
