@@ -116,11 +116,12 @@ _REWARD_STEPS, _REWARD_RATE = 25, 0.5
 )
 def reward_fit(spark, sf):
     """Weights after a fixed number of steps, half of them in a run that was cut off: of every ten documents the first good one against the first bad one."""
-    docs = data.table(spark, sf, "labels").join(data.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").isNotNull())
     size = F.length("text")
     without = lambda c: size - F.length(F.replace("text", F.lit(c), F.lit("")))
     x = F.array(size / 2000.0, without(" ") / F.greatest(size, F.lit(1)), without("\n") / 20.0)
-    first = lambda q: F.min_by(F.when(F.col("quality") == q, x), F.when(F.col("quality") == q, F.col("doc_id")))
+    told = data.table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", x.alias("x"))  # texts stay where they are
+    docs = data.table(spark, sf, "labels").join(told, "doc_id")
+    first = lambda q: F.min_by(F.when(F.col("quality") == q, F.col("x")), F.when(F.col("quality") == q, F.col("doc_id")))
     pairs = docs.groupBy(F.floor(F.col("doc_id") / 10)).agg(first(1).alias("chosen"), first(0).alias("rejected"))
     store = Store(spark, shared_folder(spark, "reward"))
     reward.fit(pairs, steps=_REWARD_STEPS // 2, rate=_REWARD_RATE, settled=0.0, store=store)
