@@ -51,7 +51,7 @@ class Settings:
     #: Words in which pieces are counted: longer texts are scaled to as many.
     window: int = 200
     #: Of so many pieces one is independent evidence: pieces of a word and its forms come together.
-    alike: int = 20
+    alike: int = 100
 
 
 DEFAULT = Settings()
