@@ -44,14 +44,14 @@ KEPT_WORDS = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """What ``cross_validate`` chooses by labels of the learned fold alone."""
+    """Chosen by ``cross_validate``, that is by labels of the learned fold alone: of what lies within one standard error of the best, the strictest."""
 
     #: Characters of a piece.
     size: int = 5
     #: Words in which pieces are counted: longer texts are scaled to as many.
     window: int = 200
     #: Of so many pieces one is independent evidence: pieces of a word and its forms come together.
-    alike: int = 100
+    alike: int = 20
 
 
 DEFAULT = Settings()
