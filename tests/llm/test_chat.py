@@ -38,3 +38,11 @@ def test_rows(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_a_conversation_of_many_turns(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("5L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    r = chat.read_back(chat.format_chats(df)).first()
+    assert r.n_turns == n and r.loss_chars == sum(len(f"t{i}") for i in range(1, n, 2))
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\nt{i}\n" for i in range(n)).encode()).hexdigest()

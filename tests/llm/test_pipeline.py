@@ -48,3 +48,9 @@ def test_run_on_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
     plan = mixing.mix_sources(spark.createDataFrame(seen["simhash"], docs.schema))
     assert abs(words(seen["mixing"]) - plan.selectExpr("sum(taken)").first()[0]) <= 64 and words(seen["mixing"]) <= 1.5 * words(seen["simhash"]) + 64
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["mixing"])
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

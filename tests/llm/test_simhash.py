@@ -89,3 +89,19 @@ def test_one_row_of_each_group_stays(spark, edge, none):
     groups = set(brute_components([brute_fingerprint(r.text) for r in edge.collect()], list(range(edge.count()))))
     kept = simhash.keep_one_of_each(edge)
     assert kept.columns == edge.columns and kept.count() == len(groups) and simhash.keep_one_of_each(none).count() == 0
+
+
+def test_crowded_table_entries_lose_nothing(spark):
+    """500 fingerprints share a segment, far more than ``CROWD``: their entry is split, and the groups are those of all pairs."""
+    rnd = random.Random(11)
+    fps = {(0xDEADBEEF << 32) | rnd.getrandbits(32) for _ in range(420)}
+    for x in rnd.sample(sorted(fps), 60):  # neighbours at one and two bits, in either segment
+        fps.add(x ^ (1 << rnd.randrange(32)))
+        fps.add(x ^ (1 << rnd.randrange(32)) ^ (1 << rnd.randrange(32, 64)))
+    fps = sorted(fps)
+    assert sum(x >> 32 == 0xDEADBEEF for x in fps) > 6 * simhash.CROWD
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    roots = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    mine, want = [roots.get(x, x) for x in signed], brute_components(fps, list(range(len(fps))))
+    groups = lambda labels: sorted(sorted(i for i, y in enumerate(labels) if y == x) for x in set(labels))
+    assert groups(mine) == groups(want) and len(set(want)) < len(fps) - 100
