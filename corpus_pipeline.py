@@ -28,7 +28,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written and read again.
 
-    A stage's output needs nothing that was written before it, which is then deleted.
+    A stage's output needs nothing that was written before it, which is then deleted. Rows are told apart by keys of their own, so null and repeated
+    ids are documents like any others; texts that are null, empty or too short fail the base rules and go in the first stage; columns of any names are carried
+    up to the last stage; no documents give no rows.
     """
     docs, before = table(spark, sf_dir, "documents"), len(written)
     for name, stage in STAGES:
