@@ -55,6 +55,7 @@ def resumed_trials(spark, sf):
     target = F.when(F.col("quality") == 1, POSITIVE).otherwise(NEGATIVE)
     rows = rows.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("ticker"), F.col("text").alias("summary"), target.alias("target"))
     store = Store(spark, shared_folder(spark, "trials"))
+    rows = store.put(rows, "samples")  # joined once for all runs
     agents.run_trials(rows, _length_answer, reflection, 1, store)
     never = lambda prompt: F.raise_error(F.concat(F.lit("asked again: "), prompt)).cast("string")
     agents.run_trials(rows, never, never, 1, store)  # what is complete is not asked for again

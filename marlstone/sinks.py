@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -9,10 +10,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sources.files import last_summaries, read_raw_summaries
 
-def write_summaries(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the summary store, a folder per model, method and ticker."""
-    rows.write.mode(mode).partitionBy("model", "method", "ticker").json(path)
+
+def write_summaries(rows: DataFrame, path: str, mode: str = "append", sequence: int | None = None) -> None:
+    """Append to the summary store, a folder per model, method and ticker.
+
+    ``sequence`` says which of two writes of a day is the later; without it the writer's clock does.
+    """
+    written = time.time_ns() // 1_000 if sequence is None else sequence
+    rows.withColumn("written", F.lit(written).cast("long")).write.mode(mode).partitionBy("model", "method", "ticker").json(path)
+
+
+def compact_summaries(spark: SparkSession, path: str) -> int:
+    """One row per day, the one that ``files.read_summaries`` gives, in every folder of the store that has more; the number of such folders.
+
+    Folders without repeats are not touched. Rows are checkpointed before their folders are overwritten.
+    """
+    folder = ["model", "method", "ticker"]
+    raw = read_raw_summaries(spark, path)
+    many = raw.groupBy(*folder).agg(F.count("*").alias("n"), F.countDistinct("date").alias("d")).where("n > d").select(*folder).checkpoint()
+    n = many.count()
+    if n:
+        kept = last_summaries(raw.join(many, folder, "left_semi")).checkpoint()
+        out = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(*folder).json(path)
+    return n
 
 
 def write_samples_csv(rows: DataFrame, path: str) -> None:

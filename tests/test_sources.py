@@ -117,3 +117,50 @@ def test_command_line_of_the_graph(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/out/relationships", header=True).count() == 3
     assert spark.read.csv(f"{tmp_path}/out/stats", header=True).first().n_entities == "2"
     assert spark.read.csv(f"{tmp_path}/out/keywords", header=True).count() == 1
+
+
+def test_the_last_write_counts_and_compaction_changes_nothing(spark, tmp_path):
+    from marlstone import sinks
+
+    spark.conf.get("spark.checkpoint.dir")
+    row = lambda day, summary, ticker="AA": (ticker, day, ["x"], "p", summary, "m", "n")
+    schema = "ticker string, date string, tweet_data array<string>, prompt string, summary string, model string, method string"
+    write = lambda rows, seq: sinks.write_summaries(spark.createDataFrame(rows, schema), f"{tmp_path}/s", sequence=seq)
+    write([row("2022-01-01", "zzz"), row("2022-01-02", "b"), row("2022-01-01", "only", "BB")], 2)
+    write([row("2022-01-01", "aaa"), row("2022-01-02", None)], 5)  # later, though its text is less
+    write([row("2022-01-01", "old"), row("2022-01-03", None)], 1)
+    want = [("AA", "2022-01-01", "aaa"), ("AA", "2022-01-02", "b"), ("AA", "2022-01-03", None), ("BB", "2022-01-01", "only")]
+    got = lambda: sorted((r.ticker, str(r.date), r.summary) for r in files.read_summaries(spark, f"{tmp_path}/s").collect())
+    assert got() == want
+    untouched = sorted(p.name for p in tmp_path.rglob("ticker=BB/part-*"))
+    assert sinks.compact_summaries(spark, f"{tmp_path}/s") == 1 and got() == want
+    assert files.read_raw_summaries(spark, f"{tmp_path}/s").count() == 4 and sorted(p.name for p in tmp_path.rglob("ticker=BB/part-*")) == untouched
+    assert sinks.compact_summaries(spark, f"{tmp_path}/s") == 0
+
+
+def test_last_entity_in_the_order_of_files(spark, tmp_path):
+    """Spark packs large files first; what counts is the order of names."""
+    (tmp_path / "a.txt").write_text("X\t1\tCOMP\t0\n")
+    (tmp_path / "b.txt").write_text("X\t2\tCOMP\t0\n" + "".join(f"Y{i}\t{i}\tCOMP\t0\n" for i in range(5_000)))
+    (tmp_path / "c.txt").write_text("X\t3\tPERSON\t1\n")
+    rows = files.read_entities(spark, str(tmp_path))
+    assert [(r.id, r.type_name) for r in rows.where("entity = 'X'").collect()] == [("3", "PERSON")] and rows.count() == 5_001
+
+
+def test_layouts_of_other_programs(spark, tmp_path):
+    import pytest
+
+    from marlstone import sinks
+
+    bars = spark.createDataFrame([("A/B", "2022-01-02", 0.5), ("A/B", "2022-01-01", None), ("C+ D", "2022-01-01", 1.0)], "ticker string, date string, pct_change double").withColumn("date", F.to_date("date"))
+    assert sinks.write_price_files(bars.where("ticker = 'C+ D'"), f"{tmp_path}/p") == 1
+    assert [p.name for p in (tmp_path / "p").glob("*.txt")] == ["C+ D.txt"] and (tmp_path / "p" / "C+ D.txt").read_text().startswith("2022-01-01\t1.0\t0")
+    assert [r.ticker for r in files.read_prices(spark, f"{tmp_path}/p", only_txt=True).collect()] == ["C+ D"] == [r.ticker for r in files.tickers(spark, f"{tmp_path}/p").collect()]
+    posts = spark.createDataFrame([("C+ D", "2022-01-01", i, str(i), "u", f"text {i}\n\"x\"") for i in range(9)], "ticker string, date string, line_no int, id string, author_id string, text string")
+    posts = posts.withColumn("date", F.to_date("date")).withColumn("created_at", F.to_timestamp(F.lit("2022-01-01 10:00:00")))
+    assert sinks.write_post_files(posts.repartition(4), f"{tmp_path}/t") == 1
+    read = files.read_posts(spark, f"{tmp_path}/t").orderBy("line_no").collect()
+    assert [(r.ticker, r.line_no, r.text) for r in read] == [("C+ D", i, f'text {i}\n"x"') for i in range(9)]
+    bars.select("ticker", F.lit("v").alias("value")).repartition(3).write.partitionBy("ticker").text(f"{tmp_path}/q")
+    with pytest.raises(ValueError, match="two files"):
+        sinks.name_files(spark, f"{tmp_path}/q", lambda k: "one.txt")

@@ -57,3 +57,9 @@ def test_prediction_and_prompts(spark):
     assert column(spark, ["x"], lambda c: text.bullets(F.array().cast("array<string>"), "H\n")) == [""]
     assert column(spark, ["50% {x}"], lambda c: text.fill("{t} of {t}!", {"t": c})) == ["50% {x} of 50% {x}!"]
     assert column(spark, [None], lambda c: text.fill("{t}", {"t": c})) == [None]
+
+
+def test_python_list_is_repr(spark):
+    lists = [[], ["a"], ["it's", 'say "x"', "it's \"x\""], ["\\ \n\r\t\x00\x1f\x7f\xa0 é字\U0001f600퟿\U000e0001"], [None, ""], None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>")
+    assert [r.t for r in df.select("i", text.python_list(F.col("x")).alias("t")).orderBy("i").collect()] == [None if x is None else repr(x) for x in lists]
