@@ -16,6 +16,7 @@ from .providers import guess, hashed_score, lexicon, reflection, sketch
 from .plans.shared import checkpoint_folder
 from .session import session
 from .sources import files
+from .store import Store
 
 #: Datasets that are cut to a range of days, both included.
 RANGES = {"ACL18": ("2014-01-01", "2016-01-01")}
@@ -46,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--base_model", default="lexicon")
         p.add_argument("--num_reflect_trials", type=int, default=2)
         p.add_argument("--num_shots", type=int, default=4)
+        p.add_argument("--store", help="folder of trials and answers: a run that was cut off goes on, and no model is asked twice")
     for name in ("graph", "profile"):
         p = sub.add_parser(name)
         p.add_argument("--root", required=True)
@@ -110,15 +112,16 @@ def main(argv: list[str] | None = None) -> None:
     if args.task == "samples":
         sinks.write_samples_csv(rows, f"{args.save_dir}/samples")
         return
+    checkpoint_folder(spark)
+    store = Store(spark, args.store) if args.store else None
     if args.task == "forecast":
-        checkpoint_folder(spark)
-        metrics = forecast.evaluate(rows.where("split = 'test'"), sketch, guess)
+        metrics = forecast.evaluate(rows.where("split = 'test'"), sketch, guess, cache=store, asker=args.base_model)
         sinks.write_metrics(metrics, args.save_dir, args.base_model, args.dataset_name or None)
         log.info("%s", metrics.first())
         return
     numbered = rows.withColumn("sample_id", F.xxhash64("ticker", "end_date"))
     if args.task == "train":
-        history = agents.run_trials(numbered.where("split = 'train'"), lexicon, reflection, args.num_reflect_trials)
+        history = agents.run_trials(numbered.where("split = 'train'"), lexicon, reflection, args.num_reflect_trials, store, store, args.base_model)
         sinks.write_sft(agents.sft_rows(history), f"{args.save_dir}/sft")
         sinks.write_preferences(agents.preference_rows(history), f"{args.save_dir}/pairs")
         sinks.write_state(agents.latest(history), f"{args.save_dir}/agents")

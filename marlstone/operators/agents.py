@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import prompts
 from ..functions.text import ANSWER_MARK, after_last, fill, prediction, remove_fewshot, remove_reflections, same
 from ..store import Store
+from .answers import answered
 
 #: A provider turns a DataFrame with the prompt (and all of the state's columns) into a column of answers.
 Provider = Callable[[Column], Column]
@@ -42,18 +43,18 @@ def agent_prompt(with_reflections: bool = True) -> Column:
     return prompts.predict_prompt(F.col("ticker"), F.col("summary"), shown)
 
 
-def predict(state: DataFrame, provider: Provider, trial: int) -> DataFrame:
-    """One run: a fresh scratchpad with the facts and the answer, and the answer's first word."""
-    asked = state.withColumn("trial", F.lit(trial)).withColumn("_prompt", agent_prompt()).withColumn("_answer", provider(F.col("_prompt")))
+def predict(state: DataFrame, provider: Provider, trial: int, cache: Store | None = None, asker: str = "predict") -> DataFrame:
+    """One run: a fresh scratchpad with the facts and the answer, and the answer's first word. ``cache``: see ``answers.ask``."""
+    asked = answered(state.withColumn("trial", F.lit(trial)).withColumn("_prompt", agent_prompt()), "_prompt", provider, "_answer", cache, asker)
     pad = F.concat(fill(prompts.FACTS_BLOCK, {"summary": F.col("summary")}), F.col("_answer"))
     done = asked.withColumn("scratchpad", pad).withColumn("prediction", prediction(F.col("scratchpad")))
     return done.withColumn("response", after_last(F.col("scratchpad"), ANSWER_MARK)).withColumn("finished", F.lit(True)).drop("_prompt", "_answer")
 
 
-def reflect(state: DataFrame, provider: Provider) -> DataFrame:
+def reflect(state: DataFrame, provider: Provider, cache: Store | None = None, asker: str = "reflect") -> DataFrame:
     """Append one reflection on the old scratchpad."""
     asked = state.withColumn("_prompt", fill(prompts.REFLECT, {"ticker": F.col("ticker"), "scratchpad": F.col("scratchpad")}))
-    return asked.withColumn("_note", provider(F.col("_prompt"))).withColumn("reflections", F.concat("reflections", F.array("_note"))).drop("_prompt", "_note")
+    return answered(asked, "_prompt", provider, "_note", cache, asker).withColumn("reflections", F.concat("reflections", F.array("_note"))).drop("_prompt", "_note")
 
 
 def is_correct() -> Column:
@@ -66,11 +67,12 @@ def _mark(samples: DataFrame) -> str:
     return f"{n}:{mix}"
 
 
-def run_trials(samples: DataFrame, predictor: Provider, reflector: Provider, reflect_trials: int = 2, store: Store | None = None) -> DataFrame:
+def run_trials(samples: DataFrame, predictor: Provider, reflector: Provider, reflect_trials: int = 2, store: Store | None = None, cache: Store | None = None, asker: str = "") -> DataFrame:
     """All states: a row per sample and trial, first trial for all, later ones for those still wrong.
 
     With ``store``, every trial's state is a table ``trial-<n>`` there. A run that was cut off goes on after the last complete trial when it is started
     again, with more trials too, and asks no model about a complete one. Stored trials of other samples are an error.
+    With ``cache``, answers are kept across runs (``answers.ask``); ``asker`` then names the models and their settings.
     """
     mark = _mark(samples) if store else ""
 
@@ -84,11 +86,11 @@ def run_trials(samples: DataFrame, predictor: Provider, reflector: Provider, ref
             raise ValueError(f"{store.path} holds trials of other samples")
         return store.get(f"trial-{trial}")
 
-    state = settled(0, lambda: predict(initial(samples), predictor, 0))
+    state = settled(0, lambda: predict(initial(samples), predictor, 0, cache, f"predict {asker}"))
     history = state
     for trial in range(1, reflect_trials + 1):
         wrong = state.where(F.col("finished") & ~is_correct())
-        state = settled(trial, lambda wrong=wrong, trial=trial: predict(reflect(wrong, reflector), predictor, trial))
+        state = settled(trial, lambda wrong=wrong, trial=trial: predict(reflect(wrong, reflector, cache, f"reflect {asker}"), predictor, trial, cache, f"predict {asker}"))
         history = history.unionByName(state)
     return history
 

@@ -11,6 +11,8 @@ from ..providers import ERROR
 from ..store import Store
 
 ANSWERS = "answers"
+#: Turns a column of prompts into one of answers.
+Provider = Callable[[Column], Column]
 
 
 def address(asker: str, prompt: Column) -> Column:
@@ -26,7 +28,7 @@ def unanswered(rows: DataFrame, prompt: str, store: Store, asker: str) -> DataFr
     return wanted if known is None else wanted.join(known.select("_key"), "_key", "left_anti")
 
 
-def ask(rows: DataFrame, prompt: str, provider: Callable[[Column], Column], store: Store, asker: str, answer: str = "answer") -> DataFrame:
+def ask(rows: DataFrame, prompt: str, provider: Provider, store: Store, asker: str, answer: str = "answer") -> DataFrame:
     """``rows`` with the answers to their prompts, null where the prompt is.
 
     ``asker`` names the provider, its model and its settings; another name is another cache. Each distinct prompt that is not in the store is asked
@@ -40,3 +42,8 @@ def ask(rows: DataFrame, prompt: str, provider: Callable[[Column], Column], stor
     told = asked if known is None else known.select("_key", "_answer").unionByName(asked)
     keyed = rows.withColumn("_key", address(asker, F.col(prompt)))
     return keyed.join(told, "_key", "left").withColumn(answer, F.col("_answer")).select(*(c for c in rows.columns if c != answer), answer)
+
+
+def answered(rows: DataFrame, prompt: str, provider: Provider, answer: str, cache: Store | None = None, asker: str = "") -> DataFrame:
+    """``rows`` with the answers to ``prompt``: asked in place, row by row, or through ``ask`` if there is a ``cache``."""
+    return rows.withColumn(answer, provider(F.col(prompt))) if cache is None else ask(rows, prompt, provider, cache, asker, answer)

@@ -59,7 +59,7 @@ def collate_pairs(rows: DataFrame, multiple: int = 8, key: str | None = None) ->
 
 
 def rl_queries(rows: DataFrame, max_length: int = 512, tokenize=arrays.whitespace_ids) -> DataFrame:
-    """The dataset of reinforcement learning: query and its token ids, those of at most ``max_length`` tokens."""
+    """The dataset of reinforcement learning: query and its token ids, those of fewer than ``max_length`` tokens."""
     out = rows.withColumn("query", prompts.question_answer(F.col("user_input")))
     return out.withColumn("input_ids", tokenize(F.col("query"))).where(F.size("input_ids") < max_length)
 

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import prompts
 from ..functions.text import NEGATIVE, POSITIVE, fill, informative, rstrip
+from ..store import Store
+from .answers import ask
 
 
 def label(pct: Column) -> Column:
@@ -65,16 +67,19 @@ def extractive_summaries(posts: DataFrame, first: int = 3) -> DataFrame:
     return head.groupBy("ticker", F.col("date").alias("day")).agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("summary"))
 
 
-def model_summaries(posts: DataFrame, provider: Callable[[Column], Column], template: str = prompts.SUMMARY, examples: str = prompts.SUMMARY_EXAMPLES, limit: int | None = None) -> DataFrame:
+def model_summaries(posts: DataFrame, provider: Callable[[Column], Column], template: str = prompts.SUMMARY, examples: str = prompts.SUMMARY_EXAMPLES, limit: int | None = None, cache: Store | None = None, asker: str = "summary") -> DataFrame:
     """(ticker, day, prompt, summary): a model's summary of each day's posts, in line order.
 
     ``limit``: posts beyond so many characters of a day are not shown (none: whole days are). A day whose prompt shows no text is not asked about and has no summary.
+    ``cache``: see ``answers.ask``.
     """
     lane = Window.partitionBy("ticker", "date").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     shown = posts if limit is None else posts.withColumn("_up", F.sum(F.length("text")).over(lane)).where(F.col("_up") <= limit)
     days = shown.groupBy("ticker", F.col("date").alias("day")).agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("_t"))
     prompt = fill(template, {"ticker": F.col("ticker"), "tweets": F.col("_t"), "examples": F.lit(examples)})
     asked = days.withColumn("prompt", F.when(F.trim("_t") != "", prompt))
+    if cache is not None:
+        return ask(asked, "prompt", provider, cache, asker, "summary").select("ticker", "day", "prompt", "summary")
     return asked.select("ticker", "day", "prompt", F.when(F.col("prompt").isNotNull(), provider(F.col("prompt"))).alias("summary"))
 
 

@@ -95,7 +95,7 @@ def test_streaming_windows(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     price, posts = write(tmp_path)
     for task in ("samples", "train", "evaluate", "forecast"):
-        cli.main([task, "--price_dir", price, "--tweet_dir", posts, "--save_dir", f"{tmp_path}/{task}"])
+        cli.main([task, "--price_dir", price, "--tweet_dir", posts, "--save_dir", f"{tmp_path}/{task}", *(["--store", f"{tmp_path}/kept"] if task in ("train", "forecast") else [])])
     assert spark.read.csv(f"{tmp_path}/samples/samples", header=True, multiLine=True, escape='"').count() > 20
     assert spark.read.json(f"{tmp_path}/train/sft").columns == ["input", "instruction", "output"]
     assert (tmp_path / "samples" / "marlstone.log").exists()

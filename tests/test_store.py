@@ -90,3 +90,42 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
     assert rows(answers.ask(df.where("id < 4"), "prompt", model, store, "m, other settings"))[0] == (1, "a", "A") and asked.value == 9
     assert answers.unanswered(df, "prompt", store, "m").count() == 2
     assert answers.ask(df.limit(0), "prompt", model, store, "m").count() == 0
+
+
+def counted(spark, make):
+    """A provider that counts what it is asked."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(prompt):
+        asked.add(1)
+        return make(str(prompt))
+
+    return model, asked
+
+
+def test_no_program_asks_twice(spark, tmp_path):
+    """Summaries, profiles, forecasts, predictions and reflections come from the cache in a second run, with the same results."""
+    import datetime
+
+    from marlstone.operators import forecast
+    from marlstone.operators import samples as s
+
+    cache = Store(spark, f"{tmp_path}/cache")
+    day = datetime.date(2022, 1, 3)
+    rows = spark.createDataFrame([(t, f"facts {i} {'x' * i}", "Positive" if i % 2 else "Negative") for i, t in enumerate("AABBBC")], "ticker string, summary string, target string")
+    posts = spark.createDataFrame([("A", day, 0, "one"), ("A", day, 1, "two"), ("B", day, 0, " ")], "ticker string, date date, line_no int, text string")
+    samples = rows.withColumn("sample_id", F.monotonically_increasing_id()).checkpoint()
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    model, asked = counted(spark, lambda p: ("Positive" if len(p) % 3 else "Negative") + "\nExplanation: Stock Return: 1% (up)")
+
+    def run():
+        return (
+            rows_of(s.model_summaries(posts, model, cache=cache).select("ticker", "summary")),
+            rows_of(forecast.evaluate(rows, model, lambda m: model(F.to_json(m)), cache=cache, asker="m")),
+            rows_of(agents.run_trials(samples, model, model, 2, cache=cache, asker="m").select("sample_id", "trial", "response", "reflections")),
+        )
+
+    first, n = run(), asked.value
+    assert n > 10 and run() == first and asked.value == n
+    assert first[0] == [("A", first[0][0][1]), ("B", None)]
