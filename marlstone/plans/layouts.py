@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import providers, sinks
 from ..functions import prompts, text
-from ..operators import datasets, forecast, samples
+from ..operators import datasets, forecast, graph, samples
 from ..sources import files
 from ..sources import testdata as data
 from ..store import Store
@@ -34,7 +34,9 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 def _price_folder(spark, sf) -> str:
-    path = shared_folder(spark, "price-txt")
+    """Prices in the folder that the registry names."""
+    files.register("by-ticker", "by-ticker/prices", "by-ticker/posts")
+    path, _ = files.dataset_paths("by-ticker", shared_folder(spark, "datasets"))
     sinks.write_price_files(data.bars(spark, sf).withColumn("volume", F.col("cents")), path)
     return path
 
@@ -77,6 +79,29 @@ def relationship_csv(spark, sf):
     return spark.read.schema(rows.schema).csv(path, header=True, multiLine=True, escape='"')
 
 
+@query(
+    _sql(
+        """SELECT count(*) AS n_quads, count(DISTINCT relation) AS n_relations, (SELECT count(*) FROM (SELECT subject FROM t UNION SELECT object FROM t)) AS n_entities FROM t""",
+        "entities", "relations", "quads",
+        more="""t AS (SELECT coalesce(s.entity, q.subj_id) AS subject, coalesce(r.relation, q.rel_id) AS relation, coalesce(o.entity, q.obj_id) AS object
+          FROM quads q LEFT JOIN entities s ON s.id = q.subj_id LEFT JOIN entities o ON o.id = q.obj_id LEFT JOIN relations r ON r.id = q.rel_id WHERE q.source_file = 'F')""",
+    )
+)
+def kg_train_profile(spark, sf):
+    """The profile of the training quads alone, from files; quads of unknown weeks stay."""
+    path = shared_folder(spark, "train-graph")
+    lines = lambda rows, *cols: rows.select(F.concat_ws("\t", *cols).alias("value"))
+    lines(data.kg_entities(spark, sf), "entity", "id", "type_name", F.lit("0")).write.text(f"{path}/entities")
+    lines(data.kg_relations(spark), "relation", "id").write.text(f"{path}/relations")
+    quads = data.kg_quads(spark, sf).where("source_file = 'F'")
+    lines(quads, "subj_id", "rel_id", "obj_id", F.date_format("date_wk", "yyMMdd"), F.lit("0")).write.text(f"{path}/train")
+    quads.select(F.date_format("date_wk", "yyMMdd").alias("id"), F.date_format("date_wk", "yyyy-MM-dd").alias("week")).where(F.month("date_wk") > 1).distinct().write.csv(f"{path}/times", header=True)
+    times = files.read_times(spark, f"{path}/times").select("time_id", F.to_date("date_wk").alias("date_wk"))
+    read = files.read_quads(spark, [f"{path}/train"]).join(times, "time_id", "left")
+    entities = graph.first_names(files.read_entities(spark, f"{path}/entities"))
+    return graph.dataset_stats(graph.decode(read, entities, files.read_relations(spark, f"{path}/relations")))
+
+
 @query("SELECT 'checkpoint-' || max(n_nationkey) * 50 AS checkpoint, CAST(max(n_nationkey) * 50 AS BIGINT) AS step, CAST(2000 AS BIGINT) AS max_steps FROM nation")
 def resume_state(spark, sf):
     """Where a training run goes on: the newest of its ``checkpoint-N`` folders."""
