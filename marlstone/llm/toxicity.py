@@ -289,9 +289,9 @@ def fit(
         return Model({}, -40.0, settings)
     picked = spark.createDataFrame([(i, True) for i in p_ids] + [(i, False) for i in sample(ids.select("id"), max_unlabelled)], "id long, p boolean")
     texts = ids.where(F.length("text") <= max_train_chars).join(F.broadcast(picked), "id").groupBy("p", "id").agg(F.min("text").alias("text"))  # at most both bounds' rows
-    since = len(written)
-    texts = materialize(texts.repartition(4 * spark.sparkContext.defaultParallelism, "p", "id"), "toxic-sample")
-    once = materialize(texts.groupBy("p", "text").agg(F.lit(True).alias("once")).select("p", "text").repartition(4 * spark.sparkContext.defaultParallelism), "toxic-texts")
+    since, tasks = len(written), min(64, 4 * spark.sparkContext.defaultParallelism)  # the sample is small, its texts take long
+    texts = materialize(texts.repartition(tasks, "p", "id"), "toxic-sample")
+    once = materialize(texts.select("p", "text").distinct().repartition(tasks), "toxic-texts")
     sizes = {r.p: r["count"] for r in once.groupBy("p").count().collect()}
     if not sizes.get(True):
         delete_written(spark, since=since)
