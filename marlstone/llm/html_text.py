@@ -13,7 +13,7 @@ and the body's C_b and LC_b,
 largest score is the core of the article (the first of equals). The least density on the path from the body to the core is the threshold.
 
 Around the core, at every level up to the body, the path's siblings are looked at one by one; those that are mainly links never belong. A sibling belongs whose own
-density, or sum of densities, reaches the threshold; so do headings, parts of the same kind (a second article or section), what lies between two parts that
+density, or sum of densities, reaches the threshold; so do headings, parts of the same kind (a second article or section, or one with the same tag and attributes), what lies between two parts that
 belong, and below the body paragraphs, lists and the like. Where a parent holds nothing that was set aside, all it has belongs, its own text too. Names of tags set nothing but
 menus and the like aside; which subtree is the article, densities alone decide.
 
@@ -84,6 +84,7 @@ class _Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.away, self.link = ["body"], [-1], [False], [False]
         self.title = [False]
+        self.kind = ["body"]  # tag and attributes
         self.inner = [False]  # an article or main, or inside one
         self.named = [False]  # by form, role or name, to be weighed
         self.runs: list[tuple[int, str | None]] = []  # (node, text) in page order; None ends a block
@@ -93,6 +94,7 @@ class _Page:
     def _open(self, tag: str, attributes: str, up: int) -> int:
         self.tag.append(tag)
         self.parent.append(up)
+        self.kind.append(f"{tag} {attributes.strip()}")
         self.away.append(self.away[up] or self._is_aside(tag, attributes, up))
         self.link.append(self.link[up] or tag == "a")
         self.inner.append(self.inner[up] or tag in ("article", "main"))
@@ -260,6 +262,7 @@ class _Page:
                 for i in prose
                 if not page
                 or max(ctd[i], score[i]) >= threshold
+                or self.kind[i] == self.kind[below]
                 or (self.tag[i] in _PARTS and self.tag[i] == self.tag[below])
                 or (self.tag[i] in _PROSE and (up > 0 or self.tag[core] in _PROSE))
             }

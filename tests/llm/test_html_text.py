@@ -101,7 +101,7 @@ def plain_tree(page):
                 return
             names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower().split()
             away = tag in ("nav", "footer", "aside", "form") or any(n in ("ad", "comments", "cookie-notice", "menu") for n in names)
-            node = {"tag": tag, "kids": [], "away": stack[-1]["away"] or away, "link": stack[-1]["link"] or tag == "a"}
+            node = {"tag": tag, "kids": [], "away": stack[-1]["away"] or away, "link": stack[-1]["link"] or tag == "a", "attrs": attrs}
             stack[-1]["kids"].append(node)
             if tag != "br":
                 stack.append(node)
@@ -168,7 +168,7 @@ def plain_text(page):
         belongs = []
         for k in siblings:
             good = size(k) and 2 * size(k, True) <= size(k)
-            same_part = k["tag"] == below["tag"] and k["tag"] in ("article", "main", "section")
+            same_part = k["tag"] == below["tag"] and (k["tag"] in ("article", "main", "section") or k["attrs"] == below["attrs"])
             part_of_prose = k["tag"] in prose_tags and (up is not root or core["tag"] in prose_tags)
             belongs.append(k is below or bool(good and (not open_ or density(k) >= threshold or total(k) >= threshold or same_part or part_of_prose)))
         first, last = belongs.index(True), len(belongs) - 1 - belongs[::-1].index(True)
@@ -216,6 +216,7 @@ def variants(page):
     for k in (2, 3):
         yield "sections", f"{head}<article>{h}{wrap('section', k)}</article>{tail}", ""
         yield "divs", f"{head}<div class=z>{h}{wrap('div', k)}</div>{tail}", ""
+        yield "bare divs", f"{head}{h}{wrap('div', k)}{tail}", ""
     yield "articles", f"{head}{h}{wrap('article', 2)}{tail}", ""
     yield "list", f"{head}<article>{h}<div>{m[2]}</div><ul><li>one</li><li>two</li></ul></article>{tail}", "\n\none\n\ntwo"
     yield "end", f"{head}<div class=z>{h}<div>{m[2]}</div><div>The end.</div></div>{tail}", "\n\nThe end."
@@ -256,6 +257,7 @@ def test_unclosed_script_is_linear():
     [
         ("<div>" + PARA + "</div><div>" + PARA + "</div>", f"{TEXT}\n\n{TEXT}"),  # equal sums
         ("<div class=w>see <a href=/>here</a> first<div>" + PARA * 2 + "</div>and last</div>", f"see here first\n\n{TEXT}\n\n{TEXT}\n\nand last"),
+        ("<div class=w><p>one</p></div><div>" + PARA * 2 + "</div><div><p>two</p></div><div class=x><p>three</p></div>", f"{TEXT}\n\n{TEXT}\n\ntwo"),
         ("<div class=w><div>" + PARA * 2 + "</div><ul>" + "<li><a href=/>link text</a></li>" * 9 + "</ul></div>", f"{TEXT}\n\n{TEXT}"),
     ],
 )
