@@ -15,7 +15,7 @@ from ..sources import testdata as data
 from ..store import Store
 from .oracles import _HISTORY, _filled, _lit, _sql
 from .queries import _days, _length_answer, _md5
-from .shared import checkpoint_folder, shared_folder
+from .shared import checkpoint_folder, if_small, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,8 @@ def similar_companies_top3(spark, sf):
 @query(_SAMPLES_SQL)
 def resumed_trials(spark, sf):
     """Trials that were cut off after the second and are started again: the same history as without a break."""
-    rows = data.table(spark, sf, "labels").join(data.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    labels = if_small(data.table(spark, sf, "labels").select("doc_id", "quality"))  # texts then stay where they are
+    rows = data.table(spark, sf, "documents").select("doc_id", "source", "text").join(labels, "doc_id")
     target = F.when(F.col("quality") == 1, POSITIVE).otherwise(NEGATIVE)
     rows = rows.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("ticker"), F.col("text").alias("summary"), target.alias("target"))
     store = Store(spark, shared_folder(spark, "trials"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -25,3 +26,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path there."""
     return f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow side of a join, marked for broadcast if it was counted to have at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
