@@ -30,4 +30,4 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 def if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A narrow side of a join, marked for broadcast if it was counted to have at most ``most`` rows; else the join shuffles."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
