@@ -164,3 +164,32 @@ def test_layouts_of_other_programs(spark, tmp_path):
     bars.select("ticker", F.lit("v").alias("value")).repartition(3).write.partitionBy("ticker").text(f"{tmp_path}/q")
     with pytest.raises(ValueError, match="two files"):
         sinks.name_files(spark, f"{tmp_path}/q", lambda k: "one.txt")
+
+
+def test_posts_are_read_by_lines_and_numbered_over_the_blocks_of_a_file(spark, tmp_path):
+    (tmp_path / "AA").mkdir()
+    post = lambda i: f'{{"id": "{i}", "created_at": "2022-01-01T10:00:00.000Z", "text": "{"word " * (i % 50)}"}}'
+    lines = [post(i) if i % 7 else "" for i in range(2_000)]
+    ends = ["\n", "\r\n", "\r"]
+    (tmp_path / "AA" / "2022-01-01").write_bytes("".join(x + ends[i // 700] for i, x in enumerate(lines)).encode())
+    (tmp_path / "AA" / "2022-01-02").write_bytes((post(5) + "\n" + post(6)).encode())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        read = files.read_posts(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 5  # one day's file is no single row
+        got = sorted((str(r.date), r.line_no, int(r.id)) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == [("2022-01-01", i, i) for i in range(2_000) if i % 7] + [("2022-01-02", 0, 5), ("2022-01-02", 1, 6)]
+
+
+def test_a_day_is_written_line_by_line_in_order(spark, tmp_path):
+    from marlstone import sinks
+
+    posts = spark.range(3_000).select(F.lit("A").alias("ticker"), F.to_date(F.lit("2022-01-01")).alias("date"), (2_999 - F.col("id")).alias("line_no"), "id", F.lit("u").alias("author_id"), F.to_timestamp(F.lit("2022-01-01 10:00:00")).alias("created_at"), F.concat(F.lit("text\n"), "id").alias("text"))
+    sinks.write_post_folders(posts.repartition(4), f"{tmp_path}/f", compression="gzip")
+    assert sinks.write_post_files(posts.repartition(4), f"{tmp_path}/n", compression="gzip") == 1 and (tmp_path / "n" / "A" / "2022-01-01.gz").exists()
+    for folder in ("f", "n"):
+        read = files.read_posts(spark, f"{tmp_path}/{folder}").collect()
+        assert sorted((r.line_no, int(r.id), r.text, r.ticker, str(r.date)) for r in read) == [(i, 2_999 - i, f"text\n{2_999 - i}", "A", "2022-01-01") for i in range(3_000)]
