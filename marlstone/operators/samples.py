@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import prompts
-from ..functions.text import NEGATIVE, POSITIVE, fill, informative, rstrip
+from ..functions.text import NEGATIVE, POSITIVE, fill, informative, list_parts, packed, rstrip, unpack
 from ..store import Store
 from .answers import ask
 
@@ -57,6 +60,54 @@ def posts_by_day(posts: DataFrame) -> DataFrame:
     return posts.groupBy("ticker", F.col("date").alias("day")).agg(F.transform(ordered, lambda x: x["text"]).alias("tweets"))
 
 
+def fold_days(posts: DataFrame, fold: Callable[[Iterator[str | None]], tuple], schema: str) -> DataFrame:
+    """(ticker, day, and ``schema``'s columns): what ``fold`` makes of a day's texts, which come to it one by one in line order.
+
+    For days of any size: they are sorted on disk where memory ends, travel compressed, and none is held whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("ticker", "day", "text")), strict=True))
+        for key, own in groupby(rows, key=lambda r: r[:2]):
+            values = (*key, *fold(unpack(t) for _, _, t in own))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
+
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    out = pa.schema([("ticker", pa.string()), ("day", pa.date32()), *((n, kinds[k]) for n, k in (x.split() for x in schema.split(", ")))])
+    rows = posts.select("ticker", F.col("date").alias("day"), "line_no", packed(F.col("text")).alias("text"))
+    placed = rows.repartition("ticker", "day").sortWithinPartitions("ticker", "day", "line_no").select("ticker", "day", "text")
+    return placed.mapInArrow(run, f"ticker string, day date, {schema}")
+
+
+def joined_digest(texts: Iterator[str | None]) -> tuple[str | None, int | None]:
+    """MD5 and characters of texts joined by line ends; nulls are left out, and of none but nulls both are null."""
+    told, chars, n = hashlib.md5(), 0, 0
+    for t in texts:
+        if t is not None:
+            told.update(b"\n" * (n > 0) + t.encode())
+            chars, n = chars + len(t) + (n > 0), n + 1
+    return (told.hexdigest(), chars) if n else (None, None)
+
+
+def array_digest(texts: Iterator[str | None]) -> tuple[int, int | None, str | None]:
+    """Number of texts, their characters (null without a text) and the MD5 of the first that is not null."""
+    n, chars, first = 0, None, None
+    for t in texts:
+        n += 1
+        if t is not None:
+            first = first or hashlib.md5(t.encode()).hexdigest()
+            chars = (chars or 0) + len(t)
+    return n, chars, first
+
+
+def list_digest(texts: Iterator[str | None]) -> tuple[str]:
+    """MD5 of the texts as Python writes a list of them."""
+    told = hashlib.md5()
+    for piece in list_parts(texts):
+        told.update(piece.encode())
+    return (told.hexdigest(),)
+
+
 def extractive_summaries(posts: DataFrame, first: int = 3) -> DataFrame:
     """(ticker, day, summary): the default summariser, which takes the first posts of a day.
 

@@ -205,7 +205,7 @@ def _quoted(c: str) -> str:
 )
 def python_list_prompts(spark, sf):
     """A day's posts as Python writes a list of them, as the baseline's news prompt shows them."""
-    return samples.posts_by_day(data.posts(spark, sf)).select("ticker", "day", _md5(text.python_list(F.col("tweets"))).alias("list_md5"))
+    return samples.fold_days(data.posts(spark, sf), samples.list_digest, "list_md5 string")
 
 
 @query("SELECT event_type AS ticker, CAST(CAST(ts AS DATE) + CAST(k AS INTEGER) AS DATE) AS day, count(*) AS n FROM events, unnest([1, 2, 3, 4, 5]) u(k) GROUP BY ALL")

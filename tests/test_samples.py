@@ -43,3 +43,29 @@ def test_merge_keeps_what_is_stored(spark):
     out = {r.day: (r.summary, r.is_new) for r in samples.merge_summaries(wanted, stored, F.lit(None).cast("string")).collect()}
     assert out == {day(0): (None, False), day(1): (None, True)}
     assert samples.merge_summaries(wanted, stored, F.lit(None).cast("string"), keep_empty=False).count() == 1
+
+
+def test_days_are_folded_text_by_text_in_line_order(spark):
+    import hashlib
+
+    from marlstone.operators import samples
+
+    texts = ["it's\n", 'a "b"', None, "é\\", "", "z" * 5_000]
+    rows = [("A", "2022-01-01", i, t) for i, t in enumerate(texts)] + [("B", "2022-01-01", 0, None)]
+    posts = spark.createDataFrame(rows[::-1], "ticker string, date string, line_no int, text string").withColumn("date", F.to_date("date")).repartition(3)
+    got = lambda fold, schema: {r.ticker: tuple(r)[2:] for r in samples.fold_days(posts, fold, schema).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    some = [t for t in texts if t is not None]
+    assert got(samples.list_digest, "m string") == {"A": (md5(repr(texts)),), "B": (md5("[None]"),)}
+    assert got(samples.joined_digest, "m string, n long") == {"A": (md5("\n".join(some)), len("\n".join(some))), "B": (None, None)}
+    assert got(samples.array_digest, "n long, chars long, m string") == {"A": (6, sum(map(len, some)), md5(texts[0])), "B": (1, None, None)}
+    held = []
+    samples.list_digest(held.append(len(held)) or t for t in ["x"] * 9)
+    assert len(held) == 9  # texts are asked for one by one, never as a list
+
+
+def test_a_days_list_is_never_one_row(spark, sf):
+    from marlstone.plans.layouts import QUERIES
+
+    plan = QUERIES["python_list_prompts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "listagg" not in plan
