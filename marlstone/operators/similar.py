@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block that are multiplied at once.
-ROWS_AT_ONCE = 512
+#: Rows of a block that are multiplied at once, and candidates that they are multiplied with.
+ROWS_AT_ONCE, OTHERS_AT_ONCE = 512, 1_024
+#: Numbers of the pairs whose exact scores are taken at once; equal vectors may make all pairs such.
+EXACT_AT_ONCE = 1 << 20
 #: Far above the rounding of a cosine.
 NEAR = 1e-9
 
@@ -24,7 +26,7 @@ def _directed(vector: Column) -> Column:
 
 
 def _in_order(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(x, axis=1)[:, -1]
+    return np.cumsum(x, axis=1)[:, -1].copy()  # a view would hold all sums
 
 
 class _Cell:
@@ -38,10 +40,12 @@ class _Cell:
         self.who, self.other, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        y = vectors.astype(float)
+        for j in range(0, len(ids), OTHERS_AT_ONCE):
+            self._offer(ids[j : j + OTHERS_AT_ONCE], vectors[j : j + OTHERS_AT_ONCE].astype(float))
+
+    def _offer(self, ids: np.ndarray, y: np.ndarray) -> None:
         norms = np.sqrt(_in_order(y * y))
         units = np.ascontiguousarray((y / norms[:, None]).T)
-        found = [(self.who, self.other, self.score)]
         for i in range(0, len(self.ids), ROWS_AT_ONCE):
             part = slice(i, i + ROWS_AT_ONCE)
             s = self.units[part] @ units
@@ -50,15 +54,22 @@ class _Cell:
             if s.shape[1] >= self.k and np.isinf(least).any():
                 least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])
             p, q = np.nonzero(s >= np.maximum(least - NEAR, -2.0)[:, None])
-            exact = _in_order(self.x[i + p] * y[q]) / (self.norms[i + p] * norms[q]) if len(p) else np.empty(0)
-            found.append((i + p, ids[q], exact))
-        who, other, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            step = max(1, EXACT_AT_ONCE // y.shape[1])
+            exact = [_in_order(self.x[i + p[a : a + step]] * y[q[a : a + step]]) for a in range(0, len(p), step)]
+            if exact:
+                self._keep(i + p, ids[q], np.concatenate(exact) / (self.norms[i + p] * norms[q]))
+
+    def _keep(self, who: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        """Of the rows ``who`` the k best of those before and these."""
+        low, high = np.searchsorted(self.who, [who[0], who[-1] + 1])  # rows are in order on both sides
+        who, other, score = (np.concatenate(x) for x in ((self.who[low:high], who), (self.other[low:high], other), (self.score[low:high], score)))
         order = np.lexsort((other, -score, who))
         who, other, score = who[order], other[order], score[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         keep = rank < self.k
         self.limit[who[rank == self.k - 1]] = score[rank == self.k - 1]
-        self.who, self.other, self.score = who[keep], other[keep], score[keep]
+        put = lambda old, new: np.concatenate((old[:low], new[keep], old[high:]))
+        self.who, self.other, self.score = put(self.who, who), put(self.other, other), put(self.score, score)
 
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[self.who]), pa.array(self.other), pa.array(self.score)], names=["id", "other", "score"])

@@ -33,6 +33,23 @@ def test_cosine_top(spark):
     assert similar.cosine_top(df.limit(0)).count() == 0
 
 
+def test_cosine_of_many_equal_vectors_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    v = np.repeat(rng.normal(size=(10, 64)), 400, axis=0)
+    ids = np.arange(len(v))
+    tracemalloc.start()
+    cell = similar._Cell(ids, v, 3)
+    cell.offer(ids, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = ids // 400 * 400
+    want = [[x for x in range(f, f + 4) if x != i][:3] for i, f in zip(ids, first, strict=True)]
+    assert cell.who.tolist() == np.repeat(ids, 3).tolist() and cell.other.reshape(-1, 3).tolist() == want
+    assert peak < 80e6
+
+
 def test_reward_fit(spark, tmp_path):
     rng = np.random.default_rng(1)
     true = np.array([1.5, -2.0, 0.5])
