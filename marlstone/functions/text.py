@@ -132,8 +132,17 @@ def pack(x: str | None) -> bytes | None:
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
+def packed_size(x: bytes) -> int:
+    """Bytes of the text in it."""
+    return int.from_bytes(x[:8], "little")
+
+
+def unpack_bytes(x: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(x[8:], packed_size(x), asbytes=True)
+
+
 def unpack(x: bytes | None) -> str | None:
-    return None if x is None else pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True).decode()
+    return None if x is None else unpack_bytes(x).decode()
 
 
 def packed(texts: Column) -> Column:

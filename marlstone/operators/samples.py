@@ -7,13 +7,14 @@ import hashlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import prompts
-from ..functions.text import NEGATIVE, POSITIVE, fill, informative, list_parts, packed, rstrip, unpack
+from ..functions.text import NEGATIVE, POSITIVE, fill, informative, list_parts, pack, packed, packed_size, rstrip, unpack, unpack_bytes
 from ..store import Store
 from .answers import ask
 
@@ -118,6 +119,80 @@ def extractive_summaries(posts: DataFrame, first: int = 3) -> DataFrame:
     return head.groupBy("ticker", F.col("date").alias("day")).agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("summary"))
 
 
+def distinct_texts(posts: DataFrame, held_bytes: int = 1 << 25) -> DataFrame:
+    """(ticker, day, lines, text): each text of a day compressed, with the numbers of all its lines.
+
+    A task gives a text that its rows repeat once, unless what it holds passes ``held_bytes`` in between; tasks may give the same text.
+    """
+    out = pa.schema([("ticker", pa.string()), ("day", pa.date32()), ("lines", pa.list_(pa.int64())), ("text", pa.binary())])
+
+    def give(held: dict) -> pa.RecordBatch:
+        columns = zip(*((ticker, day, lines, text) for (ticker, day, text), lines in held.items()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for b in batches:
+            codes = b.column("text").dictionary_encode()
+            texts = [pack(t) for t in codes.dictionary.to_pylist()]
+            rows = pa.table({"ticker": b.column("ticker"), "day": b.column("day"), "text": codes.indices, "line_no": b.column("line_no")})
+            grouped = rows.group_by(["ticker", "day", "text"]).aggregate([("line_no", "list")])
+            for ticker, day, i, lines in zip(*(grouped.column(c).to_pylist() for c in ("ticker", "day", "text", "line_no_list")), strict=True):
+                text = None if i is None else texts[i]
+                size += 40 * len(lines)
+                if (ticker, day, text) in held:
+                    held[ticker, day, text] += lines
+                else:
+                    held[ticker, day, text] = lines
+                    size += 200 + len(text or b"")
+            if size > held_bytes:
+                yield give(held)
+                held, size = {}, 0
+        if held:
+            yield give(held)
+
+    line = F.coalesce(F.col("line_no").cast("long"), F.lit(-(2**63)))  # as SQL sorts: null first
+    rows = posts.select("ticker", F.col("date").alias("day"), line.alias("line_no"), "text")
+    return rows.mapInArrow(run, "ticker string, day date, lines array<long>, text binary")
+
+
+def joined_days(posts: DataFrame) -> DataFrame:
+    """(ticker, day, text): a day's texts in line order, joined by line ends; nulls are left out, and of none but nulls it is null.
+
+    Before the shuffle each task gives a text of a day once and compressed. A day's different texts are held so, beside the one value that it becomes.
+    """
+    out = pa.schema([("ticker", pa.string()), ("day", pa.date32()), ("text", pa.string())])
+
+    def joined(own: list[tuple[np.ndarray, bytes]]) -> pa.Array:
+        if not own:
+            return pa.nulls(1, pa.string())
+        sizes = [len(lines) for lines, _ in own]
+        order = np.repeat(np.arange(len(own)), sizes)[np.argsort(np.concatenate([lines for lines, _ in own]), kind="stable")]
+        total = sum(n * (packed_size(text) + 1) for n, (_, text) in zip(sizes, own, strict=True)) - 1
+        value, at = pa.allocate_buffer(total), 0
+        view = memoryview(value).cast("B")
+        for i in order:
+            if at:
+                view[at - 1] = 10
+            raw = unpack_bytes(own[i][1])
+            view[at : at + len(raw)] = raw
+            at += len(raw) + 1
+        return pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, total], np.int32)), value])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (ticker, day, lines.values.to_numpy(), text)
+            for b in batches
+            for ticker, day, lines, text in zip(b.column("ticker").to_pylist(), b.column("day").to_pylist(), b.column("lines"), b.column("text").to_pylist(), strict=True)
+        )
+        for (ticker, day), own in groupby(rows, key=lambda r: r[:2]):
+            text = joined([(lines, t) for _, _, lines, t in own if t is not None])
+            yield pa.RecordBatch.from_arrays([pa.array([ticker], pa.string()), pa.array([day], pa.date32()), text], schema=out)
+
+    placed = distinct_texts(posts).repartition("ticker", "day").sortWithinPartitions("ticker", "day", "text")
+    return placed.mapInArrow(run, "ticker string, day date, text string")
+
+
 def model_summaries(posts: DataFrame, provider: Callable[[Column], Column], template: str = prompts.SUMMARY, examples: str = prompts.SUMMARY_EXAMPLES, limit: int | None = None, cache: Store | None = None, asker: str = "summary") -> DataFrame:
     """(ticker, day, prompt, summary): a model's summary of each day's posts, in line order.
 
@@ -126,7 +201,7 @@ def model_summaries(posts: DataFrame, provider: Callable[[Column], Column], temp
     """
     lane = Window.partitionBy("ticker", "date").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     shown = posts if limit is None else posts.withColumn("_up", F.sum(F.length("text")).over(lane)).where(F.col("_up") <= limit)
-    days = shown.groupBy("ticker", F.col("date").alias("day")).agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("_t"))
+    days = joined_days(shown).withColumnRenamed("text", "_t")
     prompt = fill(template, {"ticker": F.col("ticker"), "tweets": F.col("_t"), "examples": F.lit(examples)})
     asked = days.withColumn("prompt", F.when(F.trim("_t") != "", prompt))
     if cache is not None:

@@ -95,3 +95,25 @@ def test_summaries_for_the_store_are_made_once(spark, sf, monkeypatch):
     monkeypatch.setattr(samples, "extractive_summaries", counting)
     QUERIES["summary_store_roundtrip"](spark, sf).collect()
     assert seen.value == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_a_text_that_a_day_repeats_travels_once_to_its_prompt(spark, sf):
+    from marlstone.functions.text import unpack
+    from marlstone.plans.queries import QUERIES
+
+    texts = ["b", None, "é\n", "b", "", "a", "b", None, "é\n"]
+    rows = [("A", day(0), 9 - i, t) for i, t in enumerate(texts)] + [("A", day(1), 0, "b"), ("B", day(0), 0, None), ("C", day(0), 5, ""), ("C", day(0), None, "z")]
+    posts = spark.createDataFrame(rows, "ticker string, date date, line_no int, text string")
+    once = samples.distinct_texts(posts.coalesce(1)).collect()
+    assert {(r.ticker, r.day, unpack(r.text)): sorted(r.lines)[:3] for r in once if r.ticker == "A"} == {
+        ("A", day(0), "b"): [3, 6, 9], ("A", day(0), None): [2, 8], ("A", day(0), "é\n"): [1, 7], ("A", day(0), ""): [5], ("A", day(0), "a"): [4], ("A", day(1), "b"): [0],
+    }
+    assert len(once) == 9
+    want = {("A", day(0)): "\n".join(t for t in texts[::-1] if t is not None), ("A", day(1)): "b", ("B", day(0)): None, ("C", day(0)): "z\n"}
+    for n in (1, 5):
+        assert {(r.ticker, r.day): r.text for r in samples.joined_days(posts.repartition(n)).collect()} == want
+    assert samples.distinct_texts(posts.coalesce(1), held_bytes=0).count() >= 9
+    told = {(r.ticker, r.day): r.prompt for r in samples.model_summaries(posts, lambda p: p, template="{ticker}:{tweets}{examples}", examples="").collect()}
+    assert told == {k: v and f"{k[0]}:{v}" for k, v in want.items()}
+    plan = QUERIES["daily_summary_prompts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "listagg" not in plan and "MapInArrow" in plan
