@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 COMPANY, UNKNOWN_TYPE = "COMP", "UNKNOWN"
+SIDES = {"subject": "subj_id", "object": "obj_id"}
 
 
 def first_names(entities: DataFrame, order: str = "line_no_first") -> DataFrame:
@@ -37,19 +38,25 @@ def relationships(quads: DataFrame, entities: DataFrame, mapped: DataFrame, firs
     return out.select(*cols)
 
 
+def named(rows: DataFrame, entities: DataFrame, side: str) -> DataFrame:
+    """``side`` (subject or object) and its type instead of its id; an id without a name stays as it is, its type is UNKNOWN."""
+    key = SIDES[side]
+    names = entities.select(F.col("id").alias(key), F.col("entity").alias("_e"), F.col("type_name").alias("_t"))
+    kept = [c for c in rows.columns if c != key]
+    return rows.join(names, key, "left").select(*kept, F.coalesce("_e", key).alias(side), F.coalesce("_t", F.lit(UNKNOWN_TYPE)).alias(f"{side}_type"))
+
+
 def decode(quads: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Names and types for all quads; an id without a name stays as it is, its type is UNKNOWN."""
-    side = lambda key, name, kind: entities.select(F.col("id").alias(key), F.col("entity").alias(name), F.col("type_name").alias(kind))
-    out = quads.join(side("subj_id", "_s", "_st"), "subj_id", "left").join(side("obj_id", "_o", "_ot"), "obj_id", "left")
+    """Names and types for all quads; an id without a name stays as it is, its type is UNKNOWN.
+
+    A side that ``named`` has dealt with, where its rows are fewer or the entities that it can mean are few, is taken as it is.
+    """
+    out = quads
+    for side in SIDES:
+        if side not in quads.columns:
+            out = named(out, entities, side)
     out = out.join(relations.select(F.col("id").alias("rel_id"), F.col("relation").alias("_r")), "rel_id", "left")
-    return out.select(
-        F.coalesce("_s", "subj_id").alias("subject"),
-        F.coalesce("_st", F.lit(UNKNOWN_TYPE)).alias("subject_type"),
-        F.coalesce("_r", "rel_id").alias("relation"),
-        F.coalesce("_o", "obj_id").alias("object"),
-        F.coalesce("_ot", F.lit(UNKNOWN_TYPE)).alias("object_type"),
-        F.col("date_wk").alias("time"),
-    )
+    return out.select("subject", "subject_type", F.coalesce("_r", "rel_id").alias("relation"), "object", "object_type", F.col("date_wk").alias("time"))
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:

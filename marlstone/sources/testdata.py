@@ -68,14 +68,24 @@ def kg_relations(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('A', 'supplies'), ('R', 'returns to') AS t(id, relation)")
 
 
-def kg_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as quads: supplier, return flag, customer, week."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return lines.join(orders.select("o_orderkey", "o_custkey"), lines["l_orderkey"] == orders["o_orderkey"]).select(
+def kg_order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object of each order's quads: its customer."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("obj_id"))
+
+
+def kg_quads(spark: SparkSession, sf_dir: str, objects: DataFrame | None = None) -> DataFrame:
+    """Line items as quads: supplier, return flag, customer, week.
+
+    ``objects``: what else to take for the objects of orders.
+    """
+    week = F.to_date(F.date_trunc("week", "l_shipdate")).alias("date_wk")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", week, "l_linestatus")
+    ends = kg_order_objects(spark, sf_dir) if objects is None else objects
+    return lines.join(ends, lines["l_orderkey"] == ends["o_orderkey"]).select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("subj_id"),
         F.col("l_returnflag").alias("rel_id"),
-        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("obj_id"),
-        F.to_date(F.date_trunc("week", "l_shipdate")).alias("date_wk"),
+        *[c for c in ends.columns if c != "o_orderkey"],
+        "date_wk",
         F.col("l_linestatus").alias("source_file"),
     )
 

@@ -56,3 +56,39 @@ def test_mapping(spark, root):
     got = {r.ticker: (r.entity, r.entity_id) for r in graph.map_tickers(tickers, mapping, entities).collect()}
     assert got == {"A": ("Acme", "5"), "N": (None, None), "X": (None, None)}
     assert [r.ticker for r in graph.unmapped(tickers, mapping).collect()] == ["X"]
+
+
+def test_quads_are_shuffled_once_to_be_decoded(spark, tmp_path):
+    from marlstone.plans.queries import QUERIES
+    from marlstone.sources import testdata as data
+
+    week = dt.datetime(2022, 1, 5)
+    tables = {
+        "supplier": ("s_suppkey long, s_name string", [(1, "S1"), (2, "S2"), (2, "S2 again")]),
+        "customer": ("c_custkey long, c_name string", [(1, "C1"), (3, None)]),
+        "part": ("p_partkey long, p_name string", [(1, "P1")]),
+        "orders": ("o_orderkey long, o_custkey long", [(10, 1), (11, 3), (12, 9), (13, None), (None, 1)]),
+        "lineitem": (
+            "l_orderkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+            [(10, 1, "A", "O", week), (10, 2, "N", "F", week), (11, 9, None, "O", None), (12, None, "R", "O", week), (13, 1, "A", "O", week), (14, 1, "A", "O", week), (None, 1, "A", "O", week)],
+        ),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    sf, key = str(tmp_path), "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        out = QUERIES["kg_decode_fallback"](spark, sf)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set(key, kept)
+    assert plan.count("Exchange hashpartitioning(") == 4 and "Exchange hashpartitioning(subj_id" not in plan
+    plain = graph.decode(data.kg_quads(spark, sf), data.kg_entities(spark, sf), data.kg_relations(spark)).collect()
+    monday = dt.date(2022, 1, 3)
+    assert sorted(map(repr, got)) == sorted(map(repr, plain))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [
+        ("S1", "COMP", "supplies", "C1", "PERSON", monday), ("S2", "COMP", "N", "C1", "PERSON", monday), ("S2 again", "COMP", "N", "C1", "PERSON", monday),
+        ("s9", "UNKNOWN", None, "c3", "COMP", None), (None, "UNKNOWN", "returns to", "c9", "UNKNOWN", monday), ("S1", "COMP", "supplies", None, "UNKNOWN", monday),
+    ]))
