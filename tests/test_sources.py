@@ -193,3 +193,41 @@ def test_a_day_is_written_line_by_line_in_order(spark, tmp_path):
     for folder in ("f", "n"):
         read = files.read_posts(spark, f"{tmp_path}/{folder}").collect()
         assert sorted((r.line_no, int(r.id), r.text, r.ticker, str(r.date)) for r in read) == [(i, 2_999 - i, f"text\n{2_999 - i}", "A", "2022-01-01") for i in range(3_000)]
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that ``run`` shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def _long_posts(spark, n: int = 3_000):
+    text = F.concat_ws(" ", *(F.sha2(F.concat("id", F.lit(f"-{i}")).cast("binary"), 256) for i in range(8)))
+    ticker = F.when(F.col("id") % 3 == 0, "C+ D/%41").when(F.col("id") % 3 == 1, "007")
+    posts = spark.range(n).select(ticker.alias("ticker"), F.to_date(F.lit("2022-01-01")).alias("date"), (n - 1 - F.col("id")).alias("line_no"), "id", F.lit("u").alias("author_id"), F.to_timestamp(F.lit("2022-01-01 10:00:00")).alias("created_at"), text.alias("text"))
+    return posts.repartition(4).checkpoint()
+
+
+def test_post_folders_are_written_and_read_without_a_shuffle_of_texts(spark, tmp_path):
+    from marlstone import sinks
+
+    posts, conf = _long_posts(spark), "spark.sql.maxConcurrentOutputFileWriters"
+    kept = spark.conf.get(conf)
+    assert _shuffled(spark, lambda: sinks.write_post_folders(posts, f"{tmp_path}/f", compression="gzip")) == 0
+    assert spark.conf.get(conf) == kept
+    assert len(list((tmp_path / "f" / "ticker=007" / "date=2022-01-01").glob("part-*.gz"))) == 4
+    read = files.read_post_folders(spark, f"{tmp_path}/f").select("ticker", "date", "line_no", F.col("id").cast("long").alias("id"), "text")
+    want = posts.select("ticker", "date", "line_no", "id", "text")
+    assert read.count() == 3_000 and read.exceptAll(want).isEmpty()
+    with sinks._open_files(spark, 1):  # more folders than open files
+        posts.select("ticker", "date", F.lit("{}").alias("value")).write.partitionBy("ticker", "date").text(f"{tmp_path}/s")
+    assert spark.read.text(f"{tmp_path}/s").count() == 3_000
+    sinks.write_post_folders(posts.limit(0), f"{tmp_path}/none")
+    assert files.read_post_folders(spark, f"{tmp_path}/none").count() == 0
