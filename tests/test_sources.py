@@ -231,3 +231,32 @@ def test_post_folders_are_written_and_read_without_a_shuffle_of_texts(spark, tmp
     assert spark.read.text(f"{tmp_path}/s").count() == 3_000
     sinks.write_post_folders(posts.limit(0), f"{tmp_path}/none")
     assert files.read_post_folders(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_day_travels_tight_and_is_read_from_the_blocks_of_a_bzip2_file(spark, sf, tmp_path):
+    from marlstone import sinks
+    from marlstone.functions.text import loosen, pack, tight, tighten
+    from marlstone.sources import testdata as data
+
+    for x in (None, "", "a", "é" * 500, "word " * 5_000, "퟿\x00\n"):
+        assert loosen(tighten(x)) == x
+    texts = [r.text for r in data.table(spark, sf, "documents").select("text").collect() if r.text]
+    assert sum(len(tighten(x)) for x in texts) < 0.95 * sum(len(pack(x)) for x in texts)
+    small, plain = data.posts(spark, sf, small=True), data.posts(spark, sf)
+    assert sinks.write_post_files(small, f"{tmp_path}/s", compression="bzip2") == sinks.write_post_files(plain, f"{tmp_path}/p", compression="gzip")
+    cols = ["ticker", "date", "line_no", "id", "author_id", "created_at", "text"]
+    read = lambda name: files.read_posts(spark, f"{tmp_path}/{name}").select(*cols)
+    assert read("s").count() == plain.count() and read("s").exceptAll(read("p")).isEmpty()
+    posts = _long_posts(spark, 9_000).withColumn("ticker", F.substring(F.concat_ws("", F.lit("A"), "ticker"), 1, 1)).withColumn("text", F.when(F.col("id") % 9 > 0, F.col("text")))
+    sinks.write_post_files(posts.withColumn("text", tight(F.col("text"))), f"{tmp_path}/b", compression="bzip2")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        scan = files.scan_posts(spark, f"{tmp_path}/b")
+        assert scan.select("place._block").distinct().count() > 3
+        want = [(8_999 - r.line_no, r.text) for r in posts.orderBy("line_no").collect()]
+        assert [(int(r.id), r.text) for r in scan.orderBy("place").collect()] == want
+        got = files.read_posts(spark, f"{tmp_path}/b").orderBy("line_no").collect()
+        assert [(int(r.id), r.text) for r in got] == want and [r.line_no for r in got] == list(range(9_000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
